@@ -117,7 +117,7 @@ def pair_metrics(table: DataFrame, by: list[str] = PAIR,
     """All two-rater statistics per group: n, rho, MAD, MSD (a - b), exact agreement and alpha."""
     n, ra, rb = F.col("n"), F.col("rank_a"), F.col("rank_b")
     constant = (F.min("a") == F.max("a")) | (F.min("b") == F.max("b"))
-    rho = F.try_divide(F.sum(n * ra * rb), F.sqrt(F.sum(n * ra * ra)) * F.sqrt(F.sum(n * rb * rb)))
+    rho = F.try_divide(F.sum(n * ra * rb), F.sqrt(F.sum(n * ra * ra) * F.sum(n * rb * rb)))
     gap = F.col("a") - F.col("b")
     return with_mid_ranks(table, by).groupBy(*by).agg(
         F.sum("n").alias("n"),

@@ -33,45 +33,44 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float] = QUARTILES,
-                    bins: int = 4096) -> DataFrame:
+                    steps: int = 64) -> DataFrame:
     """One row of exact quantiles with linear interpolation, for any number of distinct values.
 
-    Distinct values are counted first, then split into ranges; running totals are taken within each
-    range and over the ranges, so no task sorts all distinct values.
+    Distinct values are counted first and put into bins by the logarithm of their size. Running
+    totals are taken within each bin and over the bins, so no task sorts all distinct values. With
+    ``steps`` bins per unit of ln(1 + |x|) there are at most 2 * 710 * steps bins for any data.
     """
     x = F.col(col).cast("double")
-    counts = (df.select(x.alias("x")).where("x IS NOT NULL").groupBy("x")
+    counts = (df.select(x.alias("x")).where("x IS NOT NULL AND NOT isnan(x)").groupBy("x")
               .agg(F.count(F.lit(1)).alias("n")))
-    edges = counts.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"),
-                                F.sum("n").alias("n")).alias("edges")).scalar()
-    span = edges["hi"] - edges["lo"]
-    slot = F.when(span > 0, F.floor((F.col("x") - edges["lo"]) / span * bins)).otherwise(0)
+    slot = F.signum("x") * F.floor(F.log1p(F.abs("x")) * steps)
     binned = counts.withColumn("bin", slot)
-    earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    over_bins = Window.orderBy("bin")
     before = (binned.groupBy("bin").agg(F.sum("n").alias("bin_n"))
-              .select("bin", F.coalesce(F.sum("bin_n").over(earlier), F.lit(0)).alias("before")))
+              .select("bin", (F.sum("bin_n").over(over_bins) - F.col("bin_n")).alias("before"),
+                      F.sum("bin_n").over(Window.partitionBy()).alias("total")))
     inner = F.sum("n").over(Window.partitionBy("bin").orderBy("x"))
-    # at most bins + 1 rows, so the broadcast side does not grow with the data
+    # the number of bins is bounded, so the broadcast side does not grow with the data
     placed = (binned.withColumn("inner", inner).join(F.broadcast(before), "bin")
               .withColumn("upto", F.col("before") + F.col("inner")))
-    out = []
+    ends = []
     for name, prob in probs.items():
-        pos = (edges["n"] - 1) * F.lit(float(prob))
-        lower, share = F.floor(pos), pos - F.floor(pos)
-
-        def at(rank: Column) -> Column:
+        lower = F.floor((F.col("total") - 1) * F.lit(float(prob)))
+        for end, rank in (("lo", lower), ("hi", F.least(lower + 1, F.col("total") - 1))):
             hit = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-            return F.max(F.when(hit, F.col("x")))
-
-        low, high = at(lower), at(F.least(lower + 1, edges["n"] - 1))
-        out.append((low + (high - low) * share).alias(name))
-    return placed.agg(*out)
+            ends.append(F.max(F.when(hit, F.col("x"))).alias(f"{name}_{end}"))
+    out = []
+    for name, prob in probs.items():
+        pos = (F.col("total") - 1) * F.lit(float(prob))
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return placed.agg(F.max("total").alias("total"), *ends).select(*out)
 
 
 def describe_numeric(df: DataFrame, col: str, approx: bool = False,
                      accuracy: int = 10000) -> DataFrame:
     """count, mean, std (n - 1), min, quartiles, max. ``approx`` sketches the quartiles."""
-    x = F.col(col).cast("double")
+    x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
     basics = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
               F.min(x).alias("min"), F.max(x).alias("max")]
     if approx:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ratergrid.functions.text import strip_code_fences
@@ -9,6 +12,9 @@ from ratergrid.operators import responses as R, workplan as W
 from ratergrid.plans.fixtures import RESPONSE_VARS, raw_responses, table
 from ratergrid.plans.registry import query, with_ctes
 
+# The scorer below travels with its task, as a user's scorer defined in a notebook would.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _READ = {
     "cleaned": "SELECT unit_id, doc_id, rater, attempt, raw_text, REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE("
                "REGEXP_REPLACE(raw_text, '```(?:json)?\\s*', '', 'g'), '^\\s+|\\s+$', '', 'g'), '`+$', ''), "
@@ -109,8 +115,7 @@ def stub_scorer(text: str, post_type: str, prompt: str, system_prompt: str) -> s
   ',"V2_reason":"', source, '"}}') END AS raw_text,
   CASE WHEN LENGTH(text) > 20000 THEN 'ValueError: too long' END AS error FROM documents""")
 def _(spark, sf):
-    scorer = stub_scorer
     work = table(spark, sf, "documents").select(
         F.col("doc_id").alias("unit_id"), F.lit("stub").alias("rater"), "text",
         F.col("source").alias("post_type"), F.lit("").alias("prompt"), F.lit("").alias("system_prompt"))
-    return R.annotator_hook(work, scorer)
+    return R.annotator_hook(work, stub_scorer)

@@ -27,19 +27,23 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` as the session names it.
 
     Only a local-mode session that names none gets a folder of its own.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="ratergrid-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="ratergrid-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
