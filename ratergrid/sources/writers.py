@@ -15,7 +15,10 @@ def sink_parquet_typed(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
-    """CSV with a header that ``scan_csv`` reads back unchanged. ``single_file`` is for small reports."""
+    """CSV with a header for ``scan_csv``; empty text and NULL both read back as NULL.
+
+    ``single_file`` is for small reports.
+    """
     out = df.coalesce(1) if single_file else df
     (out.write.mode(mode)
         .option("header", True)
