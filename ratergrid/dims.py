@@ -26,9 +26,33 @@ def join_dim(df: DataFrame, rows: list[tuple], schema: str, on: str | list[str],
     return df.join(F.broadcast(dim) if len(rows) <= MAX_DIM_ROWS else dim, on, how)
 
 
-def literal_rows(rows: list[dict]) -> Column:
-    """``rows`` as an array of structs, to fan rows out without a join."""
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows])
+def quoted(name: str) -> str:
+    """A column name for use in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: str | int | float | bool | None) -> str:
+    """A constant for use in an expression."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def struct_of(fields: dict[str, str]) -> str:
+    """``named_struct`` over expressions."""
+    return "named_struct(" + ", ".join(f"{literal(k)}, {v}" for k, v in fields.items()) + ")"
+
+
+def inline_rows(rows: list[dict[str, str]]) -> str:
+    """Fan a row out to one row per dict of expressions."""
+    return "inline(array(" + ", ".join(map(struct_of, rows)) + "))"
+
+
+def fan_out(rows: list[dict]) -> Column:
+    """Fan a row out to one row per dict of constants, without a join."""
+    return F.expr(inline_rows([{k: literal(v) for k, v in row.items()} for row in rows]))
 
 
 def map_values(col: Column, mapping: dict, default: Column | None = None) -> Column:

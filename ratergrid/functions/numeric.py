@@ -15,14 +15,14 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def round_scaled(x: Column, digits: int) -> Column:
-    """Scale, round half to even, scale back: how array libraries round."""
-    scale = F.lit(float(10 ** digits))
-    return F.rint(x * scale) / scale + F.lit(0.0)
+def round_scaled(x: str, digits: int) -> Column:
+    """Scale, round half to even, scale back: how array libraries round. ``x`` is an expression."""
+    scale = f"{10 ** digits}.0D"
+    return F.expr(f"rint(({x}) * {scale}) / {scale} + 0.0D")
 
 
-def round_exact(x: Column, digits: int) -> Column:
-    """Correct rounding of the stored binary value, half to even.
+def round_exact(x: str, digits: int) -> Column:
+    """Correct rounding of the stored binary value, half to even. ``x`` is an expression.
 
     0.9195 is stored slightly below the tie and gives 0.919; ``round`` would give 0.920. The
     rounding error of the scaled product decides on which side of a tie the value lies; it is
@@ -32,18 +32,18 @@ def round_exact(x: Column, digits: int) -> Column:
     splitter = 134217729.0  # 2^27 + 1
     scale_hi = splitter * scale - (splitter * scale - scale)
     scale_lo = scale - scale_hi
-    product = x * F.lit(scale)
-    big = x * F.lit(splitter)
-    hi = big - (big - x)
-    lo = x - hi
-    error = (((hi * F.lit(scale_hi) - product) + hi * F.lit(scale_lo) + lo * F.lit(scale_hi))
-             + lo * F.lit(scale_lo))
-    whole = F.floor(product).cast("double")
-    above = (product - whole) - F.lit(0.5)
-    rounded = (F.when((above > 0) | ((above == 0) & (error > 0)), whole + 1)
-               .when((above < 0) | ((above == 0) & (error < 0)), whole)
-               .when(x.isNotNull(), F.rint(product)))
-    return rounded / F.lit(scale) + F.lit(0.0)
+    number = lambda v: f"{v!r}D"
+    product = f"(({x}) * {number(scale)})"
+    big = f"(({x}) * {number(splitter)})"
+    hi = f"({big} - ({big} - ({x})))"
+    lo = f"(({x}) - {hi})"
+    error = (f"((({hi} * {number(scale_hi)} - {product}) + {hi} * {number(scale_lo)} "
+             f"+ {lo} * {number(scale_hi)}) + {lo} * {number(scale_lo)})")
+    whole = f"CAST(floor({product}) AS DOUBLE)"
+    above = f"({product} - {whole} - 0.5D)"
+    rounded = (f"CASE WHEN {above} > 0 OR ({above} = 0 AND {error} > 0) THEN {whole} + 1 "
+               f"WHEN {above} < 0 OR {error} < 0 THEN {whole} ELSE rint({product}) END")
+    return F.expr(f"({rounded}) / {number(scale)} + 0.0D")
 
 
 def _t_tail_fraction(df: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ratergrid.dims import inline_rows, literal, quoted
 from ratergrid.functions.numeric import spearman_p
 from ratergrid.operators.alignment import paired_scores
 from ratergrid.schemas import VALID_SCORES
@@ -37,33 +35,29 @@ def cumulative_counts(counts: DataFrame, by: list[str], value: str = "score",
     return counts.withColumn("upto", F.sum(n).over(upto))
 
 
-def _weighted_mean(x: Column) -> Column:
-    n = F.col("n")
-    return F.sum(n.cast("double") * x) / F.sum(n)
+def _weighted_mean(x: str) -> Column:
+    return F.expr(f"sum(CAST(n AS DOUBLE) * ({x})) / sum(n)")
 
 
 def mad(table: DataFrame, by: list[str] = PAIR) -> DataFrame:
-    return table.groupBy(*by).agg(_weighted_mean(F.abs(F.col("a") - F.col("b"))).alias("mad"))
+    return table.groupBy(*by).agg(_weighted_mean("abs(a - b)").alias("mad"))
 
 
 def msd(table: DataFrame, by: list[str] = PAIR, sign: int = 1) -> DataFrame:
     """Mean of a - b, or of b - a with ``sign=-1``."""
-    return table.groupBy(*by).agg(_weighted_mean(sign * (F.col("a") - F.col("b"))).alias("msd"))
+    return table.groupBy(*by).agg(_weighted_mean(f"{sign} * (a - b)").alias("msd"))
 
 
 def pct_exact(table: DataFrame, by: list[str] = PAIR) -> DataFrame:
-    hit = F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)
-    return table.groupBy(*by).agg(_weighted_mean(hit).alias("pct_exact"))
+    return table.groupBy(*by).agg(_weighted_mean("CAST(a = b AS INT)").alias("pct_exact"))
 
 
 def agreement_breakdown(table: DataFrame, by: list[str] = PAIR, max_gap: int = 2) -> DataFrame:
     """Counts and proportions of pairs that differ by 0, 1, .. ``max_gap``."""
-    gap = F.abs(F.col("a") - F.col("b"))
-    counts = [F.sum(F.when(gap == k, F.col("n")).otherwise(0)).alias(f"n_diff{k}")
+    counts = [F.expr(f"sum(CASE WHEN abs(a - b) = {k} THEN n ELSE 0 END)").alias(f"n_diff{k}")
               for k in range(max_gap + 1)]
     out = table.groupBy(*by).agg(F.sum("n").alias("n"), *counts)
-    return out.select("*", *[(F.col(f"n_diff{k}") / F.col("n")).alias(f"p_diff{k}")
-                             for k in range(max_gap + 1)])
+    return out.selectExpr("*", *[f"n_diff{k} / n AS p_diff{k}" for k in range(max_gap + 1)])
 
 
 def with_mid_ranks(table: DataFrame, by: list[str] = PAIR) -> DataFrame:
@@ -71,61 +65,64 @@ def with_mid_ranks(table: DataFrame, by: list[str] = PAIR) -> DataFrame:
 
     Ranks are cumulative counts over the few distinct values, not over rows.
     """
-    total = F.sum("n").over(Window.partitionBy(*by))
+    keys = ", ".join(map(quoted, by))
 
-    def centred(col: str) -> Column:
-        same = F.sum("n").over(Window.partitionBy(*by, col))
-        upto = F.sum("n").over(Window.partitionBy(*by).orderBy(col))
-        return upto.cast("double") - (same.cast("double") + total.cast("double")) / 2.0
+    def centred(col: str) -> str:
+        same = f"sum(n) OVER (PARTITION BY {keys}, {col})"
+        upto = f"sum(n) OVER (PARTITION BY {keys} ORDER BY {col})"
+        total = f"sum(n) OVER (PARTITION BY {keys})"
+        return f"CAST({upto} AS DOUBLE) - (CAST({same} AS DOUBLE) + {total}) / 2.0D AS rank_{col}"
 
-    return table.select("*", centred("a").alias("rank_a"), centred("b").alias("rank_b"))
+    return table.selectExpr("*", centred("a"), centred("b"))
 
 
-def _pair_alpha(values: list[int]) -> Column:
+def _pair_alpha(values: list[int]) -> str:
     """Ordinal alpha of two raters from joint counts: each unit adds (a, b) and (b, a)."""
-    def joint(c: int, k: int) -> Column:
-        hit = ((F.col("a") == c) & (F.col("b") == k)) | ((F.col("a") == k) & (F.col("b") == c))
-        return F.sum(F.when(hit, F.col("n")).otherwise(0)).cast("double")
+    def joint(c: int, k: int) -> str:
+        weight = 2 if c == k else 1
+        return (f"CAST(sum(CASE WHEN (a = {c} AND b = {k}) OR (a = {k} AND b = {c}) "
+                f"THEN {weight} * n ELSE 0 END) AS DOUBLE)")
+
+    return ordinal_alpha({(c, k): joint(c, k) for c, k in _value_pairs(values)}, values)
+
 
-    o = {(c, k): (2.0 if c == k else 1.0) * joint(c, k)
-         for i, c in enumerate(values) for k in values[i:]}
-    return ordinal_alpha(o, values)
+def _value_pairs(values: list[int]) -> list[tuple[int, int]]:
+    return [(c, k) for i, c in enumerate(values) for k in values[i:]]
 
 
-def ordinal_alpha(coincidences: dict[tuple[int, int], Column], values: list[int]) -> Column:
-    """Alpha from the coincidences of value pairs c <= k; NULL when fewer than two values occur.
+def ordinal_alpha(coincidences: dict[tuple[int, int], str], values: list[int]) -> str:
+    """Alpha from the coincidences of value pairs c <= k, as expressions of type double.
 
-    The ordinal distance of c and k is the number of ratings between them, half of c's and k's own
-    included, squared.
+    NULL when fewer than two values occur. The ordinal distance of c and k is the number of ratings
+    between them, half of c's and k's own included, squared.
     """
     o = {**coincidences, **{(k, c): x for (c, k), x in coincidences.items()}}
-    n = {c: reduce(add, [o[c, k] for k in values]) for c in values}
-    total = reduce(add, n.values())
+    plus = lambda terms: "(" + " + ".join(terms) + ")"
+    n = {c: plus(o[c, k] for k in values) for c in values}
     observed, expected = [], []
     for i, c in enumerate(values):
         for j in range(i + 1, len(values)):
             k = values[j]
-            between = reduce(add, [n[g] for g in values[i:j + 1]]) - (n[c] + n[k]) / 2.0
-            observed.append(o[c, k] * between * between)
-            expected.append(n[c] * n[k] * between * between)
-    ratio = F.try_divide(reduce(add, observed), reduce(add, expected))
-    return F.lit(1.0) - (total - 1.0) * ratio
+            distance = f"({plus(n[g] for g in values[i:j + 1])} - ({n[c]} + {n[k]}) / 2.0D)"
+            observed.append(f"{o[c, k]} * {distance} * {distance}")
+            expected.append(f"{n[c]} * {n[k]} * {distance} * {distance}")
+    total = plus(n.values())
+    return f"1.0D - ({total} - 1.0D) * try_divide({plus(observed)}, {plus(expected)})"
 
 
 def pair_metrics(table: DataFrame, by: list[str] = PAIR,
                  values: list[int] = VALID_SCORES) -> DataFrame:
     """All two-rater statistics per group: n, rho, MAD, MSD (a - b), exact agreement and alpha."""
-    n, ra, rb = F.col("n"), F.col("rank_a"), F.col("rank_b")
-    constant = (F.min("a") == F.max("a")) | (F.min("b") == F.max("b"))
-    rho = F.try_divide(F.sum(n * ra * rb), F.sqrt(F.sum(n * ra * ra) * F.sum(n * rb * rb)))
-    gap = F.col("a") - F.col("b")
+    rho = ("CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN greatest(-1.0D, least(1.0D, "
+           "sum(n * rank_a * rank_b) / sqrt(sum(n * rank_a * rank_a) * sum(n * rank_b * rank_b)))) "
+           "END")
     return with_mid_ranks(table, by).groupBy(*by).agg(
         F.sum("n").alias("n"),
-        F.when(~constant, F.greatest(F.least(rho, F.lit(1.0)), F.lit(-1.0))).alias("rho"),
-        _weighted_mean(F.abs(gap)).alias("mad"),
-        _weighted_mean(gap).alias("msd"),
-        _weighted_mean(F.when(gap == 0, 1.0).otherwise(0.0)).alias("pct_exact"),
-        _pair_alpha(values).alias("alpha"),
+        F.expr(rho).alias("rho"),
+        _weighted_mean("abs(a - b)").alias("mad"),
+        _weighted_mean("a - b").alias("msd"),
+        _weighted_mean("CAST(a = b AS INT)").alias("pct_exact"),
+        F.expr(_pair_alpha(values)).alias("alpha"),
     )
 
 
@@ -149,7 +146,7 @@ def unit_profiles(ratings: DataFrame, values: list[int] = VALID_SCORES,
 
     Needs no rater list. Ratings of one unit, however many, shrink to one row before the shuffle.
     """
-    counts = [F.count_if(F.col("score") == v).alias(_count_col(v)) for v in values]
+    counts = [F.expr(f"count_if(score = {v})").alias(_count_col(v)) for v in values]
     units = ratings.groupBy(*by, unit).agg(*counts)
     return units.groupBy(*by, *map(_count_col, values)).agg(F.count(F.lit(1)).alias("units"))
 
@@ -157,11 +154,10 @@ def unit_profiles(ratings: DataFrame, values: list[int] = VALID_SCORES,
 def unit_profiles_wide(annotations: DataFrame, cols: list[str], values: list[int] = VALID_SCORES,
                        unit: str = "unit_id") -> DataFrame:
     """The same from wide rows: one shuffled row per annotation instead of one per score."""
-    counts = [F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c in cols for v in values]
-    rows = F.array(*[F.struct(F.lit(c).alias("variable"),
-                              *[F.col(f"{c}_{v}").alias(_count_col(v)) for v in values])
-                     for c in cols])
-    units = annotations.groupBy(unit).agg(*counts).select(F.inline(rows))
+    counts = [F.expr(f"count_if({quoted(c)} = {v})").alias(f"{c}_{v}") for c in cols for v in values]
+    rows = inline_rows([{"variable": literal(c), **{_count_col(v): quoted(f"{c}_{v}") for v in values}}
+                        for c in cols])
+    units = annotations.groupBy(unit).agg(*counts).selectExpr(rows)
     return units.groupBy("variable", *map(_count_col, values)).agg(
         F.count(F.lit(1)).alias("units"))
 
@@ -169,14 +165,12 @@ def unit_profiles_wide(annotations: DataFrame, cols: list[str], values: list[int
 def subset_profiles(patterns: DataFrame, subsets: dict[str, list[str]],
                     values: list[int] = VALID_SCORES, by: list[str] = ("variable",)) -> DataFrame:
     """Profiles of named rater groups, all from one table of score patterns."""
-    def count(members: list[str], v: int) -> Column:
-        return reduce(add, [F.coalesce((F.col(f"`{r}`") == v).cast("int"), F.lit(0))
-                            for r in members])
+    def count(members: list[str], v: int) -> str:
+        return " + ".join(f"CAST({quoted(r)} <=> {v} AS INT)" for r in members)
 
-    rows = F.array(*[F.struct(F.lit(s).alias("subset"),
-                              *[count(rs, v).alias(_count_col(v)) for v in values])
-                     for s, rs in subsets.items() if len(rs) >= 2])
-    return patterns.select(*by, F.col("n").alias("units"), F.inline(rows))
+    rows = inline_rows([{"subset": literal(s), **{_count_col(v): count(rs, v) for v in values}}
+                        for s, rs in subsets.items() if len(rs) >= 2])
+    return patterns.selectExpr(*map(quoted, by), "n AS units", rows)
 
 
 def krippendorff_alpha(profiles: DataFrame, by: list[str] = ("variable",),
@@ -185,17 +179,15 @@ def krippendorff_alpha(profiles: DataFrame, by: list[str] = ("variable",),
 
     Units with fewer than two ratings do not count. Adds ``n_units`` and ``n_ratings``.
     """
-    n = {v: F.col(_count_col(v)).cast("double") for v in values}
-    m = reduce(add, n.values())
-    units = F.col("units").cast("double")
-    paired = profiles.where(reduce(add, [F.col(_count_col(v)) for v in values]) >= 2)
-    sums = [F.sum(units * n[c] * (n[k] - (1.0 if c == k else 0.0)) / (m - 1.0)).alias(f"o_{c}_{k}")
-            for i, c in enumerate(values) for k in values[i:]]
-    o = {(c, k): F.col(f"o_{c}_{k}") for i, c in enumerate(values) for k in values[i:]}
-    return (paired.groupBy(*by)
+    m = "(" + " + ".join(map(_count_col, values)) + ")"
+    n = {v: f"CAST({_count_col(v)} AS DOUBLE)" for v in values}
+    sums = [F.expr(f"sum(units * {n[c]} * ({n[k]} - {int(c == k)}) / ({m} - 1))").alias(f"o_{c}_{k}")
+            for c, k in _value_pairs(values)]
+    alpha = ordinal_alpha({(c, k): f"o_{c}_{k}" for c, k in _value_pairs(values)}, values)
+    return (profiles.where(f"{m} >= 2").groupBy(*by)
             .agg(F.sum("units").alias("n_units"),
-                 F.sum(units * m).cast("bigint").alias("n_ratings"), *sums)
-            .select(*by, "n_units", "n_ratings", ordinal_alpha(o, values).alias("alpha")))
+                 F.expr(f"CAST(sum(units * {m}) AS BIGINT)").alias("n_ratings"), *sums)
+            .selectExpr(*map(quoted, by), "n_units", "n_ratings", f"{alpha} AS alpha"))
 
 
 def alpha_by_subset(patterns: DataFrame, subsets: dict[str, list[str]],

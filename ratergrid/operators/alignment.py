@@ -8,16 +8,16 @@ number of units, and every agreement statistic of any pair or group of raters fo
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ratergrid.dims import inline_rows, literal, quoted, struct_of
 from ratergrid.schemas import SCORE_COLS, VALID_SCORES
 
 
 def rater_cols(raters: list[str]) -> list[Column]:
-    return [F.col(f"`{r}`") for r in raters]
+    return [F.col(quoted(r)) for r in raters]
 
 
 def rater_pairs(raters: list[str]) -> list[tuple[str, str]]:
@@ -52,7 +52,8 @@ def study_subsets(humans: list[str], models: list[str],
 def score_grid(ratings: DataFrame, raters: list[str],
                keys: list[str] = ("unit_id", "variable")) -> DataFrame:
     """Long ratings, one per (unit, rater, variable), to one row per (unit, variable)."""
-    per_rater = [F.max(F.when(F.col("rater") == r, F.col("score"))).alias(r) for r in raters]
+    per_rater = [F.expr(f"max(CASE WHEN rater = {literal(r)} THEN score END)").alias(r)
+                 for r in raters]
     return ratings.where(F.col("rater").isin(raters)).groupBy(*keys).agg(*per_rater)
 
 
@@ -72,53 +73,45 @@ def latest_score_grid(annotations: DataFrame, raters: list[str], order_cols: lis
     return _packed_grid(annotations, raters, order_cols, cols, values, unit)
 
 
-def _lookup(col: Column, mapping: dict) -> Column:
-    branches = F
-    for key, value in mapping.items():
-        branches = branches.when(col == key, value)
-    return branches
+def _case(subject: str, mapping: dict, otherwise: str = "NULL") -> str:
+    branches = " ".join(f"WHEN {subject} = {literal(k)} THEN {v}" for k, v in mapping.items())
+    return f"CASE {branches} ELSE {otherwise} END"
 
 
 def _packed_grid(annotations, raters, order_cols, cols, values, unit) -> DataFrame:
     bits = len(values).bit_length()
     per_pack = 62 // bits
     packs = [cols[i:i + per_pack] for i in range(0, len(cols), per_pack)]
-    slot = {c: (f"_pack{i}", bits * at) for i, pack in enumerate(packs)
-            for at, c in enumerate(pack)}
+    names = [f"_pack{i}" for i in range(len(packs))]
 
-    def code(c: str) -> Column:  # position on the scale, 0 when missing
-        return _lookup(F.col(c), {v: F.lit(i) for i, v in enumerate(values, 1)}).otherwise(
-            F.lit(0)).cast("bigint")
+    def code(c: str) -> str:  # position on the scale, 0 when missing
+        return f"CAST({_case(quoted(c), {v: i for i, v in enumerate(values, 1)}, '0')} AS BIGINT)"
 
-    packed = annotations.where(F.col("rater").isin(raters)).select(unit, "rater", *order_cols, *[
-        reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(code(c), slot[c][1]) for c in pack])
-        .alias(f"_pack{i}") for i, pack in enumerate(packs)])
-    names = [f"_pack{i}" for i in range(len(packs))]
+    packed = annotations.where(F.col("rater").isin(raters)).selectExpr(
+        quoted(unit), "rater", *map(quoted, order_cols), *[
+            " | ".join(f"shiftleft({code(c)}, {at * bits})" for at, c in enumerate(pack))
+            + f" AS {name}" for name, pack in zip(names, packs)])
     bare = not order_cols and len(names) == 1
-    row = F.col(names[0]) if bare else F.struct(*order_cols, *names)
-    wide = packed.groupBy(unit).agg(
-        *[F.max(F.when(F.col("rater") == r, row)).alias(r) for r in raters])
+    row = names[0] if bare else struct_of({c: quoted(c) for c in [*order_cols, *names]})
+    wide = packed.groupBy(unit).agg(*[
+        F.expr(f"max(CASE WHEN rater = {literal(r)} THEN {row} END)").alias(r) for r in raters])
 
     # fan out to variables by number; each cell is then a shift of its rater's pack
-    fanned = wide.select(unit, F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("_v"),
-                         *rater_cols(raters))
-    shift = (F.col("_v") if len(packs) == 1 else F.col("_v") % per_pack) * bits
-    which = F.floor(F.col("_v") / per_pack)
-
-    def cell(r: str) -> Column:
-        at = F.col(f"`{r}`")
-        if bare:
-            pack = at
-        elif len(names) == 1:
-            pack = at[names[0]]
-        else:
-            pack = _lookup(which, {i: at[n] for i, n in enumerate(names)})
-        position = F.call_function("shiftright", pack, shift).bitwiseAND(F.lit((1 << bits) - 1))
-        return _lookup(position, {i: F.lit(v) for i, v in enumerate(values, 1)}).alias(r)
-
-    variable = _lookup(F.col("_v"), {i: F.lit(c) for i, c in enumerate(cols)}).alias("variable")
-    return (fanned.select(unit, variable, *map(cell, raters))
-            .where(F.coalesce(*rater_cols(raters)).isNotNull()))
+    numbers = ", ".join(map(str, range(len(cols))))
+    fanned = wide.selectExpr(quoted(unit), f"explode(array({numbers})) AS _v", *map(quoted, raters))
+    at = "_v" if len(packs) == 1 else f"_v % {per_pack}"
+
+    def cell(r: str) -> str:
+        pack = quoted(r)
+        if not bare:
+            pack = _case(f"_v div {per_pack}",
+                         {i: f"{quoted(r)}.{n}" for i, n in enumerate(names)})
+        position = f"(shiftright({pack}, ({at}) * {bits}) & {(1 << bits) - 1})"
+        return f"{_case(position, {i: literal(v) for i, v in enumerate(values, 1)})} AS {quoted(r)}"
+
+    variable = _case("_v", {i: literal(c) for i, c in enumerate(cols)})
+    return (fanned.selectExpr(quoted(unit), f"{variable} AS variable", *map(cell, raters))
+            .where(f"coalesce({', '.join(map(quoted, raters))}) IS NOT NULL"))
 
 
 def grid_from_columns(df: DataFrame, raters: list[str], variable: str,
@@ -129,12 +122,12 @@ def grid_from_columns(df: DataFrame, raters: list[str], variable: str,
 
 def common_core(grid: DataFrame, raters: list[str]) -> DataFrame:
     """Units and variables scored by every rater."""
-    return grid.where(reduce(lambda x, y: x & y, [c.isNotNull() for c in rater_cols(raters)]))
+    return grid.where(" AND ".join(f"{quoted(r)} IS NOT NULL" for r in raters))
 
 
 def core_units(ratings: DataFrame, raters: list[str], unit: str = "unit_id") -> DataFrame:
     """Ids rated by every rater, from one grouping of long or wide rows."""
-    seen = [F.max(F.col("rater") == r).alias(f"_{i}") for i, r in enumerate(raters)]
+    seen = [F.expr(f"max(rater = {literal(r)})").alias(f"_{i}") for i, r in enumerate(raters)]
     hits = ratings.where(F.col("rater").isin(raters)).groupBy(unit).agg(*seen)
     return hits.where(" AND ".join(f"_{i}" for i in range(len(raters)))).select(unit)
 
@@ -152,16 +145,14 @@ def pattern_counts(grid: DataFrame, raters: list[str], by: list[str] = ("variabl
 def paired_scores(grid: DataFrame, pairs: list[tuple[str, str]],
                   keep: list[str] = ("unit_id", "variable")) -> DataFrame:
     """(keep, rater_a, rater_b, a, b) for each listed pair with both scores present."""
-    both = F.array(*[F.struct(F.lit(x).alias("rater_a"), F.lit(y).alias("rater_b"),
-                              F.col(f"`{x}`").alias("a"), F.col(f"`{y}`").alias("b"))
-                     for x, y in pairs])
-    return grid.select(*keep, F.inline(both)).where("a IS NOT NULL AND b IS NOT NULL")
+    both = inline_rows([{"rater_a": literal(x), "rater_b": literal(y), "a": quoted(x),
+                         "b": quoted(y)} for x, y in pairs])
+    return grid.selectExpr(*map(quoted, keep), both).where("a IS NOT NULL AND b IS NOT NULL")
 
 
 def rater_subsets(grid: DataFrame, subsets: dict[str, list[str]],
                   keep: list[str] = ("unit_id", "variable")) -> DataFrame:
     """(keep, subset, rater, score) for each listed group of at least two raters."""
-    members = [F.struct(F.lit(s).alias("subset"), F.lit(r).alias("rater"),
-                        F.col(f"`{r}`").alias("score"))
-               for s, rs in subsets.items() if len(rs) >= 2 for r in rs]
-    return grid.select(*keep, F.inline(F.array(*members))).where("score IS NOT NULL")
+    members = inline_rows([{"subset": literal(s), "rater": literal(r), "score": quoted(r)}
+                           for s, rs in subsets.items() if len(rs) >= 2 for r in rs])
+    return grid.selectExpr(*map(quoted, keep), members).where("score IS NOT NULL")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratergrid.dims import literal_rows
+from ratergrid.dims import fan_out, inline_rows, literal, quoted
 from ratergrid.functions.posts import ENGAGEMENT_TIERS
 from ratergrid.functions.verdicts import FLOOR_SHARE, floor_effect_flag
-from ratergrid.operators.alignment import rater_cols
 from ratergrid.schemas import VALID_SCORES
 
 
@@ -22,7 +21,7 @@ def tier_composition(df: DataFrame, key: str = "engagement_level",
     """Count and percentage per tier, absent tiers as zero."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("found"))
     listed = counts.sparkSession.range(1).select(
-        F.inline(literal_rows([{key: t, "ord": i} for i, t in enumerate(tiers, 1)])))
+        fan_out([{key: t, "ord": i} for i, t in enumerate(tiers, 1)]))
     n = F.coalesce("found", F.lit(0))
     total = F.sum(n).over(Window.partitionBy())
     return listed.join(counts, key, "left").select(
@@ -109,36 +108,33 @@ def score_counts(ratings: DataFrame, by: list[str] = ("rater", "variable")) -> D
 def pattern_score_counts(patterns: DataFrame, raters: list[str],
                          by: list[str] = ("variable",)) -> DataFrame:
     """The same counts per rater from score patterns, without reading ratings again."""
-    cells = F.array(*[F.struct(F.lit(r).alias("rater"), c.alias("score"))
-                      for r, c in zip(raters, rater_cols(raters))])
-    return (patterns.select(*by, "n", F.inline(cells)).where("score IS NOT NULL")
+    cells = inline_rows([{"rater": literal(r), "score": quoted(r)} for r in raters])
+    return (patterns.selectExpr(*map(quoted, by), "n", cells).where("score IS NOT NULL")
             .groupBy("rater", *by, "score").agg(F.sum("n").alias("n")))
 
 
 def score_distribution(counts: DataFrame, by: list[str] = ("rater", "variable"),
                        values: list[int] = VALID_SCORES) -> DataFrame:
     """Counts per score of the scale, zero where a score never occurs."""
-    per_value = [F.sum(F.when(F.col("score") == v, F.col("n")).otherwise(0)).alias(f"n_{v}")
+    per_value = [F.expr(f"sum(CASE WHEN score = {v} THEN n ELSE 0 END)").alias(f"n_{v}")
                  for v in values]
-    filled = F.array(*[F.struct(F.lit(v).alias("score"), F.col(f"n_{v}").alias("n"))
-                       for v in values])
-    return counts.groupBy(*by).agg(*per_value).select(*by, F.inline(filled))
+    filled = inline_rows([{"score": literal(v), "n": f"n_{v}"} for v in values])
+    return counts.groupBy(*by).agg(*per_value).selectExpr(*map(quoted, by), filled)
 
 
 def score_proportions(counts: DataFrame, columns: dict[str, str],
                       values: list[int] = VALID_SCORES, key: str = "rater") -> DataFrame:
     """Share of each score per variable, one column per listed rater or prompt variant."""
-    def n(rater: str, v: int | None = None) -> Column:
-        hit = F.col(key) == rater
-        return F.sum(F.when(hit if v is None else hit & (F.col("score") == v),
-                            F.col("n")).otherwise(0))
-
-    rows = F.array(*[F.struct(F.lit(v).alias("score"),
-                              *[F.try_divide(F.col(f"{name}_{v}"), F.col(name)).alias(name)
-                                for name in columns.values()]) for v in values])
-    sums = [n(r).alias(name) for r, name in columns.items()]
-    sums += [n(r, v).alias(f"{name}_{v}") for r, name in columns.items() for v in values]
-    return counts.groupBy("variable").agg(*sums).select("variable", F.inline(rows))
+    def n(rater: str, test: str = "true") -> str:
+        return f"sum(CASE WHEN {quoted(key)} = {literal(rater)} AND {test} THEN n ELSE 0 END)"
+
+    rows = inline_rows([{"score": literal(v), **{
+        name: f"try_divide({quoted(f'{name}_{v}')}, {quoted(name)})" for name in columns.values()}}
+        for v in values])
+    sums = [F.expr(n(r)).alias(name) for r, name in columns.items()]
+    sums += [F.expr(n(r, f"score = {v}")).alias(f"{name}_{v}")
+             for r, name in columns.items() for v in values]
+    return counts.groupBy("variable").agg(*sums).selectExpr("variable", rows)
 
 
 def floor_effect(counts: DataFrame, by: list[str] = ("rater", "variable"),

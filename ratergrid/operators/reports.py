@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ratergrid.dims import join_dim, literal_rows, map_values
+from ratergrid.dims import fan_out, join_dim, literal, map_values, quoted
 from ratergrid.functions.numeric import round_exact, round_scaled
 from ratergrid.functions.verdicts import agreement_zone, stability_verdict
 from ratergrid.operators.agreement import (alpha_by_subset, contingency, pair_metrics,
@@ -29,12 +26,12 @@ def intra_rater_table(patterns: DataFrame, first: str, second: str) -> DataFrame
     m = with_p_value(pair_metrics(contingency(patterns, [(first, second)])))
     return m.select(
         "variable",
-        round_scaled(F.col("alpha"), DIGITS).alias("krippendorff_alpha"),
-        round_scaled(F.col("rho"), DIGITS).alias("spearman_rho"),
-        round_scaled(F.col("p"), 4).alias("spearman_p"),
-        round_exact(F.col("mad"), DIGITS).alias("mad"),
-        round_exact(F.col("msd"), DIGITS).alias("mean_drift"),
-        round_exact(F.col("pct_exact"), DIGITS).alias("pct_exact_agree"))
+        round_scaled("alpha", DIGITS).alias("krippendorff_alpha"),
+        round_scaled("rho", DIGITS).alias("spearman_rho"),
+        round_scaled("p", 4).alias("spearman_p"),
+        round_exact("mad", DIGITS).alias("mad"),
+        round_exact("msd", DIGITS).alias("mean_drift"),
+        round_exact("pct_exact", DIGITS).alias("pct_exact_agree"))
 
 
 def inter_rater_table(patterns: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -44,9 +41,9 @@ def inter_rater_table(patterns: DataFrame, pairs: list[tuple[str, str]]) -> Data
     return m.select(
         map_values(_pairing(), order).alias("pair_ord"), "rater_a", "rater_b",
         _pairing().alias("pairing"), "variable",
-        round_scaled(F.col("rho"), DIGITS).alias("spearman_rho"),
-        round_scaled(F.col("p"), 4).alias("spearman_p"),
-        round_exact(F.col("mad"), DIGITS).alias("mad"))
+        round_scaled("rho", DIGITS).alias("spearman_rho"),
+        round_scaled("p", 4).alias("spearman_p"),
+        round_exact("mad", DIGITS).alias("mad"))
 
 
 def alpha_subset_table(patterns: DataFrame, subsets: dict[str, list[str]],
@@ -57,10 +54,10 @@ def alpha_subset_table(patterns: DataFrame, subsets: dict[str, list[str]],
 
 
 def pivot_metric(df: DataFrame, index: str, value: str, cols: list[str] = SCORE_COLS,
-                 finish=lambda x: x) -> DataFrame:
+                 finish=F.expr) -> DataFrame:
     """index x variable matrix of means, with the variables listed so no extra job runs."""
     wide = df.groupBy(index).pivot("variable", cols).agg(F.avg(value))
-    return wide.select(index, *[finish(F.col(c)).alias(c) for c in cols])
+    return wide.select(index, *[finish(quoted(c)).alias(c) for c in cols])
 
 
 def stability_table(patterns: DataFrame, first: str, second: str) -> DataFrame:
@@ -68,11 +65,11 @@ def stability_table(patterns: DataFrame, first: str, second: str) -> DataFrame:
     m = with_p_value(pair_metrics(contingency(patterns, [(first, second)])))
     return m.select(
         "variable",
-        round_scaled(F.col("rho"), DIGITS).alias("spearman_rho"),
-        round_scaled(F.col("p"), 4).alias("p_value"),
-        round_scaled(F.col("alpha"), DIGITS).alias("krippendorff_alpha"),
-        round_exact(F.col("mad"), DIGITS).alias("mad"),
-        round_exact(F.col("pct_exact"), DIGITS).alias("pct_exact_agree"),
+        round_scaled("rho", DIGITS).alias("spearman_rho"),
+        round_scaled("p", 4).alias("p_value"),
+        round_scaled("alpha", DIGITS).alias("krippendorff_alpha"),
+        round_exact("mad", DIGITS).alias("mad"),
+        round_exact("pct_exact", DIGITS).alias("pct_exact_agree"),
         stability_verdict(F.col("rho")).alias("verdict"),
         agreement_zone(F.col("alpha")).alias("alpha_zone"))
 
@@ -88,11 +85,12 @@ def _summary(metrics: DataFrame, value: str, mean_name: str, cols: list[str], ro
              nan_policy: str) -> DataFrame:
     """Variables as columns, rounded, and the mean of the rounded values."""
     wide = pivot_metric(metrics, "condition", value, cols, lambda x: rounding(x, DIGITS))
+    names = [quoted(c) for c in cols]
     if nan_policy == "propagate":
-        mean = reduce(add, [F.col(c) for c in cols]) / F.lit(float(len(cols)))
+        mean = f"({' + '.join(names)}) / {len(cols)}"
     elif nan_policy == "skip":
-        known = reduce(add, [F.col(c).isNotNull().cast("int") for c in cols])
-        mean = F.try_divide(reduce(add, [F.coalesce(F.col(c), F.lit(0.0)) for c in cols]), known)
+        known = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in names)
+        mean = f"try_divide({' + '.join(f'coalesce({c}, 0.0D)' for c in names)}, {known})"
     else:
         raise ValueError(f"unknown nan_policy {nan_policy!r}")
     return wide.withColumn(mean_name, round_scaled(mean, DIGITS))
@@ -129,8 +127,7 @@ def metric_lookup(table: DataFrame, wanted: list[tuple[str, str, str]], value: s
     schema = "rater_a string, rater_b string, variable string"
     keys = ["rater_a", "rater_b", "variable"]
     hits = join_dim(table.select(*keys, value), wanted, schema, keys, "inner")
-    listed = table.sparkSession.range(1).select(
-        F.inline(literal_rows([dict(zip(keys, w)) for w in wanted])))
+    listed = table.sparkSession.range(1).select(fan_out([dict(zip(keys, w)) for w in wanted]))
     return listed.join(hits, keys, "left")
 
 
@@ -144,10 +141,10 @@ def reliability_summary(patterns: DataFrame, first: str, second: str,
     joined = m.join(alpha, "variable", "left").join(floor, "variable", "left")
     return joined.select(
         "variable",
-        round_scaled(F.col("rho"), DIGITS).alias("rho"),
-        round_exact(F.col("mad"), DIGITS).alias("mad"),
-        round_exact(F.col("msd"), DIGITS).alias("msd"),
-        *[round_scaled(F.col(f"`{g}`"), DIGITS).alias(f"alpha_{g}") for g in groups],
+        round_scaled("rho", DIGITS).alias("rho"),
+        round_exact("mad", DIGITS).alias("mad"),
+        round_exact("msd", DIGITS).alias("msd"),
+        *[round_scaled(f"`{g}`", DIGITS).alias(f"alpha_{g}") for g in groups],
         "floor_effect")
 
 
@@ -158,12 +155,13 @@ def agreement_matrix(metrics: DataFrame, raters: list[str], value: str = "rho",
                    F.struct(F.col("rater_b").alias("row"), F.col("rater_a").alias("col")))
     cells = metrics.select("variable", F.col(value).alias("x"), F.inline(both))
     matrix = cells.groupBy("variable", "row").pivot("col", raters).agg(F.first("x"))
-    order = {r: i for i, r in enumerate(raters)}
-    row_ord = map_values(F.col("row"), order)
+    ords = ", ".join(f"{literal(r)}, {i}" for i, r in enumerate(raters))
     out = []
     for i, r in enumerate(raters):
-        x = F.when(row_ord == i, F.lit(1.0)).otherwise(F.col(f"`{r}`"))
-        out.append((F.when(row_ord >= i, x) if lower_only else x).alias(r))
+        x = f"CASE WHEN row = {literal(r)} THEN 1.0D ELSE {quoted(r)} END"
+        if lower_only:
+            x = f"CASE WHEN map({ords})[row] >= {i} THEN {x} END"
+        out.append(F.expr(x).alias(r))
     return matrix.select("variable", "row", *out)
 
 

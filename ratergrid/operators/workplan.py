@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ratergrid.dims import join_dim, literal_rows
+from ratergrid.dims import fan_out, join_dim, literal, struct_of
 from ratergrid.functions.text import render_prompt
 
 PROMPT_SCHEMA = ("prompt_variant string, codebook string, output_format string, lead_in string, "
@@ -13,7 +13,7 @@ PROMPT_SCHEMA = ("prompt_variant string, codebook string, output_format string,
 
 def work_plan_cross(posts: DataFrame, labels: list[dict]) -> DataFrame:
     """Every post with every model, prompt variant or condition. Fans out in place, no join."""
-    return posts.select("*", F.inline(literal_rows(labels)))
+    return posts.select("*", fan_out(labels))
 
 
 def _done_flags(done: DataFrame, post_col: str, label_col: str, names: list) -> DataFrame:
@@ -30,13 +30,11 @@ def remaining_work(posts: DataFrame, labels: list[dict], done: DataFrame, post_c
     """
     names = [row[label_col] for row in labels]
     flagged = posts.join(_done_flags(done, post_col, label_col, names), post_col, "left")
-    open_rows = F.filter(
-        F.array(*[F.struct(F.coalesce(F.col(f"_done{i}"), F.lit(False)).alias("done"),
-                           F.struct(*[F.lit(v).alias(k) for k, v in row.items()]).alias("label"))
-                  for i, row in enumerate(labels)]),
-        lambda item: ~item["done"])
-    out = flagged.withColumn("_item", F.explode(F.transform(open_rows, lambda x: x["label"])))
-    return out.select(*posts.columns, "_item.*")
+    items = ", ".join(
+        "named_struct('done', coalesce(_done%d, false), 'label', %s)"
+        % (i, struct_of({k: literal(v) for k, v in row.items()})) for i, row in enumerate(labels))
+    still_open = f"transform(filter(array({items}), x -> NOT x.done), x -> x.label)"
+    return flagged.select(*posts.columns, F.expr(f"inline({still_open})"))
 
 
 def progress_report(posts: DataFrame, labels: list[dict], done: DataFrame, post_col: str,

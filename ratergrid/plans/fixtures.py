@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratergrid.dims import literal_rows
+from ratergrid.dims import fan_out
 from ratergrid.operators.alignment import (common_core, grid_from_columns, latest_score_grid,
                                            pattern_counts, score_grid_wide)
 from ratergrid.operators.hygiene import validity_filter
@@ -161,8 +161,8 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def condition_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide scores per document and framing condition; conditions act as raters."""
-    framed = table(spark, sf_dir, "documents").select("doc_id", F.inline(literal_rows(
-        [{"rater": c, "ord": i} for i, c in enumerate(ALL_CONDITIONS)])))
+    framed = table(spark, sf_dir, "documents").select("doc_id", fan_out(
+        [{"rater": c, "ord": i} for i, c in enumerate(ALL_CONDITIONS)]))
     scores = [f"{_condition_score('doc_id', str(k), 'ord')} AS {v}"
               for k, v in enumerate(SCORE_COLS, 1)]
     return framed.selectExpr("CAST(doc_id AS STRING) AS unit_id", "rater", *scores)

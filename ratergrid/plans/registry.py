@@ -102,14 +102,20 @@ def alpha_ctes(src: str, by: list[str], tag: str = "al") -> dict[str, str]:
 
 
 def pair_ctes(src: str, by: list[str], tag: str = "st") -> dict[str, str]:
-    """Two-rater statistics from rows (by, a, b), ranks taken over the rows; result ``{tag}``."""
+    """Two-rater statistics from rows (by, a, b), ranks taken over the rows; result ``{tag}``.
+
+    Ranks are doubled and centred, so the sums behind rho are exact integers and a rho that lies on a
+    rounding tie does not depend on the order in which rows are read.
+    """
     b = cols(by)
-    rank = lambda v: (f"RANK() OVER (PARTITION BY {b} ORDER BY {v}) + "
-                      f"(COUNT(*) OVER (PARTITION BY {b}, {v}) - 1) / 2.0")
+    rank = lambda v: (f"2 * RANK() OVER (PARTITION BY {b} ORDER BY {v}) + COUNT(*) OVER (PARTITION BY {b}, {v}) "
+                      f"- 2 - COUNT(*) OVER (PARTITION BY {b})")
+    total = lambda x, y: f"CAST(SUM({x} * {y}) AS DOUBLE)"
     return {
         f"{tag}_r": f"SELECT {b}, a, b, {rank('a')} AS ra, {rank('b')} AS rb FROM {src}",
-        tag: f"SELECT {b}, COUNT(*) AS n, CASE WHEN MIN(a) < MAX(a) AND MIN(b) < MAX(b) "
-             f"THEN CORR(ra, rb) END AS rho, AVG(ABS(a - b)) AS mad, AVG(a - b) AS msd, "
+        tag: f"SELECT {b}, COUNT(*) AS n, CASE WHEN MIN(a) < MAX(a) AND MIN(b) < MAX(b) THEN "
+             f"{total('ra', 'rb')} / SQRT({total('ra', 'ra')} * {total('rb', 'rb')}) END AS rho, "
+             f"AVG(ABS(a - b)) AS mad, AVG(a - b) AS msd, "
              f"AVG(CASE WHEN a = b THEN 1 ELSE 0 END) AS pct_exact FROM {tag}_r GROUP BY {b}",
     }
 
