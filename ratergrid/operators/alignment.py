@@ -133,9 +133,11 @@ def core_units(ratings: DataFrame, raters: list[str], unit: str = "unit_id") ->
 
 
 def grid_to_ratings(grid: DataFrame, raters: list[str]) -> DataFrame:
-    """Back to (unit, rater, variable, score), without a shuffle."""
-    ids = [c for c in grid.columns if c not in raters]
-    return grid.unpivot(ids, raters, "rater", "score").where("score IS NOT NULL")
+    """Back to (unit, variable, rater, score). Fans out in place, so what follows per unit needs no
+    further shuffle (``unpivot`` would lose the partitioning)."""
+    ids = [quoted(c) for c in grid.columns if c not in raters]
+    cells = inline_rows([{"rater": literal(r), "score": quoted(r)} for r in raters])
+    return grid.selectExpr(*ids, cells).where("score IS NOT NULL")
 
 
 def pattern_counts(grid: DataFrame, raters: list[str], by: list[str] = ("variable",)) -> DataFrame:

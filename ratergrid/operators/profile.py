@@ -31,39 +31,41 @@ def tier_composition(df: DataFrame, key: str = "engagement_level",
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float] = QUARTILES,
-                    steps: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float] = QUARTILES) -> DataFrame:
     """One row of exact quantiles with linear interpolation, for any number of distinct values.
 
-    Distinct values are counted first and put into bins by the logarithm of their size. Running
-    totals are taken within each bin and over the bins, so no task sorts all distinct values. With
-    ``steps`` bins per unit of ln(1 + |x|) there are at most 2 * 710 * steps bins for any data.
+    A first pass counts rows in narrow bins of ln(1 + |x|) and finds the bins that hold the wanted
+    ranks; a second pass looks at the values in those bins only. Rows are never sorted or shuffled
+    as such. Bins are grouped by 1024 into at most 91,000 coarse ones, over which totals run.
     """
-    x = F.col(col).cast("double")
-    counts = (df.select(x.alias("x")).where("x IS NOT NULL AND NOT isnan(x)").groupBy("x")
-              .agg(F.count(F.lit(1)).alias("n")))
-    slot = F.signum("x") * F.floor(F.log1p(F.abs("x")) * steps)
-    binned = counts.withColumn("bin", slot)
-    over_bins = Window.orderBy("bin")
-    before = (binned.groupBy("bin").agg(F.sum("n").alias("bin_n"))
-              .select("bin", (F.sum("bin_n").over(over_bins) - F.col("bin_n")).alias("before"),
-                      F.sum("bin_n").over(Window.partitionBy()).alias("total")))
-    inner = F.sum("n").over(Window.partitionBy("bin").orderBy("x"))
-    # the number of bins is bounded, so the broadcast side does not grow with the data
-    placed = (binned.withColumn("inner", inner).join(F.broadcast(before), "bin")
-              .withColumn("upto", F.col("before") + F.col("inner")))
-    ends = []
+    rows = (df.select(F.col(col).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+            .withColumn("bin", F.expr("CAST(signum(x) * floor(ln(1 + abs(x)) * 65536) AS BIGINT)")))
+    fine = (rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("coarse", F.expr("floor(bin / 1024)")))
+    coarse = fine.groupBy("coarse").agg(F.sum("n").alias("coarse_n")).selectExpr(
+        "coarse", "sum(coarse_n) OVER () AS total",
+        "sum(coarse_n) OVER (ORDER BY coarse) - coarse_n AS coarse_before")
+    ranks = {}
     for name, prob in probs.items():
-        lower = F.floor((F.col("total") - 1) * F.lit(float(prob)))
-        for end, rank in (("lo", lower), ("hi", F.least(lower + 1, F.col("total") - 1))):
-            hit = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-            ends.append(F.max(F.when(hit, F.col("x"))).alias(f"{name}_{end}"))
+        lower = f"floor((total - 1) * {float(prob)}D)"
+        ranks[f"{name}_lo"], ranks[f"{name}_hi"] = lower, f"least({lower} + 1, total - 1)"
+    holds = " OR ".join(f"{rank} BETWEEN before AND before + n - 1" for rank in ranks.values())
+    # both broadcast sides are bounded: coarse bins by the range of a double, bins by the ranks
+    wanted = (fine.join(F.broadcast(coarse), "coarse")
+              .withColumn("before", F.expr(
+                  "coarse_before + sum(n) OVER (PARTITION BY coarse ORDER BY bin) - n"))
+              .where(holds).select("bin", "before", "total"))
+    values = (rows.join(F.broadcast(wanted), "bin").groupBy("bin", "before", "total", "x")
+              .agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("upto", F.expr("before + sum(n) OVER (PARTITION BY bin ORDER BY x)")))
+    ends = [F.expr(f"max(CASE WHEN {rank} BETWEEN upto - n AND upto - 1 THEN x END)").alias(end)
+            for end, rank in ranks.items()]
     out = []
     for name, prob in probs.items():
-        pos = (F.col("total") - 1) * F.lit(float(prob))
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return placed.agg(F.max("total").alias("total"), *ends).select(*out)
+        position = f"((total - 1) * {float(prob)}D)"
+        out.append(f"{name}_lo + ({name}_hi - {name}_lo) * ({position} - floor({position})) "
+                   f"AS {name}")
+    return values.agg(F.max("total").alias("total"), *ends).selectExpr(*out)
 
 
 def describe_numeric(df: DataFrame, col: str, approx: bool = False,

@@ -168,7 +168,8 @@ def agreement_matrix(metrics: DataFrame, raters: list[str], value: str = "rho",
 def case_extract(annotations: DataFrame, cases: list[tuple[str, str]],
                  unit: str = "unit_id", label: str = "rater") -> DataFrame:
     """All raters' rows of the chosen units, by case then rater."""
-    picked = join_dim(annotations, [(u, c) for c, u in cases],
+    listed = annotations.where(F.col(unit).isin([u for _, u in cases]))  # reaches the scan
+    picked = join_dim(listed, [(u, c) for c, u in cases],
                       f"{unit} string, case_name string", unit)
     return picked.orderBy("case_name", label)
 

@@ -13,6 +13,7 @@ from ratergrid.plans.fixtures import (ALL_CONDITIONS, BASELINE, CONDITIONS, DOC_
 from ratergrid.plans.registry import (alpha_ctes, p_ctes, pair_ctes, printed, query, r6, scaled,
                                       with_ctes)
 from ratergrid.schemas import SCORE_COLS
+from ratergrid.session import stored
 
 FIRST, SECOND = "neutral", "extreme_rep"
 BY = ["rater_a", "rater_b", "variable"]
@@ -149,7 +150,7 @@ def _(spark, sf):
     f"""SELECT st.variable, {r6('rho')} AS rho, {r6('pct_exact')} AS pct_exact, low_variance FROM st JOIN low
   ON low.variable = st.variable {_ONE}"""))
 def _(spark, sf):
-    return R.rho_vs_exact(condition_patterns(spark, sf), FIRST, SECOND)
+    return R.rho_vs_exact(stored(condition_patterns(spark, sf), "patterns"), FIRST, SECOND)
 
 
 _GROUP_SQL = {
@@ -168,7 +169,7 @@ _GROUP_SQL = {
   LEFT JOIN al z ON z.variable = st.variable AND z.subset = 'humans'
   WHERE st.rater_a = '{PEOPLE[0]}' AND st.rater_b = '{PEOPLE[1]}'"""))
 def _(spark, sf):
-    return R.reliability_summary(condition_patterns(spark, sf), *PEOPLE, GROUPS)
+    return R.reliability_summary(stored(condition_patterns(spark, sf), "patterns"), *PEOPLE, GROUPS)
 
 
 _DOC_PAIRS = {"doc_pairs": "SELECT x.rater AS rater_a, y.rater AS rater_b, x.variable, x.unit_id, x.score AS a, "

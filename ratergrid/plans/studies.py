@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ratergrid.dims import map_values
 from ratergrid.functions.posts import ENGAGEMENT_PROPORTIONS, ENGAGEMENT_TIERS
@@ -20,18 +20,11 @@ from ratergrid.operators.hygiene import annotation_id, dedupe_latest, validity_f
 from ratergrid.operators.profile import (pattern_score_counts, score_distribution,
                                          score_proportions)
 from ratergrid.schemas import REQUIRED_POST_COLS, SCORE_COLS, annotation_columns
-from ratergrid.session import scratch_path
+from ratergrid.session import scratch_path, stored
 from ratergrid.sources import (append_annotations, load_existing, min_rows_guard, require_columns,
                                sink_csv, sink_parquet_typed)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, safe when executors go."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def sampling_run(source: DataFrame, out: str, language: str, start: str, end: str, n: int,
                  seed: int, tiers: dict[str, float | None] = ENGAGEMENT_TIERS,
                  proportions: dict[str, float] = ENGAGEMENT_PROPORTIONS,
