@@ -72,9 +72,15 @@ def stratified_sample(df: DataFrame, key: str, quotas: dict[str, int], id_col: s
 def simple_random_sample(df: DataFrame, n: int, id_col: str, seed: int, tie_cols: list[str] = (),
                          prefix_digits: int = PREFIX_DIGITS) -> DataFrame:
     """Exactly ``n`` rows, or all when there are fewer."""
-    whole = df.withColumn("_all", F.lit("all"))
-    return stratified_sample(whole, "_all", {"all": n}, id_col, seed, tie_cols,
-                             prefix_digits).drop("_all", "row_id")
+    keyed = df.withColumn("_order", sample_order(id_col, seed))
+    prefix = F.substring("_order", 1, prefix_digits)
+    upto = F.sum("_n").over(Window.orderBy("_prefix"))  # at most 16^prefix_digits rows
+    reached = (keyed.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_upto", upto))
+    cut = reached.agg(F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_prefix"))),
+                                 F.max("_prefix")).alias("cut")).scalar()
+    near = keyed.where(prefix <= cut)
+    return near.orderBy("_order", id_col, *tie_cols).limit(n).drop("_order")
 
 
 def tier_shortfall(df: DataFrame, key: str, quotas: dict[str, int]) -> DataFrame:

@@ -69,9 +69,11 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
 
     responses = Q.read_responses(spark.read.parquet(run_log), variables, error="error")
     done = Q.first_valid_attempt(responses, variables, max_attempts=max_attempts)
-    keyed = W.work_plan_cross(posts, labels).withColumn("rater", F.col(label_col).cast("string"))
-    rows = keyed.join(done.withColumnRenamed("unit_id", "tweet_id"), ["tweet_id", "rater"])
+    # each post meets its annotations once; what belongs to the label is looked up afterwards
+    rows = done.withColumnRenamed("unit_id", "tweet_id").join(posts, "tweet_id")
     rows = annotation_id(rows, ["tweet_id", "rater"]).withColumns({
+        **{c: map_values(F.col("rater"), {str(row[label_col]): row[c] for row in labels})
+           for c in labels[0]},
         "date": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"),
         "annotation_session": F.lit(session)})
     order = [c for c in annotation_columns(variables) if c in rows.columns]
