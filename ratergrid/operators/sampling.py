@@ -3,14 +3,15 @@
 Rows are ordered by ``md5(seed:id)``, so a sample depends on the seed and the ids only, not on how
 the data is partitioned. A stratum may hold nearly all rows; it is never sorted or shuffled whole.
 A first pass counts rows per digest prefix and finds the prefix at which a stratum's quota is
-reached; the second pass keeps the rows up to that prefix, and only those few are ranked.
+reached; the second pass keeps the rows up to that prefix, and only those few are ranked, in groups of
+equal leading digits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratergrid.dims import small_table
+from ratergrid.dims import MAX_DIM_ROWS, map_values, small_table
 from ratergrid.functions.posts import ENGAGEMENT_PROPORTIONS
 
 PREFIX_DIGITS = 5
@@ -31,31 +32,51 @@ def quota_table(df: DataFrame, quotas: dict[str, int], key: str) -> DataFrame:
     return small_table(df.sparkSession, rows, f"{key} string, ord int, quota bigint")
 
 
+def _quota_columns(key: str, quotas: dict[str, int]) -> dict[str, Column]:
+    return {"ord": map_values(F.col(key), {k: i for i, k in enumerate(quotas, 1)}),
+            "quota": map_values(F.col(key), quotas)}
+
+
+def _group_digits(strata: int) -> int:
+    """Digest digits that split a stratum for ranking; keeps strata x groups within the dim limit."""
+    return max((d for d in range(4) if strata * 16 ** d <= MAX_DIM_ROWS), default=0)
+
+
 def _ranked(df: DataFrame, key: str, quotas: dict[str, int], id_col: str, seed: int,
             tie_cols: list[str], prefix_digits: int) -> DataFrame:
-    """Rows within their stratum's quota, with ``rn`` (rank in the stratum) and ``ord``, ``before``
-    (sampled rows in earlier strata)."""
+    """Rows within their stratum's quota, with ``rn``, the rank in the stratum, and ``before``, the
+    sampled rows of earlier strata."""
+    group_digits = min(_group_digits(len(quotas)), prefix_digits)
     keyed = df.where(F.col(key).isin(list(quotas))).withColumn("_order", sample_order(id_col, seed))
     prefix = F.substring("_order", 1, prefix_digits)
+    group = F.substring("_order", 1, group_digits).alias("_group")
 
-    by_key = Window.partitionBy(key)
-    upto = by_key.orderBy("_prefix")
-    counts = keyed.groupBy(key, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
-    reached = (counts.withColumn("_upto", F.sum("_n").over(upto))
-               .join(F.broadcast(quota_table(df, quotas, key)), key))
+    in_key = Window.partitionBy(key)
+    upto = F.sum("_n").over(in_key.orderBy("_prefix"))
+    counts = (keyed.groupBy(key, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumns({"_upto": upto, **_quota_columns(key, quotas)}))
     # the first prefix at which the quota is reached, or the last one of a short stratum
-    cut = (reached.groupBy(key, "ord", "quota")
-           .agg(F.coalesce(F.min(F.when(F.col("_upto") >= F.col("quota"), F.col("_prefix"))),
-                           F.max("_prefix")).alias("_cut"),
-                F.least(F.max("_upto"), F.max("quota")).alias("_taken")))
-    earlier = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("before", F.coalesce(F.sum("_taken").over(earlier), F.lit(0)))
-
-    # one row per stratum, so the broadcast side cannot grow with the data
-    near = keyed.join(F.broadcast(cut), key).where(prefix <= F.col("_cut"))
-    rank = F.row_number().over(by_key.orderBy("_order", id_col, *tie_cols))
-    return (near.withColumn("rn", rank).where(F.col("rn") <= F.col("quota"))
-            .drop("_order", "_cut", "_taken"))
+    met = F.min(F.when(F.col("_upto") >= F.col("quota"), F.col("_prefix"))).over(in_key)
+    counts = counts.withColumns({
+        "_cut": F.coalesce(met, F.max("_prefix").over(in_key)),
+        "_taken": F.least(F.sum("_n").over(in_key), F.col("quota"))})
+    # ranks run within digest groups, so a large quota is ranked by many tasks
+    groups = (counts.groupBy(key, F.substring("_prefix", 1, group_digits).alias("_group"),
+                             "ord", "quota", "_cut", "_taken")
+              .agg(F.min(F.col("_upto") - F.col("_n")).alias("_group_before"))
+              .where(F.col("_group_before") < F.col("quota")))
+    earlier = Window.orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
+    once = F.when(F.col("_group_before") == 0, F.col("_taken"))  # one group of each stratum
+    groups = groups.select(key, "_group", "quota", "_cut", "_group_before",
+                           F.coalesce(F.sum(once).over(earlier), F.lit(0)).alias("before"))
+
+    # at most 16^group_digits rows per stratum, so the broadcast side does not grow with the data
+    near = (keyed.withColumn("_group", group)
+            .join(F.broadcast(groups), [key, "_group"]).where(prefix <= F.col("_cut")))
+    rank = F.row_number().over(Window.partitionBy(key, "_group").orderBy("_order", id_col, *tie_cols))
+    return (near.withColumn("rn", F.col("_group_before") + rank)
+            .where(F.col("rn") <= F.col("quota"))
+            .drop("_order", "_group", "_group_before", "_cut", "quota"))
 
 
 def stratified_sample(df: DataFrame, key: str, quotas: dict[str, int], id_col: str, seed: int,
@@ -66,21 +87,15 @@ def stratified_sample(df: DataFrame, key: str, quotas: dict[str, int], id_col: s
     """
     ranked = _ranked(df, key, quotas, id_col, seed, list(tie_cols), prefix_digits)
     return (ranked.withColumn("row_id", (F.col("before") + F.col("rn")).cast("int"))
-            .drop("ord", "quota", "before", "rn"))
+            .drop("before", "rn"))
 
 
 def simple_random_sample(df: DataFrame, n: int, id_col: str, seed: int, tie_cols: list[str] = (),
                          prefix_digits: int = PREFIX_DIGITS) -> DataFrame:
     """Exactly ``n`` rows, or all when there are fewer."""
-    keyed = df.withColumn("_order", sample_order(id_col, seed))
-    prefix = F.substring("_order", 1, prefix_digits)
-    upto = F.sum("_n").over(Window.orderBy("_prefix"))  # at most 16^prefix_digits rows
-    reached = (keyed.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_upto", upto))
-    cut = reached.agg(F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_prefix"))),
-                                 F.max("_prefix")).alias("cut")).scalar()
-    near = keyed.where(prefix <= cut)
-    return near.orderBy("_order", id_col, *tie_cols).limit(n).drop("_order")
+    whole = df.withColumn("_all", F.lit("all"))
+    return _ranked(whole, "_all", {"all": n}, id_col, seed, list(tie_cols),
+                   prefix_digits).select(*df.columns)
 
 
 def tier_shortfall(df: DataFrame, key: str, quotas: dict[str, int]) -> DataFrame:
