@@ -6,19 +6,19 @@ from pyspark.sql import Column, functions as F
 
 # What counts as a code fence and as white space in a response.
 FENCE = r"(?U)```(?:json)?[\s\x1c-\x1f]*"
-LEADING_SPACE = r"(?U)^[\s\x1c-\x1f]+"
-TRAILING_SPACE = r"(?U)[\s\x1c-\x1f]+\z"
+SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+         "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_space(text: Column) -> Column:
-    """Trim all white space. ``trim`` alone would strip blanks only."""
-    return F.regexp_replace(F.regexp_replace(text, LEADING_SPACE, ""), TRAILING_SPACE, "")
+    """Trim all white space; a bare ``trim`` would strip blanks only."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 def strip_code_fences(text: Column) -> Column:
     """Drop fences anywhere, then white space and backticks at the end."""
     body = strip_space(F.regexp_replace(text, FENCE, ""))
-    return strip_space(F.regexp_replace(body, r"`+\z", ""))
+    return strip_space(F.rtrim(body, F.lit("`")))
 
 
 def render_prompt(codebook: Column, output_format: Column, lead_in: Column, post_type: Column,

@@ -22,6 +22,15 @@ RETRY_WAIT = 15
 KEY = ["unit_id", "rater"]
 
 
+def computed_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns whose values are fixed here.
+
+    A filter on a plain derived column is pushed below it with its whole expression, so a parse
+    would run once per mention. Filters stay above a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def parse_annotation_json(df: DataFrame, variables: list[str] = SCORE_COLS,
                           raw: str = "raw_text") -> DataFrame:
     """Adds ``cleaned``, ``annotation`` (a struct per variable) and ``parsed``.
@@ -36,11 +45,12 @@ def parse_annotation_json(df: DataFrame, variables: list[str] = SCORE_COLS,
     read = F.from_json(F.concat(F.lit('{"body":'), text, F.lit(',"end":1}')), envelope,
                        {"allowSingleQuotes": "false"})
     single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return (df.withColumn("cleaned", strip_code_fences(F.col(raw)))
-            .withColumn("_read", read)
-            .withColumn("parsed", F.coalesce((F.col("_read.end") == 1) & single, F.lit(False)))
+    return (df.transform(computed_once, cleaned=strip_code_fences(F.col(raw)))
+            .transform(computed_once, _read=read, _single=single)
+            .withColumn("parsed", F.coalesce((F.col("_read.end") == 1) & F.col("_single"),
+                                             F.lit(False)))
             .withColumn("annotation", F.when(F.col("parsed"), F.col("_read.body")))
-            .drop("_read"))
+            .drop("_read", "_single"))
 
 
 def _kind(value: Column) -> Column:
@@ -72,7 +82,7 @@ def validate_annotation(df: DataFrame, variables: list[str] = SCORE_COLS,
     problem = F.coalesce(*[
         F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(v).cast("string").alias("variable")))
         for bad, code, v in checks])
-    return (df.withColumn("_problem", problem)
+    return (df.transform(computed_once, _problem=problem)
             .withColumns({"error_code": F.col("_problem.code"),
                           "error_variable": F.col("_problem.variable"),
                           "valid": F.col("_problem").isNull()})

@@ -80,6 +80,19 @@ def test_duplicate_key_keeps_the_last(spark):
 def test_strip_code_fences(spark):
     df = spark.createDataFrame([("```json\n{}\n```",), ("a``` b ```",), ("\n x`` \t",)], "t string")
     assert [r[0] for r in df.select(strip_code_fences(F.col("t"))).collect()] == ["{}", "ab", "x"]
+    spaces = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    df = spark.createDataFrame([(spaces + "x" + spaces + "`" + "``",)], "t string")
+    assert df.select(strip_code_fences(F.col("t"))).first()[0] == "x"
+
+
+def test_responses_are_parsed_once(spark):
+    """Filters on validity must not repeat the parse."""
+    df = spark.createDataFrame([("u", "m", 1, GOOD)], "unit_id string, rater string, attempt int, raw_text string")
+    for out in (R.first_valid_attempt(R.read_responses(df, VARS), VARS),
+                R.flatten_annotation(R.read_responses(df, VARS), VARS),
+                R.failed_keys(R.read_responses(df, VARS))):
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert text.count("from_json(") == 1 and text.count("regexp_replace(") == 1
 
 
 def attempts(spark):
