@@ -52,7 +52,7 @@ def study_subsets(humans: list[str], models: list[str],
 def score_grid(ratings: DataFrame, raters: list[str],
                keys: list[str] = ("unit_id", "variable")) -> DataFrame:
     """Long ratings, one per (unit, rater, variable), to one row per (unit, variable)."""
-    per_rater = [F.expr(f"max(CASE WHEN rater = {literal(r)} THEN score END)").alias(r)
+    per_rater = [F.expr(f"max(score) FILTER (WHERE rater = {literal(r)})").alias(r)
                  for r in raters]
     return ratings.where(F.col("rater").isin(raters)).groupBy(*keys).agg(*per_rater)
 
@@ -94,7 +94,7 @@ def _packed_grid(annotations, raters, order_cols, cols, values, unit) -> DataFra
     bare = not order_cols and len(names) == 1
     row = names[0] if bare else struct_of({c: quoted(c) for c in [*order_cols, *names]})
     wide = packed.groupBy(unit).agg(*[
-        F.expr(f"max(CASE WHEN rater = {literal(r)} THEN {row} END)").alias(r) for r in raters])
+        F.expr(f"max({row}) FILTER (WHERE rater = {literal(r)})").alias(r) for r in raters])
 
     # fan out to variables by number; each cell is then a shift of its rater's pack
     numbers = ", ".join(map(str, range(len(cols))))

@@ -14,6 +14,15 @@ def _is_valid(col: str, values: list[int]) -> Column:
     return F.coalesce(F.col(col).isin(values), F.lit(False))
 
 
+def as_scores(df: DataFrame, cols: list[str] = SCORE_COLS) -> DataFrame:
+    """Scores as integers, whether read as text, 1 or 1.0; anything else becomes NULL."""
+    def score(c: str) -> Column:
+        number = F.col(c).try_cast("double")
+        return F.when(number == F.floor(number), number.try_cast("int"))
+
+    return df.withColumns({c: score(c) for c in cols})
+
+
 def validity_filter(df: DataFrame, cols: list[str] = SCORE_COLS,
                     values: list[int] = VALID_SCORES) -> DataFrame:
     """Rows whose every score is on the scale."""

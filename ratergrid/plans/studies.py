@@ -16,7 +16,7 @@ from ratergrid.functions.posts import ENGAGEMENT_PROPORTIONS, ENGAGEMENT_TIERS
 from ratergrid.operators import alignment as L, disagreement as D, posts as P, reports as R
 from ratergrid.operators import responses as Q, sampling as Z, workplan as W
 from ratergrid.operators.agreement import contingency
-from ratergrid.operators.hygiene import annotation_id, dedupe_latest, validity_filter
+from ratergrid.operators.hygiene import annotation_id, as_scores, dedupe_latest, validity_filter
 from ratergrid.operators.profile import (pattern_score_counts, score_distribution,
                                          score_proportions)
 from ratergrid.schemas import REQUIRED_POST_COLS, SCORE_COLS, annotation_columns
@@ -82,27 +82,30 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
     return Q.failed_keys(responses, max_attempts=max_attempts)
 
 
-def _as_raters(df: DataFrame, rater: Column, id_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("string").alias("unit_id"), rater.alias("rater"),
-                     *[F.col(c).try_cast("int").alias(c) for c in SCORE_COLS])
+def _as_raters(df: DataFrame, rater: Column, id_col: str, keep: list[str] = ()) -> DataFrame:
+    return as_scores(df).select(F.col(id_col).cast("string").alias("unit_id"), rater.alias("rater"),
+                                *SCORE_COLS, *keep)
 
 
 def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
                       display: dict[str, str], humans: tuple[str, str] = ("Human P1", "Human P2"),
                       short: dict[str, str] | None = None, id_col: str = "tweet_id",
-                      model_col: str = "llm_name_version",
+                      model_col: str = "llm_name_version", order_cols: list[str] = (),
                       validate_models: bool = True) -> dict[str, DataFrame]:
     """Retest and model agreement on the posts every rater scored.
 
     ``display`` lists the models by version string in report order; versions it lacks are left out.
-    Inputs must hold one row per post and rater (``dedupe_latest`` otherwise).
+    With ``order_cols``, the latest of repeated model rows counts.
     """
     names = list(display.values())
     raters = [*humans, *names]
     people = [validity_filter(_as_raters(df, F.lit(h), id_col)) for df, h in
               zip((first, second), humans)]
-    machines = _as_raters(models.where(F.col(model_col).isin(list(display))),
-                          map_values(F.col(model_col), display), id_col)
+    listed = models.where(F.col(model_col).isin(list(display)))
+    if order_cols:
+        listed = dedupe_latest(listed.select(id_col, model_col, *SCORE_COLS, *order_cols),
+                               [id_col, model_col], list(order_cols))
+    machines = _as_raters(listed, map_values(F.col(model_col), display), id_col)
     if validate_models:
         machines = validity_filter(machines)
     annotations = reduce(DataFrame.unionByName, [*people, machines])
@@ -135,9 +138,10 @@ def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
 
 def _variant_patterns(annotations: DataFrame, key: str, variants: list[str], id_col: str,
                       order_cols: list[str]) -> DataFrame:
-    rows = _as_raters(annotations, F.col(key), id_col) if not order_cols else _as_raters(
-        dedupe_latest(annotations, [id_col, key], order_cols), F.col(key), id_col)
-    grid = L.common_core(L.score_grid_wide(rows, variants), variants)
+    rows = _as_raters(annotations, F.col(key), id_col, order_cols)
+    grid = (L.latest_score_grid(rows, variants, order_cols) if order_cols
+            else L.score_grid_wide(rows, variants))
+    grid = L.common_core(grid, variants)
     return stored(L.pattern_counts(grid, variants), "patterns")
 
 

@@ -105,6 +105,22 @@ def test_consistency_study_matches_published(spark):
     assert out["score_distribution"].count() == 4 * 8 * 3
 
 
+def test_consistency_study_reads_text_scores_and_latest_rows(spark):
+    """Scores as a CSV with blanks gives them, off-scale rows, and an older copy of each model row."""
+    first, second = retest_rows()
+    floats = wide(spark, first).select("tweet_id", *[F.format_string("%.1f", F.col(v).cast("double")).alias(v)
+                                                     for v in SCORE_COLS])
+    junk = spark.createDataFrame([("900", *["2.5"] * 8), ("901", *[None] * 8)],
+                                 "tweet_id string, " + ", ".join(f"{v} string" for v in SCORE_COLS))
+    h2 = wide(spark, second + [("900", *[1] * 8), ("901", *[1] * 8)])
+    new = h2.withColumns({"llm_name_version": F.lit("m"), "at": F.lit(2)})
+    old = wide(spark, [(r[0], *[3] * 8) for r in second]).withColumns({"llm_name_version": F.lit("m"), "at": F.lit(1)})
+    out = consistency_study(floats.unionByName(junk), h2, new.unionByName(old), {"m": "M"}, order_cols=["at"])
+    assert {r["variable"]: tuple(r)[1:] for r in out["intra_annotator"].collect()} == PUBLISHED
+    retest = out["inter_annotator"].where("pairing = 'Human P2 vs M'").collect()
+    assert all(r["mad"] == 0.0 for r in retest)
+
+
 def brute_alpha(units):
     units = [u for u in units if len(u) >= 2]
     domain = sorted({v for u in units for v in u})
