@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ratergrid.operators.responses import KEY, first_valid_attempt, read_responses
 from ratergrid.schemas import SCORE_COLS
+from ratergrid.session import shared_root
 from ratergrid.sources.writers import load_existing
 
 BATCH = "batch_id"
@@ -17,13 +20,20 @@ def write_batch(batch: DataFrame, batch_id: int, out: str, variables: list[str]
     """Store the first valid response of keys that no earlier batch stored.
 
     Each batch owns the folder of its number and replaces it, so a replay after a crash leaves the
-    table as it would have been. Earlier batches are read for their key columns only.
+    table as it would have been. The batch is staged first: its size is then known, and when it is
+    small enough the planner sends its keys to the files of earlier batches, whose key columns are
+    read in place instead of being shuffled.
     """
-    fresh = first_valid_attempt(read_responses(batch, variables, error), variables, keys)
-    stored = load_existing(batch.sparkSession, out) if batch_id > 0 else None
+    spark = batch.sparkSession
+    staging = f"{shared_root(spark)}/staging-{hashlib.md5(out.encode()).hexdigest()}"
+    first = first_valid_attempt(read_responses(batch, variables, error), variables, keys)
+    first.write.mode("overwrite").parquet(staging)
+    fresh = spark.read.parquet(staging)
+    stored = load_existing(spark, out) if batch_id > 0 else None
     if stored is not None and BATCH in stored.columns:
         earlier = stored.where(F.col(BATCH) < batch_id).select(*keys)
-        fresh = fresh.join(earlier, keys, "left_anti")
+        known = earlier.join(fresh.select(*keys), keys, "left_semi")
+        fresh = fresh.join(known, keys, "left_anti")
     fresh.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
 
