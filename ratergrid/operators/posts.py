@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ratergrid.functions.posts import (ENGAGEMENT_TIERS, engagement_tier, in_range, post_type,
                                        to_long_or_zero, to_timestamp_or_null, zero_if_null)
-from ratergrid.schemas import POST_COLUMNS, SAMPLE_COLUMNS
+from ratergrid.schemas import POST_COLUMNS, POSTS_SCHEMA, SAMPLE_COLUMNS
 
 COUNT_COLS = ["like_count", "retweet_count", "reply_count", "quote_count"]
 
@@ -47,7 +47,13 @@ def _skip_counts(language, start, end, lang_col, date_col, mode) -> list[Column]
 
 
 def project_rename(df: DataFrame, mapping: dict[str, str] = POST_COLUMNS) -> DataFrame:
-    return df.select(*[F.col(src).alias(dst) for src, dst in mapping.items()])
+    """Source columns under their sample names; a known column the source lacks is all NULL."""
+    def column(src: str) -> Column:
+        if src not in df.columns and src in POSTS_SCHEMA.names:
+            return F.lit(None).cast(POSTS_SCHEMA[src].dataType)
+        return F.col(src)
+
+    return df.select(*[column(src).alias(dst) for src, dst in mapping.items()])
 
 
 def null_to_zero(df: DataFrame, cols: list[str] = COUNT_COLS) -> DataFrame:
@@ -56,7 +62,11 @@ def null_to_zero(df: DataFrame, cols: list[str] = COUNT_COLS) -> DataFrame:
 
 def derive_post_type(df: DataFrame, retweeted: str = "retweeted_tweet", quoted: str = "quoted_tweet",
                      reply_to: str = "in_reply_to_screen_name") -> DataFrame:
-    return df.withColumn("post_type", post_type(F.col(retweeted), F.col(quoted), F.col(reply_to)))
+    """Only a true flag counts: a column that is not boolean (text, a struct) never marks a post."""
+    def flag(col: str) -> Column:
+        return F.col(col) if df.schema[col].dataType == T.BooleanType() else F.lit(False)
+
+    return df.withColumn("post_type", post_type(flag(retweeted), flag(quoted), F.col(reply_to)))
 
 
 def classify_engagement(df: DataFrame, likes: str = "like_count",
@@ -93,7 +103,7 @@ def cast_sample_types(df: DataFrame) -> DataFrame:
         "row_id": F.col("row_id").cast("int"),
         "tweet_id": F.col("tweet_id").cast("bigint"),
         "date": to_timestamp_or_null(F.col("date")),
-        **{c: zero_if_null(F.col(c)).cast("int") for c in COUNT_COLS},
+        **{c: to_long_or_zero(F.col(c)).try_cast("int") for c in COUNT_COLS},
         "view_count": to_long_or_zero(F.col("view_count")),
     })
 

@@ -30,17 +30,22 @@ def evenly_spaced_chunks(bounds: DataFrame, k: int, lo: str = "lo", hi: str = "h
     return bounds.select("*", step).withColumn("chunk", chunk)
 
 
-def scan_csv(spark: SparkSession, *paths: str, schema: StructType,
-             required: list[str] = ()) -> DataFrame:
-    """CSV with a header, embedded newlines and doubled quotes.
+def scan_csv(spark: SparkSession, *paths: str, schema: StructType | str,
+             required: list[str] | None = None) -> DataFrame:
+    """The columns of ``schema`` from CSV with a header, embedded newlines and doubled quotes.
 
+    Columns are found by header name, so files may hold others and in any order; values that do not
+    parse are NULL, and so is a column that is neither present nor ``required`` (by default all are).
     A multi-line file cannot be split, so one file is one task: keep big inputs as many files.
     """
-    df = (spark.read.schema(schema)
-          .option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"')
-          .csv(list(paths)))
-    return require_columns(df, list(required), "csv")
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    raw = (spark.read.option("header", True).option("multiLine", True)
+           .option("quote", '"').option("escape", '"').option("enforceSchema", False)
+           .csv(list(paths)))
+    require_columns(raw, [f.name for f in fields] if required is None else list(required), "csv")
+    return raw.select(*[
+        (F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None))
+        .try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def scan_done_keys(spark: SparkSession, path: str, key_names: list[str] = ("tweet_id", "llm_id"),

@@ -31,6 +31,21 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(back.collect(), key=lambda r: r[0]) == want.collect()
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('text,extra,tweet_id,V1\n"a, b",z,7,1.0\nc,,8,junk\n')
+    schema = "tweet_id bigint, V1 double, text string, missing string"
+    got = S.scan_csv(spark, str(tmp_path / "t.csv"), schema=schema, required=["tweet_id", "text"])
+    assert list(map(tuple, got.collect())) == [(7, 1.0, "a, b", None), (8, None, "c", None)]
+    with pytest.raises(ValueError, match="missing"):
+        S.scan_csv(spark, str(tmp_path / "t.csv"), schema=schema)
+
+
+def test_source_without_optional_columns(spark):
+    df = spark.createDataFrame([(1, "2024-08-02", "en", "hi")], "id long, date string, lang string, text string")
+    row = P.ingest_posts(df, "en", "2024-08-01", "2024-08-31").first()
+    assert (row["tweet_id"], row["like_count"], row["post_type"], row["hashtags"]) == (1, 0, "tweet", None)
+
+
 def test_done_keys(spark, tmp_path):
     path = tmp_path / "done.json"
     path.write_text('{"completed": [[1, 1], [2, 1],\n [1, 1], ["x", "A"]]}')
@@ -99,6 +114,21 @@ def test_post_type_precedence(spark):
     assert [r["post_type"] for r in P.derive_post_type(df).collect()] == ["retweet", "quote", "reply", "tweet", "tweet"]
 
 
+def test_flags_that_are_not_boolean_never_mark_a_post(spark):
+    df = spark.createDataFrame([("True", (1,), None), ("x", (2,), "u")],
+                               "retweeted_tweet string, quoted_tweet struct<id:int>, in_reply_to_screen_name string")
+    assert [r["post_type"] for r in P.derive_post_type(df).collect()] == ["tweet", "reply"]
+
+
+def test_counts_with_missing_and_nan_values(spark):
+    df = spark.createDataFrame([(1, 7, "2024-08-01", float("nan"), None, 2.0, 3.0, "x")],
+                               "row_id long, tweet_id long, date string, like_count double, retweet_count double, "
+                               "reply_count double, quote_count double, view_count string")
+    out = P.cast_sample_types(df)
+    assert [out.schema[c].dataType.typeName() for c in P.COUNT_COLS] == ["integer"] * 4
+    assert tuple(out.select(*P.COUNT_COLS, "view_count").first()) == (0, 0, 2, 3, 0)
+
+
 def test_safe_casts(spark):
     df = spark.createDataFrame([("12",), ("12.0",), ("1e3",), ("n/a",), (None,), ("NaN",), ("1e300",)], "v string")
     assert [r[0] for r in df.select(to_long_or_zero(F.col("v"))).collect()] == [12, 12, 1000, 0, 0, 0, 0]
