@@ -98,7 +98,7 @@ def all_match(df: DataFrame, condition: Column, name: str = "all_match") -> Data
 def model_coverage(df: DataFrame, model_col: str = "rater") -> DataFrame:
     """Rows per model and the number of models present."""
     per_model = df.groupBy(model_col).agg(F.count(F.lit(1)).alias("n_rows"))
-    present = F.count(F.col(model_col)).over(Window.partitionBy())
+    present = per_model.agg(F.count(F.col(model_col)).alias("n")).scalar()
     return per_model.withColumn("n_models", present)
 
 

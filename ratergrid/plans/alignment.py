@@ -12,7 +12,7 @@ from ratergrid.operators.agreement import cumulative_counts
 from ratergrid.operators.disagreement import total_score
 from ratergrid.operators.profile import score_counts
 from ratergrid.operators.reports import case_extract
-from ratergrid.plans.fixtures import (ALL_CONDITIONS, BASELINE, CONDITIONS, HUMANS, LATEST, LINE_VARS,
+from ratergrid.plans.fixtures import (BASELINE, CONDITIONS, HUMANS, LATEST, LINE_VARS,
                                       MODELS, RATERS, condition_annotations, condition_grid,
                                       line_grid, line_ratings, table)
 from ratergrid.plans.registry import query, with_ctes

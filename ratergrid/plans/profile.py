@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ratergrid.operators import disagreement as D, profile as R
 from ratergrid.operators.agreement import contingency
-from ratergrid.operators.alignment import grid_to_ratings, pattern_counts
+from ratergrid.operators.alignment import grid_to_ratings
 from ratergrid.operators.posts import classify_engagement
-from ratergrid.plans.fixtures import (ALL_CONDITIONS, RATERS, condition_annotations,
-                                      condition_patterns, doc_patterns, DOC_RATERS, line_grid,
-                                      line_ratings, posts, table)
+from ratergrid.plans.fixtures import (DOC_RATERS, RATERS, condition_annotations, condition_patterns,
+                                      doc_patterns, line_grid, line_ratings, posts, table)
 from ratergrid.plans.registry import query, r6, with_ctes
 from ratergrid.schemas import SCORE_COLS
 

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ratergrid.functions.text import strip_code_fences
-from ratergrid.operators import responses as R, workplan as W
+from ratergrid.operators import responses as R
 from ratergrid.plans.fixtures import RESPONSE_VARS, raw_responses, table
 from ratergrid.plans.registry import query, with_ctes
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ratergrid.operators import agreement as A, alignment as L, reports as R
 from ratergrid.operators.hygiene import melt_scores
-from ratergrid.plans.studies import consistency_study
+from ratergrid.plans.studies import consistency_study, write_reports
 from ratergrid.schemas import SCORE_COLS
+from ratergrid.sources import scan_csv
 
 # How often each pair of scores (first, second rating) occurs among 50 posts rated
 # twice by one person, and the statistics published for them.
@@ -68,7 +69,7 @@ def test_published_retest_values(spark):
     assert got == PUBLISHED
 
 
-def test_consistency_study_matches_published(spark):
+def test_consistency_study_matches_published(spark, tmp_path):
     first, second = retest_rows()
     h1, h2 = wide(spark, first), wide(spark, second)
     models = (h1.withColumn("llm_name_version", F.lit("m-one"))
@@ -103,6 +104,11 @@ def test_consistency_study_matches_published(spark):
     assert out["divergence_hist"].count() == 9
     assert out["spread"].count() == 50
     assert out["score_distribution"].count() == 4 * 8 * 3
+    write_reports(out, str(tmp_path))
+    back = scan_csv(spark, f"{tmp_path}/intra_annotator", schema=out["intra_annotator"].schema)
+    assert {r["variable"]: tuple(r)[1:] for r in back.collect()} == PUBLISHED
+    drifts = scan_csv(spark, f"{tmp_path}/score_drift", schema="unit_id string, V1_H1 int, V1_H2 int, V1_drift int")
+    assert drifts.count() == 50 and drifts.where("V1_drift != V1_H1 - V1_H2").count() == 0
 
 
 def test_consistency_study_reads_text_scores_and_latest_rows(spark):
