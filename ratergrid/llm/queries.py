@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ratergrid.llm.common import table
 from ratergrid.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from ratergrid.llm.packing import pack_documents
 
 
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+def op5_harmonic_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_harmonic_packing": op5_harmonic_packing}
 ORACLE_SQL = {"op4_exact_dedup": EXACT_DEDUP_SQL}
