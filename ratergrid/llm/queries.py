@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from ratergrid.llm.common import table
 from ratergrid.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from ratergrid.llm.packing import pack_documents
+from ratergrid.llm.quality import fit_quality, quality_scores
+from ratergrid.llm.toxicity import fit_toxicity, toxicity_scores
+
+
+def op2_toxicity_fm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_exact_dedup(spark, sf_dir):
@@ -18,5 +25,10 @@ def op5_harmonic_packing(spark, sf_dir):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_harmonic_packing": op5_harmonic_packing}
+def op6_quality_attention(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op2_toxicity_fm": op2_toxicity_fm, "op6_quality_attention": op6_quality_attention, "op4_exact_dedup": op4_exact_dedup, "op5_harmonic_packing": op5_harmonic_packing}
 ORACLE_SQL = {"op4_exact_dedup": EXACT_DEDUP_SQL}
