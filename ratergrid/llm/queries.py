@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ratergrid.llm.common import table
 from ratergrid.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from ratergrid.llm.near_dedup import near_dedup
 from ratergrid.llm.packing import pack_documents
 from ratergrid.llm.quality import fit_quality, quality_scores
 from ratergrid.llm.toxicity import fit_toxicity, toxicity_scores
@@ -16,6 +17,10 @@ def op2_toxicity_fm(spark, sf_dir):
     return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_circulant_minhash(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,5 +35,9 @@ def op6_quality_attention(spark, sf_dir):
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op2_toxicity_fm": op2_toxicity_fm, "op6_quality_attention": op6_quality_attention, "op4_exact_dedup": op4_exact_dedup, "op5_harmonic_packing": op5_harmonic_packing}
+QUERIES = {
+    "op2_toxicity_fm": op2_toxicity_fm,
+    "op3_circulant_minhash": op3_circulant_minhash,
+    "op6_quality_attention": op6_quality_attention,
+    "op4_exact_dedup": op4_exact_dedup, "op5_harmonic_packing": op5_harmonic_packing}
 ORACLE_SQL = {"op4_exact_dedup": EXACT_DEDUP_SQL}
