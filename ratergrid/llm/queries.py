@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratergrid.llm.common import table
+from ratergrid.llm.decontamination import contamination
 from ratergrid.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from ratergrid.llm.near_dedup import near_dedup
 from ratergrid.llm.packing import pack_documents
@@ -35,9 +36,16 @@ def op6_quality_attention(spark, sf_dir):
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_template_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_toxicity_fm": op2_toxicity_fm,
     "op3_circulant_minhash": op3_circulant_minhash,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_harmonic_packing": op5_harmonic_packing,
     "op6_quality_attention": op6_quality_attention,
-    "op4_exact_dedup": op4_exact_dedup, "op5_harmonic_packing": op5_harmonic_packing}
+    "op8_template_decontamination": op8_template_decontamination,
+}
 ORACLE_SQL = {"op4_exact_dedup": EXACT_DEDUP_SQL}
