@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 from ratergrid.llm.common import table
 from ratergrid.llm.decontamination import contamination
 from ratergrid.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from ratergrid.llm.html_text import extract_text
+from ratergrid.llm.licenses import LICENSES_SQL, scan_licenses
 from ratergrid.llm.near_dedup import near_dedup
 from ratergrid.llm.packing import pack_documents
 from ratergrid.llm.quality import fit_quality, quality_scores
+from ratergrid.llm.secrets_scan import SECRETS_SQL, secret_report
 from ratergrid.llm.toxicity import fit_toxicity, toxicity_scores
 
 
+def op1_secret_ownership(spark, sf_dir):
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity_fm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -36,16 +43,31 @@ def op6_quality_attention(spark, sf_dir):
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_mincut_html(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_template_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_license_digests(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_secret_ownership": op1_secret_ownership,
     "op2_toxicity_fm": op2_toxicity_fm,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_quality_attention": op6_quality_attention,
+    "op7_mincut_html": op7_mincut_html,
     "op8_template_decontamination": op8_template_decontamination,
+    "op10_license_digests": op10_license_digests,
+}
+ORACLE_SQL = {
+    "op1_secret_ownership": SECRETS_SQL,
+    "op4_exact_dedup": EXACT_DEDUP_SQL,
+    "op10_license_digests": LICENSES_SQL,
 }
-ORACLE_SQL = {"op4_exact_dedup": EXACT_DEDUP_SQL}
