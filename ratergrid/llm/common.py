@@ -38,22 +38,36 @@ def fold_of(doc_id: int, parts: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % parts
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, extra: Column, extra_name: str) -> DataFrame:
-    """Rows of ``docs`` whose (id, extra) occurs in ``kept``, one row for each such pair.
+def text_hash(text_col: str) -> Column:
+    """Hash of a whole text; with the id it names a row among those that repeat an id."""
+    return F.xxhash64(whole_text(text_col))
 
-    ``kept`` has the columns (id_col, extra_name). One shuffle of the rows: the join, and then the choice
-    among repeated rows, use the same partitioning and order. The columns of ``docs`` stay as they are.
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text_hash) is in ``kept``, one row for each such pair; columns as they are.
+
+    The rows are shuffled once: the join and the choice among repeated rows use the same partitioning and order.
     """
-    names = docs.columns
-    taken = {c.lower() for c in names}
-    key, more = [_free(n, taken) for n in ("__key", "__extra")]
-    left = docs.withColumns({key: id_text(F.col(quoted(id_col))), more: extra})
-    right = kept.select(id_text(F.col(quoted(id_col))).alias(key), F.col(extra_name).alias(more))
-    return left.join(right, [key, more], "left_semi").dropDuplicates([key, more]).select(
-        *[F.col(quoted(c)) for c in names])
-
-
-def _free(name: str, taken: set[str]) -> str:
-    while name.lower() in taken:
-        name += "_"
-    return name
+    left, keys = _keyed(docs, id_col, text_col)
+    return left.join(_keys(kept, keys), keys, "left_semi").dropDuplicates(keys).select(
+        *[F.col(quoted(c)) for c in docs.columns])
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text_hash) is not in ``dropped``; columns as they are."""
+    left, keys = _keyed(docs, id_col, text_col)
+    return left.join(_keys(dropped, keys), keys, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("__id", "__text"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    return docs.withColumns({names[0]: id_text(F.col(quoted(id_col))), names[1]: text_hash(text_col)}), names
+
+
+def _keys(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(id_text(F.col("doc_id")).alias(names[0]), F.col("text_hash").alias(names[1])).distinct()

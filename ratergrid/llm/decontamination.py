@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratergrid.llm.common import quoted, whole_text
+from ratergrid.llm.common import quoted, text_hash, whole_text
 from ratergrid.llm.shingles import mix64
 from ratergrid.session import stored
 
@@ -96,14 +96,14 @@ def windows(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _rows(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
-    """Windows of texts (id, row, text), those that the filter lets through if there is one."""
+    """Windows of texts (id, row, text hash, text), those that the filter lets through if there is one."""
     words, bits = Words(), None
     if marks is not None:
         places, sets = marks.value
         bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         bits[places] = sets
     for batch in batches:
-        ids, rows, texts = (batch.column(i) for i in range(3))
+        ids, rows, hashes, texts = (batch.column(i) for i in range(4))
         owner, at, total, found, slots = [], [], [], [], []
         for i, text in enumerate(texts):
             keys, value, held = windows(text.as_py(), words)
@@ -123,16 +123,16 @@ def _rows(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
         join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
         owner = pa.array(join(owner), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [ids.take(owner), rows.take(owner), pa.array(join(at)), pa.array(join(total)), pa.array(join(found)),
-             pa.array(slots, pa.list_(pa.int64()))], names=["_id", "_row", "_at", "_total", "_key", "_slots"])
+            [ids.take(owner), rows.take(owner), hashes.take(owner), pa.array(join(at)), pa.array(join(total)), pa.array(join(found)),
+             pa.array(slots, pa.list_(pa.int64()))], names=["_id", "_row", "_hash", "_at", "_total", "_key", "_slots"])
 
 
 def _windows_of(df: DataFrame, id_col: str, text_col: str, marks=None) -> DataFrame:
     source = df.select(F.col(quoted(id_col)).alias("_id"), F.monotonically_increasing_id().alias("_row"),
-                       whole_text(text_col).alias("_text"))
+                       text_hash(text_col).alias("_hash"), whole_text(text_col).alias("_text"))
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(functools.partial(_rows, marks=marks),
-                             f"_id {kind}, _row long, _at long, _total long, _key long, _slots array<long>")
+                             f"_id {kind}, _row long, _hash long, _at long, _total long, _key long, _slots array<long>")
 
 
 def _filter_bits(spark: SparkSession, items: DataFrame):
@@ -149,7 +149,7 @@ def _filter_bits(spark: SparkSession, items: DataFrame):
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per contaminated row of ``docs`` and benchmark item: doc_id, item_id, matched_windows, item_windows,
-    coverage, verbatim (no value was changed).
+    coverage, verbatim (no value was changed), text_hash.
 
     An item is found when at least ``coverage`` of its windows occur in the document with values that are renamed
     consistently within each alignment. NULL, empty and blank texts on either side match nothing; an item of fewer
@@ -159,25 +159,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     items = stored(_windows_of(benchmark, item_col, item_text_col), "items")
     found = stored(_windows_of(docs, id_col, text_col, _filter_bits(spark, items)), "found")
-    item = items.select(F.col("_id").alias("item_id"), F.col("_row").alias("_item"), F.col("_at").alias("_item_at"),
+    known = items.select(F.col("_id").alias("item_id"), F.col("_row").alias("_item"), F.col("_at").alias("_item_at"),
                         F.col("_total").alias("item_windows"), "_key", F.col("_slots").alias("_item_slots"))
-    met = found.join(item, "_key").where(F.size("_slots") == F.size("_item_slots"))
+    met = found.join(known, "_key").where(F.size("_slots") == F.size("_item_slots"))
     pairs = F.transform(F.arrays_zip("_item_slots", "_slots"), lambda z: F.struct(
         z["_item_slots"].alias("a"), z["_slots"].alias("b")))
+    doc = [F.first(c, True).alias(n) for c, n in (("_id", "doc_id"), ("_hash", "text_hash"))]
+    item = [F.first(c, True).alias(c) for c in ("item_id", "item_windows")]
     lines = met.groupBy("_row", "_item", (F.col("_at") - F.col("_item_at")).alias("_line")).agg(
-        F.first("_id", True).alias("doc_id"), F.first("item_id", True).alias("item_id"), F.first("item_windows").alias("item_windows"),
-        F.collect_set("_item_at").alias("_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_names"))
+        *doc, *item, F.collect_set("_item_at").alias("_places"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_names"))
     distinct = lambda field: F.size(F.array_distinct(F.transform("_names", lambda z: z[field])))
     same = (distinct("a") == F.size("_names")) & (distinct("b") == F.size("_names"))
     places = lines.where(same).select(
-        "_row", "_item", "doc_id", "item_id", "item_windows", F.explode("_places").alias("_place"),
-        F.forall("_names", lambda z: z["a"] == z["b"]).alias("_verbatim"))
-    each = places.groupBy("_row", "_item", "_place").agg(
-        F.first("doc_id", True).alias("doc_id"), F.first("item_id", True).alias("item_id"),
-        F.first("item_windows").alias("item_windows"), F.max("_verbatim").alias("_verbatim"))
-    return each.groupBy("_row", "_item").agg(
-        F.first("doc_id", True).alias("doc_id"), F.first("item_id", True).alias("item_id"), F.count("*").alias("matched_windows"),
-        F.first("item_windows").alias("item_windows"), F.min("_verbatim").alias("verbatim")).where(
-        F.col("matched_windows") >= coverage * F.col("item_windows")).select(
+        "_row", "_item", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "item_id", "item_windows",
+        F.explode("_places").alias("_place"), F.forall("_names", lambda z: z["a"] == z["b"]).alias("_verbatim"))
+    each = places.groupBy("_row", "_item", "_place").agg(*doc, *item, F.max("_verbatim").alias("_verbatim"))
+    found = each.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}).groupBy("_row", "_item").agg(
+        *doc, *item, F.count("*").alias("matched_windows"), F.min("_verbatim").alias("verbatim"))
+    return found.where(F.col("matched_windows") >= coverage * F.col("item_windows")).select(
         "doc_id", "item_id", "matched_windows", "item_windows",
-        (F.col("matched_windows") / F.col("item_windows")).alias("coverage"), "verbatim")
+        (F.col("matched_windows") / F.col("item_windows")).alias("coverage"), "verbatim", "text_hash")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ratergrid.llm.common import BLANKS, quoted, whole_text
+from ratergrid.llm.common import BLANKS, quoted, text_hash, whole_text
 from ratergrid.session import stored
 
 #: Counters of a Misra-Gries summary, and the most digests that are ever broadcast.
@@ -54,7 +54,7 @@ def frequent_digests(rows: DataFrame, counters: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 counters: int = COUNTERS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when identical without blanks; NULL counts as empty, and empty texts are equal to each
     other. The row with the most code points stays, then the smallest id (a NULL id comes last), then, among
@@ -64,7 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stored(docs.select(
         F.col(quoted(id_col)).alias("doc_id"), normalised_digest(text_col).alias("_digest"),
         F.length(whole_text(text_col)).alias("_chars"), F.monotonically_increasing_id().alias("_row"),
-    ).withColumn("_short", F.xxhash64("_digest")), "digests")
+        text_hash(text_col).alias("text_hash")).withColumn("_short", F.xxhash64("_digest")), "digests")
     total = rows.count()
 
     short = stored(frequent_digests(rows, counters), "frequent")
@@ -75,15 +75,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = stored(winners, "winners")
 
     same = F.broadcast(winners)
-    hot = rows.join(same, "_digest").select("doc_id", "_digest", "keep_id", "group_size",
+    hot = rows.join(same, "_digest").select("doc_id", "_digest", "text_hash", "keep_id", "group_size",
                                             (F.col("_row") == F.col("_keep_row")).alias("kept"))
     group = Window.partitionBy("_digest")
     best = group.orderBy(F.desc("_chars"), F.asc_nulls_last("doc_id"), "_row")
     rest = rows.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti").select(
-        "doc_id", "_digest", F.first("doc_id").over(best).alias("keep_id"),
+        "doc_id", "_digest", "text_hash", F.first("doc_id").over(best).alias("keep_id"),
         F.count("*").over(group).alias("group_size"), (F.row_number().over(best) == 1).alias("kept"))
     return hot.unionByName(rest).select("doc_id", "keep_id", "group_size", "kept",
-                                        F.lower(F.hex("_digest")).alias("text_sha256"))
+                                        F.lower(F.hex("_digest")).alias("text_sha256"), "text_hash")
 
 
 def _winners(hot: DataFrame, verified: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratergrid.llm.common import quoted, whole_text
+from ratergrid.llm.common import quoted, text_hash, whole_text
 from ratergrid.llm.components import compose, connect
 from ratergrid.llm.shingles import Circulant, WordHashes, mix64, shingle_set, words_of
 from ratergrid.session import stored
@@ -52,7 +52,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         sizes, digests, sketches, keys, words = [], [], [], [], []
-        for text in batch.column(2):
+        for text in batch.column(3):
             found = np.array([hashes[w] for w in words_of(text.as_py())], np.uint32)
             grams = shingle_set(found)
             sizes.append(len(grams))
@@ -70,18 +70,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
         sketch = np.array(sketches, np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+            [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
              *(pa.array(sketch[:, i]) for i in range(4)), bands, pa.array(words, pa.binary())],
-            names=["doc_id", "_row", "n_shingles", "_set", *_SKETCH, "_bands", "_words"])
+            names=["doc_id", "_row", "text_hash", "n_shingles", "_set", *_SKETCH, "_bands", "_words"])
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Sets, sketches, band keys and word hashes of all rows, written once."""
     source = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.monotonically_increasing_id().alias("_row"),
-                         whole_text(text_col).alias("_text"))
+                         text_hash(text_col).alias("text_hash"), whole_text(text_col).alias("_text"))
     kind = source.schema[0].dataType.simpleString()
     return stored(source.mapInArrow(
-        _signed, f"doc_id {kind}, _row long, n_shingles long, _set binary, _s0 long, _s1 long, _s2 long, "
+        _signed, f"doc_id {kind}, _row long, text_hash long, n_shingles long, _set binary, _s0 long, _s1 long, _s2 long, "
                  "_s3 long, _bands array<long>, _words binary"), "signed")
 
 
@@ -189,6 +189,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     only where a component has no other, its component_id is then NULL. An empty table gives no rows. Other
     columns, whatever their names, are not read. Shingles are compared as 64-bit hashes of 32-bit word hashes.
     """
+    return _rows_and_components(docs, id_col, text_col).select(
+        "doc_id", "n_shingles", "component_id", "kept", F.lower(F.hex("_set")).alias("set_digest"))
+
+
+def near_dedup_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash) of the rows that stay: one row of each component, and all rows without shingles."""
+    rows = stored(_rows_and_components(docs, id_col, text_col).where("kept").select(
+        "doc_id", "text_hash", "_row", "_comp"), "kept")
+    first = rows.where("_comp IS NOT NULL").groupBy("_comp").agg(F.min("_row").alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").unionByName(rows.where("_comp IS NULL")).select("doc_id", "text_hash")
+
+
+def _rows_and_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = signed(docs, id_col, text_col)
     filled = rows.where("n_shingles > 0")
     classes = stored(filled.groupBy("_set").agg(F.min("_row").alias("_node"), F.min("doc_id").alias("_least")),
@@ -210,11 +223,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more = full.groupBy("_key", "_q", "_t").applyInArrow(_block_links, "_a long, _b long")
     maps += connect(stored(more, "links"))
 
-    sets = compose(classes, maps)
-    least = sets.groupBy("_comp").agg(F.min("_least").alias("component_id"))
-    named = stored(stored(sets, "sets").join(stored(least, "least"), "_comp").select("_set", "component_id"), "named")
-    out = filled.select("doc_id", "n_shingles", "_set").join(named, "_set").unionByName(
-        rows.where("n_shingles = 0").select("doc_id", "n_shingles", "_set", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-                      F.lower(F.hex("_set")).alias("set_digest"))
+    sets = stored(compose(classes, maps), "sets")
+    least = stored(sets.groupBy("_comp").agg(F.min("_least").alias("component_id")), "least")
+    named = stored(sets.join(least, "_comp").select("_set", "_comp", "component_id"), "named")
+    columns = ["doc_id", "text_hash", "_row", "n_shingles", "_set"]
+    alone = rows.where("n_shingles = 0").select(
+        *columns, F.lit(None).cast("long").alias("_comp"), F.col("doc_id").alias("component_id"))
+    return filled.select(*columns).join(named, "_set").unionByName(alone).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -7,7 +7,6 @@ gradient through the attention finds the passages that decide.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,12 +140,9 @@ def score_column(column: pa.Array, model: Attention) -> np.ndarray:
     return model.head(z / np.maximum(total, 1e-300)[:, None])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Attention, place: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        scores = score_column(batch.column(place), model)
-        kept = [c for i, c in enumerate(batch.columns) if i != place]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())],
-                                         names=[*(n for i, n in enumerate(batch.schema.names) if i != place), "score"])
+def score_udf(model: Attention):
+    """The score of a text column, as a function over Arrow batches."""
+    return F.arrow_udf(lambda texts: pa.array(score_column(texts, model), pa.float64()), "double")
 
 
 def quality_scores(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text",
@@ -157,8 +153,11 @@ def quality_scores(docs: DataFrame, model: Attention, id_col: str = "doc_id", te
     statistics are all zero; repeated rows get one row each, equal texts equal scores; a NULL id is kept. An empty
     table gives no rows. Columns besides the two named are not read.
     """
-    source = docs.select(F.col(quoted(id_col)).alias("doc_id"), whole_text(text_col).alias("_text"))
-    kind = source.schema[0].dataType.simpleString()
-    scored = source.mapInArrow(functools.partial(_score, model=model, place=1), f"doc_id {kind}, score double")
+    scored = docs.select(F.col(quoted(id_col)).alias("doc_id"), score_udf(model)(whole_text(text_col)).alias("score"))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Attention, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are not rejected, with their columns as they are."""
+    return docs.where(score_udf(model)(whole_text(text_col)) >= threshold)
