@@ -9,10 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-# Beyond this many rows a table is data, not configuration, and is joined without a hint.
-MAX_DIM_ROWS = 100_000
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal table held in the plan, so its size is known to the optimizer."""
     parsed = StructType.fromDDL(schema)
@@ -21,9 +17,9 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 def join_dim(df: DataFrame, rows: list[tuple], schema: str, on: str | list[str],
              how: str = "inner") -> DataFrame:
-    """Join configuration rows; broadcast only while they are few."""
-    dim = small_table(df.sparkSession, rows, schema)
-    return df.join(F.broadcast(dim) if len(rows) <= MAX_DIM_ROWS else dim, on, how)
+    """Join configuration rows. They are part of the plan, so the planner knows their size in bytes and broadcasts
+    them while it is below its threshold."""
+    return df.join(small_table(df.sparkSession, rows, schema), on, how)
 
 
 def quoted(name: str) -> str:

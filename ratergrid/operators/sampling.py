@@ -4,21 +4,27 @@ Rows are ordered by ``md5(seed:id)``, so a sample depends on the seed and the id
 the data is partitioned. A stratum may hold nearly all rows; it is never sorted or shuffled whole.
 A first pass counts rows per digest prefix and finds the prefix at which a stratum's quota is
 reached; the second pass keeps the rows up to that prefix, and only those few are ranked, in groups of
-equal leading digits.
+equal leading digits. A row without an id is ordered by its tie columns, so such rows are sampled like any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratergrid.dims import MAX_DIM_ROWS, map_values, small_table
+from ratergrid.dims import map_values, quoted, small_table
 from ratergrid.functions.posts import ENGAGEMENT_PROPORTIONS
 
 PREFIX_DIGITS = 5
 
+#: Rows (stratum, digest group) that a sample broadcasts at most, and so the most strata it takes.
+MAX_GROUPS = 100_000
 
-def sample_order(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+
+def sample_order(id_col: str, seed: int, tie_cols: list[str] = ()) -> Column:
+    """Digest that orders rows; a NULL id is replaced by ``null`` and the tie columns, comma-joined."""
+    ties = [F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in tie_cols]
+    key = F.coalesce(F.col(quoted(id_col)).cast("string"), F.concat_ws(",", F.lit("null"), *ties))
+    return F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
 
 
 def tier_quota(n: int, proportions: dict[str, float] = ENGAGEMENT_PROPORTIONS) -> dict[str, int]:
@@ -38,8 +44,10 @@ def _quota_columns(key: str, quotas: dict[str, int]) -> dict[str, Column]:
 
 
 def _group_digits(strata: int) -> int:
-    """Digest digits that split a stratum for ranking; keeps strata x groups within the dim limit."""
-    return max((d for d in range(4) if strata * 16 ** d <= MAX_DIM_ROWS), default=0)
+    """Digest digits that split a stratum for ranking; keeps strata x groups within ``MAX_GROUPS``."""
+    if strata > MAX_GROUPS:
+        raise ValueError(f"{strata} strata: at most {MAX_GROUPS} quotas can be given")
+    return max(d for d in range(4) if strata * 16 ** d <= MAX_GROUPS)
 
 
 def _ranked(df: DataFrame, key: str, quotas: dict[str, int], id_col: str, seed: int,
@@ -47,7 +55,8 @@ def _ranked(df: DataFrame, key: str, quotas: dict[str, int], id_col: str, seed:
     """Rows within their stratum's quota, with ``rn``, the rank in the stratum, and ``before``, the
     sampled rows of earlier strata."""
     group_digits = min(_group_digits(len(quotas)), prefix_digits)
-    keyed = df.where(F.col(key).isin(list(quotas))).withColumn("_order", sample_order(id_col, seed))
+    keyed = df.where(F.col(key).isin(list(quotas))).withColumn(
+        "_order", sample_order(id_col, seed, tie_cols))
     prefix = F.substring("_order", 1, prefix_digits)
     group = F.substring("_order", 1, group_digits).alias("_group")
 
@@ -112,25 +121,35 @@ def bounded_collect(df: DataFrame, max_rows: int, group_col: str, position_col:
                     width: int = 65536) -> DataFrame:
     """The first ``max_rows`` rows ordered by (group, position), e.g. (file, row number in the file).
 
-    (group, position) must be unique. Rows are counted per group and run of ``width`` positions;
-    only the run in which the limit falls is ranked, and the result is a plain filter.
+    NULL groups and positions come first. Rows that share the position at which the limit falls are
+    alternatives: as many as are still missing are taken. Rows are counted per group and run of ``width``
+    positions; only the run in which the limit falls is looked at, and the result is a plain filter.
     """
-    binned = df.select(group_col, position_col,
+    binned = df.select(F.col(group_col).alias("_g"), F.col(position_col).alias("_p"),
                        F.floor(F.col(position_col) / width).alias("_run"))
-    counts = binned.groupBy(group_col, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    in_group = F.sum("_n").over(Window.partitionBy(group_col).orderBy("_run"))
-    totals = counts.groupBy(group_col).agg(F.sum("_n").alias("_group_n"))
-    earlier = F.sum("_group_n").over(
-        Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(group_col, F.coalesce(earlier, F.lit(0)).alias("_group_before"))
+    counts = binned.groupBy("_g", "_run").agg(F.count(F.lit(1)).alias("_n"))
+    in_group = F.sum("_n").over(Window.partitionBy("_g").orderBy("_run"))
+    totals = counts.groupBy("_g").agg(F.sum("_n").alias("_group_n"))
+    earlier = F.sum("_group_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(F.col("_g").alias("_h"), F.coalesce(earlier, F.lit(0)).alias("_group_before"))
     upto = F.col("_group_before") + F.col("_in_group")
-    crossing = (counts.withColumn("_in_group", in_group).join(totals, group_col)
+    crossing = (counts.withColumn("_in_group", in_group)
+                .join(totals, F.col("_g").eqNullSafe(F.col("_h")))
                 .withColumn("_before", upto - F.col("_n"))
                 .where((F.col("_before") < max_rows) & (upto >= max_rows))
-                .select(group_col, "_run", "_before"))
-    # at most one run crosses the limit
-    rank = F.row_number().over(Window.partitionBy(group_col, "_run").orderBy(position_col))
-    last = (binned.join(F.broadcast(crossing), [group_col, "_run"]).withColumn("_rn", rank)
-            .where(F.col("_rn") == max_rows - F.col("_before"))
-            .agg(F.max(F.struct(group_col, position_col)).alias("last")).scalar())
-    return df.where(last.isNull() | (F.struct(group_col, position_col) <= last))
+                .select(F.col("_g").alias("_h"), F.col("_run").alias("_s"), "_before"))
+    # at most one run crosses the limit; none does when there are fewer rows than it
+    inside = binned.join(F.broadcast(crossing), F.col("_g").eqNullSafe(F.col("_h"))
+                         & F.col("_run").eqNullSafe(F.col("_s")))
+    places = inside.groupBy("_g", "_p", "_before").agg(F.count(F.lit(1)).alias("_n"))
+    reached = F.col("_before") + F.sum("_n").over(Window.orderBy("_p"))
+    cut = (places.withColumn("_upto", reached).where(F.col("_upto") >= max_rows).orderBy("_upto")
+           .select("_g", "_p", (max_rows - F.col("_upto") + F.col("_n")).alias("_take")).first())
+    if max_rows <= 0:
+        return df.limit(0)
+    if cut is None:
+        return df
+    row = F.struct(F.col(group_col).alias("_g"), F.col(position_col).alias("_p"))
+    last = F.struct(F.lit(cut["_g"]).cast(df.schema[group_col].dataType).alias("_g"),
+                    F.lit(cut["_p"]).cast(df.schema[position_col].dataType).alias("_p"))
+    return df.where(row < last).unionByName(df.where(row.eqNullSafe(last)).limit(cut["_take"]))

@@ -89,3 +89,41 @@ def _(spark, sf):
 def _(spark, sf):
     accepted = P.filter_language(posts(spark, sf)).select("date_day", "id")
     return Z.bounded_collect(accepted, 3333, "date_day", "id")
+
+
+# ------------------------------------------------------------------------- missing ids, groups and positions
+
+_GAPS = {"gaps": "SELECT event_id, CASE WHEN user_id % 17 = 0 THEN NULL ELSE user_id END AS user_id, event_type FROM events"}
+_GAP_ORDER = "MD5(CONCAT('45:', COALESCE(CAST(user_id AS VARCHAR), CONCAT('null,', CAST(event_id AS VARCHAR)))))"
+
+
+def _gaps(spark, sf):
+    user = F.when(F.col("user_id") % 17 != 0, F.col("user_id"))
+    return table(spark, sf, "events").select("event_id", user.alias("user_id"), "event_type")
+
+
+@query("sample_missing_ids", with_ctes(_GAPS, f"""SELECT event_id, user_id FROM gaps
+  ORDER BY {_GAP_ORDER}, user_id NULLS FIRST, event_id LIMIT 400"""))
+def _(spark, sf):
+    """Ids repeat, and one in 17 is missing."""
+    return Z.simple_random_sample(_gaps(spark, sf), 400, "user_id", SEED, ["event_id"]).drop("event_type")
+
+
+@query("stratified_missing_ids", with_ctes({**_GAPS, "ranked": f"""SELECT *, ROW_NUMBER() OVER (PARTITION BY event_type
+  ORDER BY {_GAP_ORDER}, user_id NULLS FIRST, event_id) AS rn FROM gaps"""},
+    """SELECT event_id, user_id, event_type FROM ranked WHERE rn <= CASE event_type WHEN 'view' THEN 300
+  WHEN 'click' THEN 50 ELSE 0 END"""))
+def _(spark, sf):
+    return Z.stratified_sample(_gaps(spark, sf), "event_type", {"view": 300, "click": 50}, "user_id", SEED,
+                               ["event_id"]).drop("row_id")
+
+
+@query("collect_missing_positions", with_ctes(_GAPS, """SELECT COUNT(*) AS n, COUNT(user_id) AS n_with_id,
+  MAX(user_id) AS last_id, COUNT(DISTINCT event_type) AS n_types FROM (SELECT * FROM gaps WHERE event_type <> 'view'
+  ORDER BY event_type, user_id NULLS FIRST LIMIT 2000) q"""))
+def _(spark, sf):
+    """Positions repeat and are missing; rows that share the last one are alternatives, so counts are compared."""
+    rows = _gaps(spark, sf).where("event_type <> 'view'")
+    return Z.bounded_collect(rows, 2000, "event_type", "user_id", 64).agg(
+        F.count(F.lit(1)).alias("n"), F.count("user_id").alias("n_with_id"), F.max("user_id").alias("last_id"),
+        F.count_distinct("event_type").alias("n_types"))
