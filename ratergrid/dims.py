@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+# Configuration of more bytes than this is joined without a hint.
+MAX_DIM_BYTES = 8 << 20
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal table held in the plan, so its size is known to the optimizer."""
     parsed = StructType.fromDDL(schema)
@@ -17,9 +21,10 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 def join_dim(df: DataFrame, rows: list[tuple], schema: str, on: str | list[str],
              how: str = "inner") -> DataFrame:
-    """Join configuration rows. They are part of the plan, so the planner knows their size in bytes and broadcasts
-    them while it is below its threshold."""
-    return df.join(small_table(df.sparkSession, rows, schema), on, how)
+    """Join configuration rows; broadcast while their size is below ``MAX_DIM_BYTES``."""
+    dim = small_table(df.sparkSession, rows, schema)
+    size = sum(len(v.encode()) if isinstance(v, str) else 8 for row in rows for v in row)
+    return df.join(F.broadcast(dim) if size <= MAX_DIM_BYTES else dim, on, how)
 
 
 def quoted(name: str) -> str:

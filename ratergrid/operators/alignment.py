@@ -38,6 +38,7 @@ def baseline_pairs(baseline: str, others: list[str]) -> list[tuple[str, str]]:
 def study_subsets(humans: list[str], models: list[str],
                   short: dict[str, str] | None = None) -> dict[str, list[str]]:
     """Named rater groups: everyone, humans, models, and each pair; groups under two are skipped."""
+    # The labels of the groups in report tables.
     name = lambda r: (short or {}).get(r, r)
     groups = {
         "All annotators": humans + models,

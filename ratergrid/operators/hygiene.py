@@ -100,8 +100,11 @@ def condition_label_map(df: DataFrame, labels: dict[str, str],
 
 
 def annotation_id(df: DataFrame, key_cols: list[str]) -> DataFrame:
-    """A stable id from the key: the same on every run, unique across labels."""
-    return df.withColumn("annotation_id", F.xxhash64(*key_cols))
+    """A stable 128-bit id from the key: the same on every run. Each value is preceded by its length, NULL by -1,
+    so no two keys are written alike."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")),
+                        F.lit("-1:")) for c in key_cols]
+    return df.withColumn("annotation_id", F.md5(F.concat(*parts).cast("binary")))
 
 
 def melt_scores(df: DataFrame, cols: list[str] = SCORE_COLS,

@@ -111,8 +111,14 @@ def read_responses(df: DataFrame, variables: list[str] = SCORE_COLS,
 def first_valid_attempt(responses: DataFrame, variables: list[str] = SCORE_COLS,
                         keys: list[str] = KEY, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The flattened annotation of the first valid attempt per key, from validated responses."""
+    return first_attempt(flatten_annotation(responses, variables), variables, keys, max_attempts)
+
+
+def first_attempt(flat: DataFrame, variables: list[str] = SCORE_COLS, keys: list[str] = KEY,
+                  max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """The first attempt per key among flattened valid ones."""
     scores = [c for v in variables for c in (v, f"{v}_reason")]
-    flat = flatten_annotation(responses.where(F.col("attempt") <= max_attempts), variables)
+    flat = flat.where(F.col("attempt") <= max_attempts)
     first = F.min(F.struct("attempt", *scores, "total_score")).alias("first")
     return flat.groupBy(*keys).agg(first).select(*keys, "first.*")
 
@@ -147,19 +153,22 @@ def annotations_to_ratings(annotations: DataFrame, variables: list[str] = SCORE_
 
 
 def annotator_hook(work: DataFrame, fn: Callable[[str, str, str, str], str],
-                   max_attempts: int = 1) -> DataFrame:
+                   max_attempts: int = 1, tasks: int | None = None) -> DataFrame:
     """Run a user's scorer over planned work and log one row per call.
 
+    ``tasks`` is how many calls run at a time (cluster cores permitting); without it the partitions of
+    ``work`` decide, and few rows may then be few tasks.
+
     ``work`` holds unit_id, rater, text, post_type, prompt and system_prompt. ``fn`` takes the last
     four and returns the response text; what it raises is logged, and the call is tried again up to
-    ``max_attempts`` times. Rows are processed in batches, never gathered.
+    ``max_attempts`` times. Each call's row is handed on at once.
     """
     names = RAW_RESPONSE_SCHEMA.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            log = []
             for row in batch.itertuples(index=False):
+                log = []
                 for attempt in range(1, max_attempts + 1):
                     try:
                         raw, error = fn(row.text, row.post_type, row.prompt, row.system_prompt), None
@@ -168,8 +177,10 @@ def annotator_hook(work: DataFrame, fn: Callable[[str, str, str, str], str],
                     log.append((row.unit_id, row.rater, attempt, raw, error))
                     if error is None:
                         break
-            yield pd.DataFrame(log, columns=names)
+                yield pd.DataFrame(log, columns=names)
 
     inputs = work.select(F.col("unit_id").cast("string").alias("unit_id"), "rater", "text",
                          "post_type", "prompt", "system_prompt")
+    if tasks:  # a stated number is not merged by adaptive execution
+        inputs = inputs.repartition(tasks, "unit_id", "rater")
     return inputs.mapInPandas(run, RAW_RESPONSE_SCHEMA)

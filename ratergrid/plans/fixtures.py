@@ -15,6 +15,7 @@ LINE_VARS = ["V1", "V2", "V3", "V4"]
 LATEST = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 HUMANS, MODELS = ["L1", "L2"], ["L3", "L4", "L5"]
 DOC_RATERS = ["r_chars", "r_words", "r_dots", "r_const"]
+# Condition ids as annotation tables hold them.
 BASELINE = "neutral"
 CONDITIONS = ["subtle_liberal", "subtle_conserv", "extreme_dem", "extreme_rep"]
 ALL_CONDITIONS = [BASELINE, *CONDITIONS]

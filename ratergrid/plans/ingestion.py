@@ -111,6 +111,18 @@ def _(spark, sf):
     return S.load_existing(spark, path)
 
 
+@query("append_missing_keys", """SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 5 <> 0 UNION ALL
+  SELECT * FROM (SELECT CAST(NULL AS BIGINT) AS doc_id, quality, toxic FROM labels WHERE doc_id % 5 = 0
+  ORDER BY quality, toxic LIMIT 1) q""")
+def _(spark, sf):
+    """Rows without an id share one key: one of them is stored, however often they are appended."""
+    path = scratch_path(spark, "resume")
+    labels = table(spark, sf, "labels").withColumn("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")))
+    for _ in range(3):
+        S.append_annotations(spark, labels, path, ["doc_id"])
+    return S.load_existing(spark, path)
+
+
 @query("require_columns", _DOC_POSTS)
 def _(spark, sf):
     return S.require_columns(_docs_as_posts(spark, sf), ["tweet_id", "post_type", "text"])

@@ -118,4 +118,4 @@ def _(spark, sf):
     work = table(spark, sf, "documents").select(
         F.col("doc_id").alias("unit_id"), F.lit("stub").alias("rater"), "text",
         F.col("source").alias("post_type"), F.lit("").alias("prompt"), F.lit("").alias("system_prompt"))
-    return R.annotator_hook(work, stub_scorer)
+    return R.annotator_hook(work, stub_scorer, tasks=spark.sparkContext.defaultParallelism)

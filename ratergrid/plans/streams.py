@@ -9,7 +9,8 @@ from ratergrid.plans.fixtures import END, RESPONSE_VARS, START, _POSTS, raw_resp
 from ratergrid.plans.registry import query, with_ctes
 from ratergrid.plans.responses import FIRST_VALID
 from ratergrid.session import scratch_path
-from ratergrid.streaming import run_annotation_log, run_ingest, stream_files, stream_progress
+from ratergrid.streaming import (read_annotation_log, run_annotation_log, run_ingest, stream_files,
+                                 stream_progress)
 
 
 def _post_stream(spark, sf):
@@ -47,10 +48,12 @@ def _(spark, sf):
 @query("stream_annotation_log", with_ctes(FIRST_VALID, """SELECT unit_id, rater, attempt, CAST(s1 AS INT) AS V1, t1 AS V1_reason,
   CAST(s2 AS INT) AS V2, t2 AS V2_reason, CAST(s1 + s2 AS INT) AS total_score FROM first_ok"""))
 def _(spark, sf):
-    """The log arrives as one file per attempt; the table is filled over several batches."""
+    """The log arrives as one file per attempt, later attempts first; the last file under a new checkpoint."""
     src, out, state = (scratch_path(spark, n) for n in ("log", "annotations", "state"))
     log = raw_responses(spark, sf)
-    for attempt in (1, 2, 3):
-        log.where(F.col("attempt") == attempt).coalesce(1).write.mode("append").parquet(src)
-    run_annotation_log(stream_files(spark, src, log.schema, max_files=1), out, state, RESPONSE_VARS)
-    return spark.read.parquet(out).drop("batch_id")
+    for folder, attempts in (("a", (3, 1)), ("b", (2,))):
+        for attempt in attempts:
+            log.where(F.col("attempt") == attempt).write.mode("append").parquet(f"{src}/{folder}")
+            run_annotation_log(stream_files(spark, f"{src}/{folder}", log.schema), out, f"{state}/{folder}",
+                               RESPONSE_VARS)
+    return read_annotation_log(spark, out, RESPONSE_VARS)

@@ -6,23 +6,25 @@ report tables read those few rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratergrid.dims import map_values
+from ratergrid.dims import map_values, quoted, small_table
 from ratergrid.functions.posts import ENGAGEMENT_PROPORTIONS, ENGAGEMENT_TIERS
 from ratergrid.operators import alignment as L, disagreement as D, posts as P, reports as R
 from ratergrid.operators import responses as Q, sampling as Z, workplan as W
-from ratergrid.operators.agreement import contingency
-from ratergrid.operators.hygiene import annotation_id, as_scores, dedupe_latest, validity_filter
+from ratergrid.operators.agreement import agreement_breakdown, contingency
+from ratergrid.operators.hygiene import (annotation_id, as_scores, dedupe_latest, drop_legacy_rater,
+                                         invalid_report, invalid_rows, missing_ids, validity_filter)
 from ratergrid.operators.profile import (pattern_score_counts, score_distribution,
                                          score_proportions)
 from ratergrid.schemas import REQUIRED_POST_COLS, SCORE_COLS, annotation_columns
-from ratergrid.session import scratch_path, stored
-from ratergrid.sources import (append_annotations, load_existing, min_rows_guard, require_columns,
-                               sink_csv, sink_parquet_typed)
+from ratergrid.session import stored
+from ratergrid.sources import (append_annotations, load_existing, min_rows_guard, refuse_repeats,
+                               require_columns, sink_csv, sink_parquet_typed)
 
 
 def sampling_run(source: DataFrame, out: str, language: str, start: str, end: str, n: int,
@@ -42,16 +44,35 @@ def sampling_run(source: DataFrame, out: str, language: str, start: str, end: st
 def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], label_col: str,
                    prompts: list[tuple], system_prompt: str | dict[str, str],
                    scorer: Callable[[str, str, str, str], str], session: str,
-                   variables: list[str] = SCORE_COLS, max_attempts: int = Q.MAX_ATTEMPTS) -> DataFrame:
+                   variables: list[str] = SCORE_COLS, max_attempts: int = Q.MAX_ATTEMPTS,
+                   tasks: int | None = None) -> DataFrame:
     """Annotate the (post, label) keys that ``out`` lacks and append them; returns the failed keys.
 
-    ``labels`` are models, prompt variants or conditions. What is done is read from ``out`` itself.
-    ``system_prompt`` is one text, or one per condition. Responses go to ``log`` before they are
-    read, so no call is made twice.
+    ``labels`` are models, prompt variants or conditions. Responses go to ``log`` before they are read. A run
+    first stores what earlier logs answer, so one that was stopped after its calls is finished without
+    calling again. ``system_prompt`` is one text, or one per condition; ``tasks`` calls run at a time.
     """
     spark = posts.sparkSession
     posts = require_columns(posts, REQUIRED_POST_COLS).select(*REQUIRED_POST_COLS)
     posts = posts.withColumn("tweet_id", F.col("tweet_id").cast("string"))
+
+    def store(responses: DataFrame) -> None:
+        done = Q.first_valid_attempt(responses, variables, max_attempts=max_attempts)
+        # each post meets its annotations once; what belongs to the label is looked up afterwards
+        rows = done.withColumnRenamed("unit_id", "tweet_id").join(posts, "tweet_id")
+        rows = annotation_id(rows, ["tweet_id", "rater"]).withColumns({
+            **{c: map_values(F.col("rater"), {str(row[label_col]): row[c] for row in labels})
+               for c in labels[0]},
+            "date": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"),
+            "annotation_session": F.lit(session)})
+        order = [c for c in annotation_columns(variables) if c in rows.columns]
+        extra = [c for c in labels[0] if c not in order]
+        append_annotations(spark, rows.select(*order, *extra).where(F.col(label_col).isNotNull()), out,
+                           ["tweet_id", label_col])
+
+    earlier = load_existing(spark, log)
+    if earlier is not None:
+        store(Q.read_responses(earlier, variables, error="error"))
     existing = load_existing(spark, out)
     work = (W.work_plan_cross(posts, labels) if existing is None
             else W.remaining_work(posts, labels, existing, "tweet_id", label_col))
@@ -64,21 +85,10 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
         work = work.withColumn("system_prompt", F.lit(system_prompt))
     calls = work.withColumnsRenamed({"tweet_id": "unit_id"}).withColumn(
         "rater", F.col(label_col).cast("string"))
-    run_log = f"{log}/run={scratch_path(spark, 'run').rsplit('-', 1)[-1]}"
-    Q.annotator_hook(calls, scorer, max_attempts).write.parquet(run_log)
-
+    run_log = f"{log}/run=r{uuid.uuid4().hex}"
+    Q.annotator_hook(calls, scorer, max_attempts, tasks).write.parquet(run_log)
     responses = Q.read_responses(spark.read.parquet(run_log), variables, error="error")
-    done = Q.first_valid_attempt(responses, variables, max_attempts=max_attempts)
-    # each post meets its annotations once; what belongs to the label is looked up afterwards
-    rows = done.withColumnRenamed("unit_id", "tweet_id").join(posts, "tweet_id")
-    rows = annotation_id(rows, ["tweet_id", "rater"]).withColumns({
-        **{c: map_values(F.col("rater"), {str(row[label_col]): row[c] for row in labels})
-           for c in labels[0]},
-        "date": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"),
-        "annotation_session": F.lit(session)})
-    order = [c for c in annotation_columns(variables) if c in rows.columns]
-    extra = [c for c in labels[0] if c not in order]
-    append_annotations(spark, rows.select(*order, *extra), out, ["tweet_id", label_col])
+    store(responses)
     return Q.failed_keys(responses, max_attempts=max_attempts)
 
 
@@ -87,43 +97,77 @@ def _as_raters(df: DataFrame, rater: Column, id_col: str, keep: list[str] = ())
                                 *SCORE_COLS, *keep)
 
 
+def _latest(df: DataFrame, keys: list[str], order_cols: list[str], label: str) -> DataFrame:
+    """One row per key: the latest by ``order_cols``, or an error when keys repeat and no order is given."""
+    if order_cols:
+        return dedupe_latest(df.select(*keys, *SCORE_COLS, *order_cols), keys, order_cols)
+    return refuse_repeats(df, keys, label)
+
+
+def present_models(models: DataFrame, model_col: str, display: dict[str, str],
+                   most: int = 1000) -> dict[str, str]:
+    """Display names of the versions that occur, listed ones first and in their order; the others keep
+    their version as name. A table of more than ``most`` versions is refused."""
+    found = [r[0] for r in models.select(model_col).where(F.col(model_col).isNotNull()).distinct()
+             .limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} distinct values of {model_col}")
+    listed = {k: v for k, v in display.items() if k in found}
+    return listed | {k: k for k in sorted(found) if k not in listed}
+
+
 def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
                       display: dict[str, str], humans: tuple[str, str] = ("Human P1", "Human P2"),
                       short: dict[str, str] | None = None, id_col: str = "tweet_id",
                       model_col: str = "llm_name_version", order_cols: list[str] = (),
-                      validate_models: bool = True) -> dict[str, DataFrame]:
+                      validate_models: bool = True, legacy: list[str] = (),
+                      human_order_cols: list[str] = (),
+                      cases: list[str] = ()) -> dict[str, DataFrame]:
     """Retest and model agreement on the posts every rater scored.
 
-    ``display`` lists the models by version string in report order; versions it lacks are left out.
-    With ``order_cols``, the latest of repeated model rows counts.
+    The models are those that occur in ``models``, but for ``legacy`` versions; ``display`` names some of
+    them and puts these first. With order columns the latest of repeated rows counts; without, a
+    repeated (post, rater) is an error. What was left out is among the tables: ``invalid_rows``,
+    ``invalid_report``, ``missing_ids`` (posts of the first rating that the second lacks) and
+    ``model_coverage``. ``cases`` lists posts whose scores are returned side by side.
     """
-    names = list(display.values())
-    raters = [*humans, *names]
-    people = [validity_filter(_as_raters(df, F.lit(h), id_col)) for df, h in
-              zip((first, second), humans)]
-    listed = models.where(F.col(model_col).isin(list(display)))
-    if order_cols:
-        listed = dedupe_latest(listed.select(id_col, model_col, *SCORE_COLS, *order_cols),
-                               [id_col, model_col], list(order_cols))
-    machines = _as_raters(listed, map_values(F.col(model_col), display), id_col)
-    if validate_models:
-        machines = validity_filter(machines)
-    annotations = reduce(DataFrame.unionByName, [*people, machines])
+    models = drop_legacy_rater(models, list(legacy), model_col) if legacy else models
+    names = present_models(models, model_col, display)
+    raters = [*humans, *names.values()]
+    people = [_as_raters(_latest(df, [id_col], list(human_order_cols), h), F.lit(h), id_col)
+              for df, h in zip((first, second), humans)]
+    latest = _latest(models, [id_col, model_col], list(order_cols), model_col)
+    machines = _as_raters(latest, map_values(F.col(model_col), names), id_col).where("rater IS NOT NULL")
+    checked = [*people, *([machines] if validate_models else [])]
+    given = stored(reduce(DataFrame.unionByName, checked), "given")
+    annotations = validity_filter(given)
+    if not validate_models:
+        annotations = annotations.unionByName(machines)
     core = stored(L.common_core(L.score_grid_wide(annotations, raters), raters), "core")
     patterns = stored(L.pattern_counts(core, raters), "patterns")
-    subsets = L.study_subsets(list(humans), names, short)
-    groups = {"all": raters, "models": names, "humans": list(humans)}
-    totals = D.unit_totals(L.grid_to_ratings(core, raters))
+    subsets = L.study_subsets(list(humans), list(names.values()), short)
+    groups = {"all": raters, "models": list(names.values()), "humans": list(humans)}
+    totals = stored(D.unit_totals(L.grid_to_ratings(core, raters)), "totals")
     spread = D.spread_map(totals)
+    pairs = L.study_pairs(list(humans), list(names.values()))
     drifts = D.drift_values(contingency(patterns, [humans]), ["variable"])
     diff = D.total_differences(totals, *humans)
     counts = pattern_score_counts(patterns, raters)
-    wide = L.grid_to_ratings(core, list(humans)).groupBy("unit_id", "rater").pivot(
-        "variable", SCORE_COLS).agg(F.first("score"))
-    return {
+    score = lambda v, r: F.max(F.when(F.col("variable") == v, F.col(quoted(r))))
+    wide = core.groupBy("unit_id").agg(*[score(v, r).alias(f"{v}_{i}") for v in SCORE_COLS
+                                         for i, r in enumerate(humans)])
+    wide = wide.select("unit_id", F.inline(F.array(*[F.struct(
+        F.lit(r).alias("rater"), *[F.col(f"{v}_{i}").alias(v) for v in SCORE_COLS])
+        for i, r in enumerate(humans)])))
+    valid = given.transform(validity_filter)
+    one, two = (valid.where(F.col("rater") == h) for h in humans)
+    coverage = small_table(first.sparkSession, [(n,) for n in names.values()], "rater string").join(
+        machines.groupBy("rater").agg(F.count(F.lit(1)).alias("n_rows")), "rater", "left")
+    out = {
         "intra_annotator": R.intra_rater_table(patterns, *humans),
-        "inter_annotator": R.inter_rater_table(patterns, L.study_pairs(list(humans), names)),
+        "inter_annotator": R.inter_rater_table(patterns, pairs),
         "krippendorff_alpha": R.alpha_subset_table(patterns, subsets),
+        "agreement_breakdown": agreement_breakdown(contingency(patterns, pairs)),
         "score_drift": D.drift_table(wide, *humans),
         "drift_counts": D.drift_counts(drifts),
         "drift_quantiles": D.drift_quantiles(drifts),
@@ -133,7 +177,15 @@ def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
         "divergence_stats": D.score_divergence_stats(diff),
         "score_distribution": score_distribution(counts),
         "reliability_summary": R.reliability_summary(patterns, *humans, groups),
+        "invalid_rows": invalid_rows(given.withColumn("unit_id", F.concat_ws("/", "rater", "unit_id"))),
+        "invalid_report": invalid_report(given),
+        "missing_ids": missing_ids(one, two),
+        "model_coverage": coverage.withColumns({
+            "n_rows": F.coalesce("n_rows", F.lit(0)), "n_models": F.lit(len(names))}),
     }
+    if cases:
+        out["cases"] = core.where(F.col("unit_id").isin([str(c) for c in cases]))
+    return out
 
 
 def _variant_patterns(annotations: DataFrame, key: str, variants: list[str], id_col: str,

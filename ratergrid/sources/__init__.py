@@ -1,4 +1,4 @@
-from ratergrid.sources.guards import min_rows_guard, require_columns
+from ratergrid.sources.guards import min_rows_guard, refuse_repeats, require_columns
 from ratergrid.sources.readers import (evenly_spaced_chunks, scan_csv, scan_done_keys,
                                        scan_parquet, scan_parquet_parts)
 from ratergrid.sources.writers import (append_annotations, convert_parquet_to_csv, load_existing,
@@ -6,6 +6,6 @@ from ratergrid.sources.writers import (append_annotations, convert_parquet_to_cs
 
 __all__ = [
     "append_annotations", "convert_parquet_to_csv", "evenly_spaced_chunks", "load_existing",
-    "min_rows_guard", "require_columns", "scan_csv", "scan_done_keys", "scan_parquet",
+    "min_rows_guard", "refuse_repeats", "require_columns", "scan_csv", "scan_done_keys", "scan_parquet",
     "scan_parquet_parts", "sink_csv", "sink_parquet_typed",
 ]

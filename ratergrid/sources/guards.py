@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def require_columns(df: DataFrame, columns: list[str], label: str = "input") -> DataFrame:
@@ -13,6 +13,14 @@ def require_columns(df: DataFrame, columns: list[str], label: str = "input") ->
     return df
 
 
+def refuse_repeats(df: DataFrame, keys: list[str], label: str = "input") -> DataFrame:
+    """Return ``df`` unchanged, or raise when rows repeat a key, naming one of them."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").first()
+    if twice is not None:
+        raise ValueError(f"[{label}] rows repeat {twice.asDict()}: state an order, or keep one of them")
+    return df
+
+
 def min_rows_guard(df: DataFrame, n: int, label: str = "pool") -> DataFrame:
     """Return ``df`` unchanged, or raise when it holds fewer than ``n`` rows.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratergrid.operators.posts import cast_sample_types, reorder_columns
 from ratergrid.sources.readers import scan_parquet
@@ -44,9 +44,16 @@ def load_existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_annotations(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose key is not stored yet. Done keys are the stored rows themselves."""
+    """Append one row for each key that is not stored yet; NULL is a key value like any other.
+
+    Of rows that repeat a key, the one whose other columns come first in their order is taken.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    fresh = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(
+        *keys, "_row.*").select(*new.columns)
     existing = load_existing(spark, path)
-    fresh = new.dropDuplicates(keys)
     if existing is not None:
-        fresh = fresh.join(existing.select(*keys), keys, "left_anti")
+        stored = existing.select(*[F.col(k).alias(f"_stored{i}") for i, k in enumerate(keys)])
+        same = [F.col(k).eqNullSafe(F.col(f"_stored{i}")) for i, k in enumerate(keys)]
+        fresh = fresh.join(stored, same, "left_anti")
     fresh.write.mode("append").parquet(path)

@@ -1,4 +1,4 @@
-from ratergrid.streaming.annotation_log import run_annotation_log
+from ratergrid.streaming.annotation_log import read_annotation_log, run_annotation_log
 from ratergrid.streaming.ingest import run_ingest, stream_files, stream_progress
 
-__all__ = ["run_annotation_log", "run_ingest", "stream_files", "stream_progress"]
+__all__ = ["read_annotation_log", "run_annotation_log", "run_ingest", "stream_files", "stream_progress"]

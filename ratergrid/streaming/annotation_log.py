@@ -1,48 +1,58 @@
-"""Resumable annotation log: a stream of raw responses into a table with one row per key."""
+"""Resumable annotation log: a stream of raw responses whose table does not depend on their order."""
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ratergrid.operators.responses import KEY, first_valid_attempt, read_responses
+from ratergrid.operators.responses import (KEY, MAX_ATTEMPTS, first_attempt, flatten_annotation,
+                                           read_responses)
 from ratergrid.schemas import SCORE_COLS
-from ratergrid.session import shared_root
 from ratergrid.sources.writers import load_existing
 
-BATCH = "batch_id"
+RUN, BATCH = "run_id", "batch_id"
 
 
 def write_batch(batch: DataFrame, batch_id: int, out: str, variables: list[str] = SCORE_COLS,
-                keys: list[str] = KEY, error: str | None = None) -> None:
-    """Store the first valid response of keys that no earlier batch stored.
+                error: str | None = None, run_id: str = "r0") -> None:
+    """Store the valid attempts of a batch, in a folder of its run and number that it replaces.
 
-    Each batch owns the folder of its number and replaces it, so a replay after a crash leaves the
-    table as it would have been. The batch is staged first: its size is then known, and when it is
-    small enough the planner sends its keys to the files of earlier batches, whose key columns are
-    read in place instead of being shuffled.
+    A replay after a crash leaves the table as it would have been, and nothing stored earlier is read.
     """
-    spark = batch.sparkSession
-    staging = f"{shared_root(spark)}/staging-{hashlib.md5(out.encode()).hexdigest()}"
-    first = first_valid_attempt(read_responses(batch, variables, error), variables, keys)
-    first.write.mode("overwrite").parquet(staging)
-    fresh = spark.read.parquet(staging)
-    stored = load_existing(spark, out) if batch_id > 0 else None
-    if stored is not None and BATCH in stored.columns:
-        earlier = stored.where(F.col(BATCH) < batch_id).select(*keys)
-        known = earlier.join(fresh.select(*keys), keys, "left_semi")
-        fresh = fresh.join(known, keys, "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+    valid = flatten_annotation(read_responses(batch, variables, error), variables)
+    valid.write.mode("overwrite").parquet(f"{out}/{RUN}={run_id}/{BATCH}={batch_id}")
+
+
+def read_annotation_log(spark: SparkSession, out: str, variables: list[str] = SCORE_COLS,
+                        keys: list[str] = KEY, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """One row per key: its first valid attempt, in whatever order and run the attempts arrived."""
+    stored = load_existing(spark, out)
+    if stored is None:
+        raise ValueError(f"no annotation log at {out}")
+    return first_attempt(stored.drop(RUN, BATCH), variables, keys, max_attempts)
+
+
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that belongs to a checkpoint: kept beside its state, new when the state is new."""
+    path = f"{checkpoint.rstrip('/')}/annotation-run"
+    known = load_existing(spark, path)
+    if known is None:
+        spark.createDataFrame([(f"r{uuid.uuid4().hex}",)], "run_id string").write.parquet(path)
+        known = spark.read.parquet(path)
+    return known.first()["run_id"]
 
 
 def run_annotation_log(source: DataFrame, out: str, checkpoint: str,
-                       variables: list[str] = SCORE_COLS, keys: list[str] = KEY,
+                       variables: list[str] = SCORE_COLS,
                        error: str | None = None) -> StreamingQuery:
-    """Process what is available and stop; run again to resume without duplicate work."""
+    """Process what is available and stop; run again to resume. A new checkpoint over an existing table
+    adds to it: its batches have folders of their own."""
+    run_id = _run_id(source.sparkSession, checkpoint)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, batch_id, out, variables, keys, error)
+        write_batch(batch, batch_id, out, variables, error, run_id)
 
     query = (source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

@@ -76,7 +76,7 @@ def test_consistency_study_matches_published(spark, tmp_path):
               .unionByName(h2.withColumn("llm_name_version", F.lit("m-two")))
               .unionByName(h2.withColumn("llm_name_version", F.lit("retired"))))
     out = consistency_study(h1, h2, models, {"m-one": "One", "m-two": "Two"},
-                            short={"Human P1": "H1", "Human P2": "H2"})
+                            short={"Human P1": "H1", "Human P2": "H2"}, legacy=["retired"])
     intra = {r["variable"]: tuple(r)[1:] for r in out["intra_annotator"].collect()}
     assert intra == PUBLISHED
     inter = out["inter_annotator"].orderBy("pair_ord", "variable").collect()
@@ -298,3 +298,31 @@ def test_p_values_at_both_ends(spark):
     assert got[0] == pytest.approx(1 - 2 / math.pi * math.asin(0.5))
     assert got[1] == pytest.approx(0.5) and got[2] == pytest.approx(0.5)
     assert got[3] == pytest.approx(math.erfc(1.96 / math.sqrt(2)), abs=1e-6)
+
+
+def test_consistency_study_follows_the_models_present(spark):
+    first, second = retest_rows()
+    h1, h2 = wide(spark, first), wide(spark, second[1:])
+    models = (h1.withColumn("llm_name_version", F.lit("m-new"))
+              .unionByName(h1.limit(40).withColumn("llm_name_version", F.lit("m-one")))
+              .unionByName(h1.limit(1).withColumn("llm_name_version", F.lit(None).cast("string"))))
+    out = consistency_study(h1, h2, models, {"m-gone": "Gone", "m-one": "One"}, cases=[second[5][0]])
+    assert out["intra_annotator"].count() == 8
+    assert [(r["rater"], r["n_rows"], r["n_models"]) for r in out["model_coverage"].orderBy("rater").collect()] == [
+        ("One", 40, 2), ("m-new", 50, 2)]
+    assert [r["unit_id"] for r in out["missing_ids"].collect()] == [str(second[0][0])]
+    assert out["invalid_report"].count() == 0 and out["agreement_breakdown"].count() == 6 * 8
+    assert out["cases"].count() <= 8
+    with pytest.raises(ValueError, match="repeat"):
+        consistency_study(h1.unionByName(h1.limit(1)), h2, models, {})
+    with pytest.raises(ValueError, match="repeat"):
+        consistency_study(h1, h2, models.unionByName(models.limit(1)), {})
+
+
+def test_consistency_study_reports_invalid_rows(spark):
+    first, second = retest_rows()
+    bad = wide(spark, [(str(first[0][0]) + "x", *[9] * 8)])
+    h1, h2 = wide(spark, first).unionByName(bad), wide(spark, second)
+    out = consistency_study(h1, h2, h1.withColumn("llm_name_version", F.lit("m")), {})
+    assert {(r["column"], r["n_invalid"]) for r in out["invalid_report"].collect()} == {("V1", 2)}
+    assert out["invalid_rows"].count() == 2

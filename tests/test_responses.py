@@ -170,6 +170,37 @@ def test_annotation_run_resumes(spark, tmp_path):
     assert all(r["a"] == pytest.approx(1.0) for r in shares)
 
 
+def test_annotation_run_finishes_a_stopped_run(spark, tmp_path):
+    """The calls were made and logged, then the run was stopped: nothing is called again."""
+    posts = spark.createDataFrame([(str(i), "tweet", "x" * (i % 5 + 1)) for i in range(6)],
+                                  "tweet_id string, post_type string, text string")
+    prompts = [("A", "codebook", "json", "\nRate ", ":", ".")]
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    calls = posts.selectExpr("tweet_id AS unit_id", "'A' AS rater", "text", "post_type", "'' AS prompt", "'' AS system_prompt")
+    R.annotator_hook(calls.limit(4), make_scorer("none")).write.parquet(f"{log}/run=rx")
+
+    answer, calls_file = make_scorer("none"), str(tmp_path / "calls")
+
+    def count_call(text, post_type, prompt, system_prompt):
+        with open(calls_file, "a") as file:
+            file.write("x")
+        return answer(text, post_type, prompt, system_prompt)
+
+    run = lambda: annotation_run(posts, out, log, [{"prompt_variant": "A"}], "prompt_variant", prompts, "system",
+                                 count_call, "s1")
+    assert run().count() == 0 and spark.read.parquet(out).count() == 6
+    assert len((tmp_path / "calls").read_text()) == 2
+    assert run().count() == 0 and len((tmp_path / "calls").read_text()) == 2
+
+
+def test_annotator_hook_spreads_calls(spark):
+    work = spark.range(200).coalesce(1).selectExpr("CAST(id AS STRING) AS unit_id", "'m' AS rater", "'t' AS text",
+                                                   "'tweet' AS post_type", "'' AS prompt", "'' AS system_prompt")
+    log = R.annotator_hook(work, make_scorer("none"), tasks=16)
+    assert log.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 12
+    assert log.count() == 200
+
+
 def test_framing_run(spark, tmp_path):
     posts = spark.createDataFrame([(str(i), "tweet", "x" * (i % 7 + 1)) for i in range(20)],
                                   "tweet_id string, post_type string, text string")

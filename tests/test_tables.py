@@ -17,7 +17,8 @@ from ratergrid.functions.verdicts import (agreement_zone, divergence_bucket, dri
 from ratergrid.operators import disagreement as D, hygiene as H, posts as P, profile as R
 from ratergrid.operators import reports
 from ratergrid.schemas import RAW_RESPONSE_SCHEMA, SAMPLED_POST_SCHEMA
-from ratergrid.streaming import run_annotation_log, run_ingest, stream_files, stream_progress
+from ratergrid.streaming import (read_annotation_log, run_annotation_log, run_ingest, stream_files,
+                                 stream_progress)
 from ratergrid.streaming.annotation_log import write_batch
 
 
@@ -265,9 +266,10 @@ def test_annotation_log_replay_adds_nothing(spark, tmp_path):
     one = batch([("a", "m", 1, good % 1, None), ("b", "m", 1, "broken", None)])
     two = batch([("a", "m", 2, good % 3, None), ("b", "m", 2, good % 2, None)])
     out = str(tmp_path / "log")
-    for df, i in ((one, 0), (two, 1), (two, 1), (one, 0)):
+    for df, i in ((two, 0), (one, 1), (one, 1), (two, 0)):
         write_batch(df, i, out, ["V1"])
-    got = sorted((r["unit_id"], r["attempt"], r["V1"]) for r in spark.read.parquet(out).collect())
+        write_batch(df, i, out, ["V1"], run_id="r1")
+    got = sorted((r["unit_id"], r["attempt"], r["V1"]) for r in read_annotation_log(spark, out, ["V1"]).collect())
     assert got == [("a", 1, 1), ("b", 2, 2)]
 
 
@@ -278,4 +280,16 @@ def test_annotation_log_stream_resumes(spark, tmp_path):
         df = spark.createDataFrame([(unit, "m", 1, text, None)], RAW_RESPONSE_SCHEMA)
         df.coalesce(1).write.mode("append").parquet(src)
         run_annotation_log(stream_files(spark, src, RAW_RESPONSE_SCHEMA, max_files=1), out, state, ["V1"])
-    assert sorted(r["unit_id"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    assert sorted(r["unit_id"] for r in read_annotation_log(spark, out, ["V1"]).collect()) == ["a", "b"]
+
+
+def test_annotation_log_any_order_and_new_checkpoint(spark, tmp_path):
+    good = '{"V1":{"score":%d,"V1_reason":"q"}}'
+    out = str(tmp_path / "out")
+    for step, (attempt, text) in enumerate(((3, good % 3), (2, good % 2), (1, "broken"))):
+        src, state = str(tmp_path / f"src{step}"), str(tmp_path / f"state{step}")
+        spark.createDataFrame([("a", "m", attempt, text, None), (f"u{step}", "m", 1, good % 1, None)],
+                              RAW_RESPONSE_SCHEMA).write.parquet(src)
+        run_annotation_log(stream_files(spark, src, RAW_RESPONSE_SCHEMA), out, state, ["V1"])
+    got = {r["unit_id"]: r["attempt"] for r in read_annotation_log(spark, out, ["V1"]).collect()}
+    assert got == {"a": 2, "u0": 1, "u1": 1, "u2": 1}
