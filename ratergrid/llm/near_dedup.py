@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 4
 #: One bit of each of 256 coordinates. At similarity 0.75 224 agree on average; fewer than 195 have odds of 3e-8.
 LEAST_AGREEING = 195
 BLOCK = 256
+#: Up to so many node ids (8 bytes each) are broadcast to pick the nodes whose words are read; more are joined.
+BROADCAST_IDS = 2_000_000
 SIMILARITY = (75, 100)
 _SKETCH = ["_s0", "_s1", "_s2", "_s3"]
 _CIRCULANT = Circulant()
@@ -98,6 +100,13 @@ def _with(pairs: DataFrame, nodes: DataFrame, side: str, columns: list[str]) ->
     return pairs.join(nodes.select(F.col("_node").alias(side), *[F.col(c).alias(side + c) for c in columns]), side)
 
 
+def _words_of(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """Words of the nodes in ``ids`` (_node) only, written once, so that nothing else of the corpus is shuffled."""
+    ids = stored(ids.distinct(), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return stored(words.join(F.broadcast(ids) if few else ids, "_node", "left_semi"), "words")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among pairs (_a, _b, _a_words, _b_words)."""
     last, left = None, None
@@ -153,7 +162,8 @@ def _star_links(members: DataFrame, nodes: DataFrame, words: DataFrame) -> DataF
     pairs = members.where("_node != _first").select(F.col("_first").alias("_a"), F.col("_node").alias("_b")).distinct()
     near = _with(_with(stored(pairs, "pairs"), nodes, "_b", ["_n", *_SKETCH]), nodes, "_a", ["_n", *_SKETCH])
     near = stored(near.where(_may_link("_a", "_b")).select("_a", "_b"), "near")
-    full = _with(_with(near, words, "_b", ["_words"]), words, "_a", ["_words"])
+    own = _words_of(words, near.select(F.col("_a").alias("_node")).unionByName(near.select(F.col("_b").alias("_node"))))
+    full = _with(_with(near, own, "_b", ["_words"]), own, "_a", ["_words"])
     return full.select("_a", "_b", "_a_words", "_b_words").mapInArrow(_verify, "_a long, _b long")
 
 
@@ -219,7 +229,7 @@ def _rows_and_components(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     maps = connect(stored(_star_links(members, nodes, words), "links"))
     labels = compose(members.select("_node").distinct(), maps)
     blocks = stored(_left_over(members.select("_key", "_node"), stored(labels, "labels")), "blocks")
-    full = blocks.join(words, "_node").select("_key", "_q", "_t", "_query", "_comp", "_words")
+    full = blocks.join(_words_of(words, blocks.select("_node")), "_node").select("_key", "_q", "_t", "_query", "_comp", "_words")
     more = full.groupBy("_key", "_q", "_t").applyInArrow(_block_links, "_a long, _b long")
     maps += connect(stored(more, "links"))
 
