@@ -21,7 +21,7 @@ from ratergrid.llm.shingles import mix64
 from ratergrid.session import stored
 
 #: Words of a window, plain words it needs for placeholders to be used, and the share of an item's windows.
-WIDTH, PLAIN, COVERAGE = 5, 3, 0.75
+WIDTH, PLAIN, COVERAGE = 5, 2, 0.75
 #: Bits of the filter that goes to the tasks: its size is fixed, whatever the size of the benchmark.
 FILTER_BITS = 27
 CACHE = 300_000
