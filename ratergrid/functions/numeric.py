@@ -69,6 +69,7 @@ def _t_tail_fraction(df: np.ndarray, x: np.ndarray) -> np.ndarray:
             if np.all(np.abs(d * c - 1.0) < 1e-15):
                 break
         value = np.where(flip, 1.0 - front * fraction, front * fraction)
+        value = np.where(np.abs(d * c - 1.0) < 1e-9, value, np.nan)  # the fraction has not settled
     return np.where(x <= 0.0, 0.0, np.where(x >= 1.0, 1.0, value))
 
 

@@ -22,6 +22,15 @@ def contingency(patterns: DataFrame, pairs: list[tuple[str, str]],
     return joint.groupBy("rater_a", "rater_b", *by, "a", "b").agg(F.sum("n").alias("n"))
 
 
+def contingency_of_grid(grid: DataFrame, pairs: list[tuple[str, str]],
+                        by: list[str] = ("variable",)) -> DataFrame:
+    """The same counts straight from a grid, for raters too many for patterns.
+
+    Pairs fan out in place and are summed before they move: pairs x groups x scores^2 rows per task.
+    """
+    return contingency_of(paired_scores(grid, pairs, keep=list(by)), ["rater_a", "rater_b", *by])
+
+
 def contingency_of(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Joint counts from a table that already holds score pairs (a, b)."""
     return pairs.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from ratergrid.dims import fan_out, inline_rows, literal, quoted
 from ratergrid.functions.posts import ENGAGEMENT_TIERS
 from ratergrid.functions.verdicts import FLOOR_SHARE, floor_effect_flag
 from ratergrid.schemas import VALID_SCORES
+from ratergrid.session import stored
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -31,33 +32,43 @@ def tier_composition(df: DataFrame, key: str = "engagement_level",
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float] = QUARTILES) -> DataFrame:
-    """One row of exact quantiles with linear interpolation, for any number of distinct values.
+#: Bins of a power of e, and parts that a bin is divided into. They bound every group that is looked at together.
+PER_E, PARTS = 65536, 65536
 
-    A first pass counts rows in narrow bins of ln(1 + |x|) and finds the bins that hold the wanted
-    ranks; a second pass looks at the values in those bins only. Rows are never sorted or shuffled
-    as such. Bins are grouped by 1024 into at most 91,000 coarse ones, over which totals run.
-    """
+
+def _bins(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (x, bin), and one row per bin with its count, mean, squared deviations and extremes."""
     rows = (df.select(F.col(col).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-            .withColumn("bin", F.expr("CAST(signum(x) * floor(ln(1 + abs(x)) * 65536) AS BIGINT)")))
-    fine = (rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("coarse", F.expr("floor(bin / 1024)")))
-    coarse = fine.groupBy("coarse").agg(F.sum("n").alias("coarse_n")).selectExpr(
-        "coarse", "sum(coarse_n) OVER () AS total",
-        "sum(coarse_n) OVER (ORDER BY coarse) - coarse_n AS coarse_before")
+            .withColumn("bin", F.expr(f"CAST(signum(x) * floor(ln(1 + abs(x)) * {PER_E}) AS BIGINT)")))
+    fine = rows.groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"),
+        F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return rows, fine
+
+
+def _quantiles_of(rows: DataFrame, fine: DataFrame, probs: dict[str, float]) -> DataFrame:
+    coarse = (fine.withColumn("coarse", F.expr("floor(bin / 1024)")).groupBy("coarse")
+              .agg(F.sum("n").alias("coarse_n")).selectExpr(
+                  "coarse", "sum(coarse_n) OVER () AS total",
+                  "sum(coarse_n) OVER (ORDER BY coarse) - coarse_n AS coarse_before"))
     ranks = {}
     for name, prob in probs.items():
         lower = f"floor((total - 1) * {float(prob)}D)"
         ranks[f"{name}_lo"], ranks[f"{name}_hi"] = lower, f"least({lower} + 1, total - 1)"
     holds = " OR ".join(f"{rank} BETWEEN before AND before + n - 1" for rank in ranks.values())
-    # both broadcast sides are bounded: coarse bins by the range of a double, bins by the ranks
-    wanted = (fine.join(F.broadcast(coarse), "coarse")
+    # all broadcast sides are bounded: coarse bins by the range of a double, the others by the ranks
+    wanted = (fine.withColumn("coarse", F.expr("floor(bin / 1024)")).join(F.broadcast(coarse), "coarse")
               .withColumn("before", F.expr(
                   "coarse_before + sum(n) OVER (PARTITION BY coarse ORDER BY bin) - n"))
-              .where(holds).select("bin", "before", "total"))
-    values = (rows.join(F.broadcast(wanted), "bin").groupBy("bin", "before", "total", "x")
-              .agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("upto", F.expr("before + sum(n) OVER (PARTITION BY bin ORDER BY x)")))
+              .where(holds).select("bin", "before", "total", "lo", "hi"))
+    part = F.expr(f"least(coalesce(floor(try_divide(x - lo, hi - lo) * {PARTS}), 0), {PARTS - 1})")
+    inside = rows.join(F.broadcast(wanted), "bin").withColumn("part", part)
+    parts = (inside.groupBy("bin", "part", "before", "total").agg(F.count(F.lit(1)).alias("n"))
+             .withColumn("before", F.expr("before + sum(n) OVER (PARTITION BY bin ORDER BY part) - n"))
+             .where(holds).select("bin", "part", F.col("before").alias("part_before")))
+    values = (inside.join(F.broadcast(parts), ["bin", "part"])
+              .groupBy("bin", "part", "part_before", "total", "x").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("upto", F.expr("part_before + sum(n) OVER (PARTITION BY bin, part ORDER BY x)")))
     ends = [F.expr(f"max(CASE WHEN {rank} BETWEEN upto - n AND upto - 1 THEN x END)").alias(end)
             for end, rank in ranks.items()]
     out = []
@@ -68,31 +79,53 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float] = QUARTILES
     return values.agg(F.max("total").alias("total"), *ends).selectExpr(*out)
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float] = QUARTILES) -> DataFrame:
+    """One row of exact quantiles with linear interpolation, for any number of distinct values.
+
+    Three passes over one column: counts in narrow bins of ln(1 + |x|); counts in equal parts of the few bins that
+    hold the wanted ranks; the values in the parts that hold them. Rows are never sorted or shuffled as such,
+    and a bin with very many distinct values is divided again.
+    """
+    return _quantiles_of(*_bins(df, col), probs)
+
+
 def describe_numeric(df: DataFrame, col: str, approx: bool = False,
                      accuracy: int = 10000) -> DataFrame:
-    """count, mean, std (n - 1), min, quartiles, max. ``approx`` sketches the quartiles."""
-    x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    basics = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-              F.min(x).alias("min"), F.max(x).alias("max")]
+    """count, mean, std (n - 1), min, quartiles, max. ``approx`` sketches the quartiles in one pass.
+
+    The exact form writes the bins of the first pass to the shared folder and takes count, mean, deviation and
+    extremes from them, so the column is read three times in all.
+    """
     if approx:
-        probs = list(QUARTILES.values())
-        sketch = F.percentile_approx(x, probs, accuracy).alias("q")
+        x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+        basics = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                  F.min(x).alias("min"), F.max(x).alias("max")]
+        sketch = F.percentile_approx(x, list(QUARTILES.values()), accuracy).alias("q")
         return df.agg(*basics, sketch).select(
             "count", "mean", "std", "min",
             *[F.col("q")[i].alias(name) for i, name in enumerate(QUARTILES)], "max")
-    quartiles = exact_quantiles(df, col).select(F.struct(*QUARTILES).alias("q")).scalar()
-    return df.agg(*basics).select("count", "mean", "std", "min",
-                                  *[quartiles[name].alias(name) for name in QUARTILES], "max")
+    rows, fine = _bins(df, col)
+    fine = stored(fine, "bins")
+    total = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("mean")) / total
+    whole = fine.agg(total.alias("count"), mean.alias("mean"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+    centre = whole.select("mean").scalar()
+    squares = F.sum(F.col("n") * (F.col("var") + (F.col("mean") - centre) * (F.col("mean") - centre)))
+    spread = fine.agg(squares.alias("s"), total.alias("k")).select(
+        F.expr("CASE WHEN k > 1 THEN sqrt(s / (k - 1)) END").alias("std")).scalar()
+    quartiles = _quantiles_of(rows, fine, QUARTILES).select(F.struct(*QUARTILES).alias("q")).scalar()
+    return whole.select(F.coalesce("count", F.lit(0)).alias("count"), "mean", spread.alias("std"), "min",
+                        *[quartiles[name].alias(name) for name in QUARTILES], "max")
 
 
 def date_extent(df: DataFrame, col: str = "date") -> DataFrame:
     return df.agg(F.min(col).alias("first"), F.max(col).alias("last"))
 
 
-def all_match(df: DataFrame, condition: Column, name: str = "all_match") -> DataFrame:
-    """Whether the condition holds on every row; NULL counts as a miss, no rows as a match."""
-    miss = F.count_if(~F.coalesce(condition, F.lit(False)))
-    return df.agg((miss == 0).alias(name))
+def all_match(df: DataFrame, **conditions: Column) -> DataFrame:
+    """Whether each named condition holds on every row, in one pass; NULL counts as a miss, no rows as a match."""
+    return df.agg(*[(F.count_if(~F.coalesce(c, F.lit(False))) == 0).alias(name)
+                    for name, c in conditions.items()])
 
 
 def model_coverage(df: DataFrame, model_col: str = "rater") -> DataFrame:

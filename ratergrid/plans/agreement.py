@@ -101,6 +101,29 @@ def _(spark, sf):
     return A.pair_metrics(_table(spark, sf))
 
 
+MANY = [f"S{i:02d}" for i in range(20)]
+_MANY_SQL = {
+    "many": """SELECT unit_id, rater, MAX(score) AS score FROM (SELECT CAST(l_orderkey AS VARCHAR) AS unit_id,
+  CONCAT('S', LPAD(CAST(l_suppkey % 20 AS VARCHAR), 2, '0')) AS rater, CASE WHEN l_quantity <= 16 THEN 1 WHEN l_quantity <= 33
+  THEN 2 ELSE 3 END AS score FROM lineitem) q GROUP BY unit_id, rater""",
+    "many_pairs": """SELECT x.rater AS rater_a, y.rater AS rater_b, 'V1' AS variable, x.score AS a, y.score AS b
+  FROM many x JOIN many y ON y.unit_id = x.unit_id AND x.rater < y.rater""",
+    **pair_ctes("many_pairs", BY)}
+
+
+@query("pair_metrics_many", with_ctes(_MANY_SQL, f"""SELECT rater_a, rater_b, variable, n, {r6('rho')} AS rho,
+  {r6('mad')} AS mad, {r6('pct_exact')} AS pct_exact FROM st"""))
+def _(spark, sf):
+    """Twenty raters, 190 pairs; of a rater's repeated scores of a unit the highest counts."""
+    rater = F.concat(F.lit("S"), F.lpad((F.col("l_suppkey") % 20).cast("string"), 2, "0"))
+    score = F.when(F.col("l_quantity") <= 16, 1).when(F.col("l_quantity") <= 33, 2).otherwise(3)
+    ratings = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("unit_id"), F.lit("V1").alias("variable"), rater.alias("rater"),
+        score.alias("score"))
+    counts = A.contingency_of_grid(L.score_grid(ratings, MANY), L.rater_pairs(MANY))
+    return A.pair_metrics(counts).select(*BY, "n", "rho", "mad", "pct_exact")
+
+
 _ALPHA = alpha_ctes("fx_ratings", ["variable"])
 _ALPHA_SELECT = f"SELECT variable, n_units, n_ratings, {r6('alpha')} AS alpha FROM al"
 

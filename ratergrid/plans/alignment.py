@@ -138,19 +138,20 @@ def _(spark, sf):
     return L.pattern_counts(line_grid(spark, sf), RATERS)
 
 
-@query("rater_pairs", with_ctes({"seen": """SELECT rater_a, rater_b, COUNT(DISTINCT unit_id) AS n_units FROM fx_pairs
-  WHERE rater_a IN ('L1', 'L2', 'L3', 'L4', 'L5') AND rater_b IN ('L1', 'L2', 'L3', 'L4', 'L5') GROUP BY rater_a, rater_b"""},
-    """SELECT CAST(ROW_NUMBER() OVER (ORDER BY CASE WHEN rater_a = 'L1' AND rater_b = 'L2' THEN 0 ELSE 1 END,
-  rater_a, rater_b) AS INT) AS pair_ord, rater_a, rater_b, n_units FROM seen"""))
+@query("rater_pairs", with_ctes({"seen": """SELECT rater_a, rater_b, variable, COUNT(DISTINCT unit_id) AS n_units FROM fx_pairs
+  WHERE rater_a IN ('L1', 'L2', 'L3', 'L4', 'L5') AND rater_b IN ('L1', 'L2', 'L3', 'L4', 'L5')
+  GROUP BY rater_a, rater_b, variable"""},
+    """SELECT CAST(DENSE_RANK() OVER (ORDER BY CASE WHEN rater_a = 'L1' AND rater_b = 'L2' THEN 0 ELSE 1 END,
+  rater_a, rater_b) AS INT) AS pair_ord, rater_a, rater_b, variable, n_units FROM seen"""))
 def _(spark, sf):
     """Human pair, human with model, model pairs, with the units each pair shares."""
     pairs = L.study_pairs(HUMANS, MODELS)
     patterns = L.pattern_counts(line_grid(spark, sf, STUDY), STUDY)
     order = reduce(lambda c, p: c.when((F.col("rater_a") == p[1][0]) & (F.col("rater_b") == p[1][1]), p[0]),
                    enumerate(pairs, 1), F)
-    shared = L.paired_scores(patterns.where("variable = 'V1'"), pairs, keep=["n"])
-    return shared.groupBy("rater_a", "rater_b").agg(F.sum("n").alias("n_units")).select(
-        order.alias("pair_ord"), "rater_a", "rater_b", "n_units")
+    shared = L.paired_scores(patterns, pairs, keep=["variable", "n"])
+    return shared.groupBy("rater_a", "rater_b", "variable").agg(F.sum("n").alias("n_units")).select(
+        order.alias("pair_ord"), "rater_a", "rater_b", "variable", "n_units")
 
 
 @query("paired_scores", with_ctes({}, "SELECT unit_id, variable, rater_a, rater_b, a, b FROM fx_pairs"))

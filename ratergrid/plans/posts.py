@@ -69,17 +69,20 @@ def _(spark, sf):
                                    to_long_or_zero(F.col("viewCount")).alias("view_count"))
 
 
-@query("safe_cast_timestamp", with_ctes({}, """SELECT id,
-  STRFTIME(TRY_CAST(date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') AS date_text,
-  TRY_CAST(viewCount AS TIMESTAMP) IS NULL AS junk_is_null FROM fx_posts WHERE viewCount = 'n/a' OR viewCount IS NULL
-  UNION ALL SELECT id, STRFTIME(TRY_CAST(date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f'), FALSE FROM fx_posts
-  WHERE viewCount <> 'n/a'"""))
+_MESSY = {"messy": """SELECT id, CASE id % 11 WHEN 0 THEN 'n/a' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN '2024-13-45 01:02:03'
+  WHEN 4 THEN CONCAT('about ', date) WHEN 5 THEN SUBSTR(date, 1, 10) WHEN 6 THEN '2024-02-30' ELSE date END AS text FROM fx_posts"""}
+
+
+@query("safe_cast_timestamp", with_ctes(_MESSY, """SELECT id, text, STRFTIME(TRY_CAST(text AS TIMESTAMP),
+  '%Y-%m-%d %H:%M:%S.%f') AS date_text FROM messy"""))
 def _(spark, sf):
-    junk = F.when(F.col("viewCount") == "n/a", F.col("viewCount"))
-    known = F.col("viewCount").isNotNull() & (F.col("viewCount") != "n/a")
-    return posts(spark, sf).select(
-        "id", F.date_format(to_timestamp_or_null(F.col("date")), STAMP).alias("date_text"),
-        (~known & to_timestamp_or_null(junk).isNull()).alias("junk_is_null"))
+    """Words, blanks, dates that do not exist and dates without a time among the stamps."""
+    kind = F.col("id") % 11
+    text = (F.when(kind == 0, "n/a").when(kind == 1, "").when(kind == 2, None).when(kind == 3, "2024-13-45 01:02:03")
+            .when(kind == 4, F.concat(F.lit("about "), "date")).when(kind == 5, F.substring("date", 1, 10))
+            .when(kind == 6, "2024-02-30").otherwise(F.col("date")))
+    messy = posts(spark, sf).select("id", text.alias("text"))
+    return messy.select("id", "text", F.date_format(to_timestamp_or_null(F.col("text")), STAMP).alias("date_text"))
 
 
 def _pool(spark, sf):

@@ -12,6 +12,7 @@ from ratergrid.plans.fixtures import (DOC_RATERS, RATERS, condition_annotations,
                                       doc_patterns, line_grid, line_ratings, posts, table)
 from ratergrid.plans.registry import query, r6, with_ctes
 from ratergrid.schemas import SCORE_COLS
+from ratergrid.session import stored
 
 FIRST, SECOND = "neutral", "extreme_rep"
 
@@ -54,9 +55,29 @@ def _(spark, sf):
     return R.describe_numeric(table(spark, sf, "lineitem"), "l_extendedprice")
 
 
-@query("describe_numeric_approx")
+@query("describe_stamps", _describe_sql("((epoch_us(ts) // 1000 - 1704067200000) / 1000.0)", "events"))
 def _(spark, sf):
-    return R.describe_numeric(posts(spark, sf), "likeCount", approx=True)
+    """Stamps of a month to the millisecond: very many distinct values within a narrow range."""
+    since = F.unix_millis(F.col("ts").cast("timestamp")) - 1704067200000
+    stamps = table(spark, sf, "events").select((since / 1000.0).alias("seconds"))
+    return R.describe_numeric(stamps, "seconds")
+
+
+@query("describe_numeric_approx", with_ctes({}, """SELECT COUNT(likeCount) AS count, MIN(likeCount) + 0.0e0 AS min,
+  MAX(likeCount) + 0.0e0 AS max, TRUE AS q25_close, TRUE AS q50_close, TRUE AS q75_close FROM fx_posts"""))
+def _(spark, sf):
+    """The sketched quartiles lie within their rank error: that much is exact."""
+    df = posts(spark, sf).select("likeCount")
+    sketch = R.describe_numeric(df, "likeCount", approx=True, accuracy=1000)
+    x, total = F.col("likeCount"), F.count("likeCount")
+    near = sketch.select(F.struct(*R.QUARTILES).alias("q")).scalar()
+    ranks = df.agg(total.alias("n"), *[F.count_if(x < near[q]).alias(f"{q}_below") for q in R.QUARTILES],
+                   *[F.count_if(x <= near[q]).alias(f"{q}_upto") for q in R.QUARTILES])
+    ok = [((F.col(f"{q}_below") <= p * F.col("n") + F.col("n") / 1000 + 1)
+           & (F.col(f"{q}_upto") >= p * F.col("n") - F.col("n") / 1000 - 1)).alias(f"{q}_close")
+          for q, p in R.QUARTILES.items()]
+    close = ranks.select(F.struct(*ok).alias("ok")).scalar()
+    return sketch.select("count", "min", "max", *[close[f"{q}_close"].alias(f"{q}_close") for q in R.QUARTILES])
 
 
 @query("date_extent", with_ctes({}, "SELECT MIN(date) AS first, MAX(date) AS last FROM fx_posts"))
@@ -67,10 +88,7 @@ def _(spark, sf):
 @query("all_match", with_ctes({}, """SELECT BOOL_AND(COALESCE(lang = 'en', FALSE)) AS all_english,
   BOOL_AND(likeCount >= 0) AS all_counted FROM fx_posts"""))
 def _(spark, sf):
-    df = posts(spark, sf)
-    english = R.all_match(df, F.col("lang") == "en", "all_english")
-    counted = R.all_match(df, F.col("likeCount") >= 0, "all_counted").scalar()
-    return english.select("all_english", counted.alias("all_counted"))
+    return R.all_match(posts(spark, sf), all_english=F.col("lang") == "en", all_counted=F.col("likeCount") >= 0)
 
 
 @query("model_coverage", with_ctes({}, """SELECT rater, COUNT(*) AS n_rows, (SELECT COUNT(DISTINCT rater) FROM fx_ratings_raw)
@@ -153,7 +171,8 @@ def _(spark, sf):
     """SELECT unit_id, CONCAT(CASE WHEN mean_score > mx THEN 'high score' ELSE 'low score' END, ' / ',
   CASE WHEN spread > my THEN 'high spread' ELSE 'low spread' END) AS quadrant FROM spread CROSS JOIN med"""))
 def _(spark, sf):
-    return D.spread_quadrant(D.spread_map(_totals(spark, sf))).select("unit_id", "quadrant")
+    spread = stored(D.spread_map(_totals(spark, sf)), "spread")  # read by the medians and by the labels
+    return D.spread_quadrant(spread).select("unit_id", "quadrant")
 
 
 _DIFF = {"diffs": f"""SELECT unit_id, SUM(CASE WHEN condition = '{SECOND}' THEN score ELSE -score END) AS diff

@@ -13,6 +13,9 @@ from ratergrid.plans.fixtures import FIXTURE_SQL
 
 REGISTRY: dict[str, Query] = {}
 
+# Fixtures that others name several times: worked out once.
+HEAVY = {"fx_latest", "fx_ratings", "fx_conditions", "full_units"}
+
 
 @dataclass(frozen=True)
 class Query:
@@ -65,7 +68,8 @@ def with_ctes(ctes: dict[str, str], select: str) -> str:
 
     for text in texts:
         require(text)
-    parts = [f"{name} AS ({body})" for name, body in {**needed, **ctes}.items()]
+    parts = [f"{name} AS {'MATERIALIZED ' if name in HEAVY else ''}({body})"
+             for name, body in {**needed, **ctes}.items()]
     return f"WITH {', '.join(parts)} {select}" if parts else select
 
 

@@ -326,3 +326,27 @@ def test_consistency_study_reports_invalid_rows(spark):
     out = consistency_study(h1, h2, h1.withColumn("llm_name_version", F.lit("m")), {})
     assert {(r["column"], r["n_invalid"]) for r in out["invalid_report"].collect()} == {("V1", 2)}
     assert out["invalid_rows"].count() == 2
+
+
+def test_p_value_does_not_jump_where_the_formula_changes(spark):
+    """Both formulas side by side at the switch, for t from near zero to far in the tail."""
+    import numpy as np
+    from ratergrid.functions.numeric import _t_tail_fraction, _t_tail_normal
+
+    df, t = np.full(60, 1e6), np.linspace(0.001, 8, 60)
+    exact, normal = _t_tail_fraction(df, df / (df + t ** 2)), _t_tail_normal(df, t)
+    assert np.abs(exact - normal).max() < 1e-8
+    assert np.allclose(exact, normal, rtol=1e-3, atol=1e-300)
+    around = spark.createDataFrame([(0.002, n) for n in (999_999, 1_000_001, 1_000_002, 1_000_003, 1_000_010)], "rho double, n long")
+    got = [r["p"] for r in A.with_p_value(around).orderBy("n").collect()]
+    assert all(a > b and a - b < 1e-5 for a, b in zip(got, got[1:]))
+
+
+def test_contingency_of_a_grid_equals_that_of_patterns(spark):
+    rng = random.Random(3)
+    raters = [f"r{i}" for i in range(6)]
+    grid = spark.createDataFrame([(i, "V1", *[rng.choice([None, 1, 2, 3]) for _ in raters]) for i in range(200)],
+                                 "unit_id long, variable string, " + ", ".join(f"{r} int" for r in raters))
+    pairs = L.rater_pairs(raters)
+    rows = lambda df: sorted(map(tuple, df.select("rater_a", "rater_b", "variable", "a", "b", "n").collect()))
+    assert rows(A.contingency_of_grid(grid, pairs)) == rows(A.contingency(L.pattern_counts(grid, raters), pairs))

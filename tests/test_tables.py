@@ -293,3 +293,19 @@ def test_annotation_log_any_order_and_new_checkpoint(spark, tmp_path):
         run_annotation_log(stream_files(spark, src, RAW_RESPONSE_SCHEMA), out, state, ["V1"])
     got = {r["unit_id"]: r["attempt"] for r in read_annotation_log(spark, out, ["V1"]).collect()}
     assert got == {"a": 2, "u0": 1, "u1": 1, "u2": 1}
+
+
+def test_quantiles_divide_a_hot_bin(spark):
+    """Two hundred thousand stamps of a month share few bins; the parts they are divided into are small."""
+    import numpy as np
+
+    values = 1704067200000 + np.random.default_rng(2).integers(0, 31 * 86400_000, 200_000)
+    df = spark.createDataFrame([(int(v),) for v in values], "x long")
+    got = R.exact_quantiles(df, "x").first()
+    assert [got[q] for q in ("q25", "q50", "q75")] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]).tolist())
+    _, fine = R._bins(df, "x")
+    assert fine.count() < 200
+    same = spark.createDataFrame([(7.5,)] * 50 + [(None,)], "x double")
+    assert tuple(R.describe_numeric(same, "x").first()) == (50, 7.5, 0.0, 7.5, 7.5, 7.5, 7.5, 7.5)
+    none = R.describe_numeric(same.limit(0), "x").first()
+    assert none["count"] == 0 and none["mean"] is None and none["q50"] is None
