@@ -20,20 +20,46 @@ from ratergrid.operators.agreement import agreement_breakdown, contingency
 from ratergrid.operators.hygiene import (annotation_id, as_scores, dedupe_latest, drop_legacy_rater,
                                          invalid_report, invalid_rows, missing_ids, validity_filter)
 from ratergrid.operators.profile import (pattern_score_counts, score_distribution,
-                                         score_proportions)
+                                         score_proportions, tier_composition)
 from ratergrid.schemas import REQUIRED_POST_COLS, SCORE_COLS, annotation_columns
 from ratergrid.session import stored
 from ratergrid.sources import (append_annotations, load_existing, min_rows_guard, refuse_repeats,
                                require_columns, sink_csv, sink_parquet_typed)
 
 
+def _pool(source: DataFrame, language: str, start: str, end: str, tiers: dict[str, float | None],
+          limit: tuple[int, str, str] | None) -> DataFrame:
+    if limit:
+        wanted = P.filter_date_range(P.filter_language(source, language), start, end)
+        source = Z.bounded_collect(wanted, *limit)
+    return P.ingest_posts(source, language, start, end).transform(
+        P.classify_engagement, "like_count", tiers)
+
+
+def sampling_report(source: DataFrame, sample: DataFrame, language: str, start: str, end: str, n: int,
+                    tiers: dict[str, float | None] = ENGAGEMENT_TIERS,
+                    proportions: dict[str, float] = ENGAGEMENT_PROPORTIONS,
+                    limit: tuple[int, str, str] | None = None) -> dict[str, DataFrame]:
+    """What a sampling run read, kept and skipped, and how pool and sample are made up."""
+    pool = stored(_pool(source, language, start, end, tiers, limit).select("engagement_level"), "tiers")
+    return {
+        "skip_counters": P.skip_counters(source, language, start, end),
+        "pool_composition": tier_composition(pool, tiers=list(tiers)),
+        "sample_composition": tier_composition(sample, tiers=list(tiers)),
+        "shortfall": Z.tier_shortfall(pool, "engagement_level", Z.tier_quota(n, proportions)),
+    }
+
+
 def sampling_run(source: DataFrame, out: str, language: str, start: str, end: str, n: int,
                  seed: int, tiers: dict[str, float | None] = ENGAGEMENT_TIERS,
                  proportions: dict[str, float] = ENGAGEMENT_PROPORTIONS,
-                 sampled_at: Column | None = None) -> DataFrame:
-    """Filter, tier, sample and write a typed sample table; returns the table."""
-    pool = P.ingest_posts(source, language, start, end).transform(
-        P.classify_engagement, "like_count", tiers)
+                 sampled_at: Column | None = None, limit: tuple[int, str, str] | None = None) -> DataFrame:
+    """Filter, tier, sample and write a typed sample table; returns the table.
+
+    ``limit`` = (rows, group column, position column) stops the collection after so many accepted posts, in
+    the order of file and position, say.
+    """
+    pool = _pool(source, language, start, end, tiers, limit)
     min_rows_guard(pool, n)
     sample = Z.stratified_sample(pool, "engagement_level", Z.tier_quota(n, proportions), "tweet_id",
                                  seed)
@@ -188,42 +214,59 @@ def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
     return out
 
 
-def _variant_patterns(annotations: DataFrame, key: str, variants: list[str], id_col: str,
-                      order_cols: list[str]) -> DataFrame:
+def _variant_core(annotations: DataFrame, key: str, variants: list[str], id_col: str,
+                  order_cols: list[str]) -> DataFrame:
+    """Scores of the posts that all variants rated, side by side, written once."""
     rows = _as_raters(annotations, F.col(key), id_col, order_cols)
-    grid = (L.latest_score_grid(rows, variants, order_cols) if order_cols
-            else L.score_grid_wide(rows, variants))
-    grid = L.common_core(grid, variants)
-    return stored(L.pattern_counts(grid, variants), "patterns")
+    if order_cols:
+        grid = L.latest_score_grid(rows, variants, order_cols)
+    else:
+        grid = L.score_grid_wide(refuse_repeats(rows, ["unit_id", "rater"], key), variants)
+    return stored(L.common_core(grid, variants), "core")
 
 
 def stability_study(annotations: DataFrame, variants: tuple[str, str] = ("A", "B"),
                     key: str = "prompt_variant", id_col: str = "tweet_id",
                     order_cols: list[str] = ()) -> dict[str, DataFrame]:
-    """Two prompt variants compared on the posts both scored."""
-    patterns = _variant_patterns(annotations, key, list(variants), id_col, list(order_cols))
+    """Two prompt variants compared on the posts both scored. Rows that repeat a (post, variant) need an order."""
+    core = _variant_core(annotations, key, list(variants), id_col, list(order_cols))
+    patterns = stored(L.pattern_counts(core, list(variants)), "patterns")
     counts = pattern_score_counts(patterns, list(variants))
+    diff = D.total_differences(D.unit_totals(L.grid_to_ratings(core, list(variants))), *variants)
     columns = {v: f"prompt_{v.lower()}" for v in variants}
     return {
         "stability_summary": R.stability_table(patterns, *variants),
         "score_distributions": score_proportions(counts, columns),
         "rho_vs_exact": R.rho_vs_exact(patterns, *variants),
+        "agreement_breakdown": agreement_breakdown(contingency(patterns, [variants])),
+        "divergence_hist": D.score_divergence_hist(diff),
+        "divergence_stats": D.score_divergence_stats(diff),
     }
 
 
 def framing_study(annotations: DataFrame, baseline: str, conditions: list[str],
                   key: str = "framing_condition", id_col: str = "tweet_id",
-                  order_cols: list[str] = ()) -> dict[str, DataFrame]:
+                  order_cols: list[str] = (), cases: list[str] = ()) -> dict[str, DataFrame]:
     """Framing conditions compared with the baseline on the posts scored under all of them."""
-    patterns = _variant_patterns(annotations, key, [baseline, *conditions], id_col,
-                                 list(order_cols))
+    every = [baseline, *conditions]
+    core = _variant_core(annotations, key, every, id_col, list(order_cols))
+    patterns = stored(L.pattern_counts(core, every), "patterns")
     metrics = R.framing_metrics(patterns, baseline, conditions)
-    return {
+    spread = stored(D.spread_map(D.unit_totals(L.grid_to_ratings(core, every))), "spread")
+    joint = contingency(patterns, [(c, baseline) for c in conditions])
+    drifts = D.drift_values(joint, ["rater_a", "variable"]).withColumnRenamed("rater_a", "condition")
+    out = {
         "framing_drift_summary": R.framing_drift_summary(metrics),
         "framing_rho_summary": R.framing_rho_summary(metrics),
         "framing_alpha_summary": R.framing_alpha_summary(metrics),
         "abs_drift_vs_rho": R.abs_drift_vs_rho(metrics),
+        "drift_quantiles": D.drift_quantiles(drifts, ["condition", "variable"]),
+        "spread": D.spread_quadrant(spread),
+        "spread_medians": D.spread_medians(spread),
     }
+    if cases:
+        out["cases"] = core.where(F.col("unit_id").isin([str(c) for c in cases]))
+    return out
 
 
 def write_reports(tables: dict[str, DataFrame], out: str) -> None:

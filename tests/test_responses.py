@@ -166,6 +166,9 @@ def test_annotation_run_resumes(spark, tmp_path):
     assert {r["total_score"] for r in after.collect()} == {sum(r[v] for v in SCORE_COLS) for r in after.collect()}
     study = stability_study(after)
     assert study["stability_summary"].count() == 8
+    assert study["agreement_breakdown"].count() == 8 and study["divergence_stats"].first()["n"] == 13
+    with pytest.raises(ValueError, match="repeat"):
+        stability_study(after.unionByName(after.limit(1)))
     shares = study["score_distributions"].groupBy("variable").agg(F.sum("prompt_a").alias("a")).collect()
     assert all(r["a"] == pytest.approx(1.0) for r in shares)
 
@@ -214,3 +217,6 @@ def test_framing_run(spark, tmp_path):
     assert drift["plain"]["mean_drift"] == 0.0 and drift["strict"]["V1"] != 0.0
     rho = {r["condition"]: r for r in out["framing_rho_summary"].collect()}
     assert rho["plain"]["mean_rho"] == 1.0
+    assert out["spread"].count() == 20 and out["drift_quantiles"].count() == 16
+    same = {r["variable"]: r["direction"] for r in out["drift_quantiles"].where("condition = 'plain'").collect()}
+    assert len(same) == 8 and len(set(same.values())) == 1

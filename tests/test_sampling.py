@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ratergrid.operators import sampling as Z
 from ratergrid.operators.posts import classify_engagement
 from ratergrid.operators.profile import tier_composition
-from ratergrid.plans.studies import sampling_run
+from ratergrid.plans.studies import sampling_report, sampling_run
 from ratergrid.schemas import POSTS_SCHEMA, SAMPLE_COLUMNS
 
 
@@ -106,6 +106,40 @@ def test_sampling_run(spark, tmp_path):
     assert all(r["language"] == "en" and r["date"].day < 31 for r in got)  # times on the last day are later
     assert {r["view_count"] for r in got} == {0, 12} and {r["retweet_count"] for r in got} == {0}
     assert {r["post_type"] for r in got} <= {"retweet", "tweet"}
+    source = spark.createDataFrame(rows, POSTS_SCHEMA)
+    report = sampling_report(source, out, "en", "2024-08-01", "2024-08-31", 100)
+    seen = report["skip_counters"].first()
+    assert seen["processed"] == 2000 and seen["kept"] + seen["skipped_language"] + seen["skipped_date"] == 2000
+    assert sum(r["n"] for r in report["pool_composition"].collect()) == seen["kept"]
+    assert {r["engagement_level"]: r["n"] for r in report["sample_composition"].collect()} == {"low": 50, "medium": 30, "high": 20}
+    assert {r["shortfall"] for r in report["shortfall"].collect()} == {0}
+    few = sampling_report(source, out, "en", "2024-08-01", "2024-08-31", 100, limit=(400, "date", "id"))
+    assert sum(r["n"] for r in few["pool_composition"].collect()) == 400
     with pytest.raises(ValueError, match="need 5000"):
         sampling_run(spark.createDataFrame(rows, POSTS_SCHEMA), str(tmp_path / "x"), "en", "2024-08-01",
                      "2024-08-31", 5000, 45)
+
+
+def test_rows_without_ids_are_sampled(spark):
+    df = spark.createDataFrame([(None if i % 2 else i, i) for i in range(1000)], "id long, k long")
+    for n, ties in ((100, []), (700, []), (100, ["k"]), (1000, ["k"]), (5000, [])):
+        got = Z.simple_random_sample(df, n, "id", 45, ties)
+        assert got.count() == min(n, 1000)
+    got = Z.simple_random_sample(df, 400, "id", 45, ["k"])
+    assert 120 < got.where("id IS NULL").count() < 280
+    with pytest.raises(ValueError, match="strata"):
+        Z.stratified_sample(df, "k", {str(i): 1 for i in range(Z.MAX_GROUPS + 1)}, "id", 1)
+
+
+def test_limit_over_missing_and_repeated_positions(spark):
+    rows = [(None if i % 3 == 0 else f"g{i % 5}", None if i % 4 == 0 else i // 10, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, p long, k long")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0))
+    for n in (0, 1, 10, 60, 130, 200, 499, 500, 900):
+        got = Z.bounded_collect(df, n, "g", "p", width=4)
+        want = order[:n]
+        assert got.count() == len(want)
+        if want:
+            last = want[-1][:2]
+            sure = {r[2] for r in want if r[:2] != last}
+            assert sure <= {r["k"] for r in got.collect()} <= sure | {r[2] for r in rows if r[:2] == last}
