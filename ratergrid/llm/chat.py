@@ -152,7 +152,7 @@ def prefix_tree(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
         "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)))
     trained = F.col("role") == TRAINED
-    text = F.length(F.regexp_extract("segment", r"(?s)^### (?:[^\\:]|\\.)*: ", 0))
+    text = F.length(F.regexp_replace("role", r"[\\#<:]", "xx")) + len(OPEN + MID)
     nodes = laid.join(F.broadcast(before.select("_part", "_before")), "_part").select(
         "node_id", "parent_id", "role", "segment", text.alias("text_start"),
         (F.length("segment") - len(CLOSE)).alias("text_end"), trained.alias("trained"), "ids", "n_tokens",
@@ -212,3 +212,14 @@ def read_back(nodes: DataFrame, turns: DataFrame) -> DataFrame:
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "place")
     return ordered.mapInArrow(_read_back, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
                                           "loss_sha256 string, formatted_chars long")
+
+
+_ESCAPED = r"length(regexp_replace({}, '([\\#<{}])', 'xx', 'g'))"
+CHAT_SQL = rf"""WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM (
+  SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '{{hostile}}' UNION ALL
+  SELECT -7, 1, 'assistant', '{{hostile}}') q)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(STRING_AGG(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+  AS turns_sha256, CAST(COALESCE(SUM(length(text)) FILTER (role = '{TRAINED}'), 0) AS BIGINT) AS loss_chars,
+  sha256(COALESCE(STRING_AGG(text, '' ORDER BY turn, role, text) FILTER (role = '{TRAINED}'), '')) AS loss_sha256,
+  CAST(SUM({len(OPEN + MID + CLOSE)} + {_ESCAPED.format('role', ':')} + {_ESCAPED.format('text', '')}) AS BIGINT)
+  AS formatted_chars FROM c GROUP BY conv_id"""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratergrid.llm.chat import prefix_tree, read_back
+from ratergrid.llm.chat import CHAT_SQL, prefix_tree, read_back
 from ratergrid.llm.common import table
 from ratergrid.llm.decontamination import contamination
 from ratergrid.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from ratergrid.llm.html_text import extract_text
 from ratergrid.llm.licenses import LICENSES_SQL, scan_licenses
-from ratergrid.llm.near_dedup import near_dedup
+from ratergrid.llm.near_dedup import NEAR_DEDUP_SQL, near_dedup
 from ratergrid.llm.packing import pack_documents
 from ratergrid.llm.quality import fit_quality, quality_scores
 from ratergrid.llm.secrets_scan import SECRETS_SQL, secret_report
@@ -27,7 +27,7 @@ def op2_toxicity_fm(spark, sf_dir):
 
 
 def op3_circulant_minhash(spark, sf_dir):
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).drop("set_digest")
 
 
 def op4_exact_dedup(spark, sf_dir):
@@ -82,6 +82,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_secret_ownership": SECRETS_SQL,
+    "op3_circulant_minhash": NEAR_DEDUP_SQL,
     "op4_exact_dedup": EXACT_DEDUP_SQL,
+    "op9_chat_prefix_tree": CHAT_SQL.format(hostile=HOSTILE),
     "op10_license_digests": LICENSES_SQL,
 }

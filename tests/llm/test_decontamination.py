@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from ratergrid.llm.common import drop_rows
-from ratergrid.llm.decontamination import Words, contamination, windows
+from ratergrid.llm.common import WordCache, drop_rows
+from ratergrid.llm.decontamination import contamination, windows, word_code
 
 WORDS = "river stone cloud ember field glass harbor lantern meadow orchard pebble quarry saddle timber valley".split()
 
@@ -67,6 +67,6 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_windows_of_short_texts():
-    w = Words()
+    w = WordCache(word_code)
     assert [len(windows(t, w)[0]) for t in ("", "...", "one", "one two three four", "a b c d e f")] == [0, 0, 1, 1, 2]
     assert windows("one two", w)[0][0] != windows("one two three", w)[0][0]
