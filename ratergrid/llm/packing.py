@@ -125,13 +125,18 @@ def _cut_and_fill(batches: Iterator[pa.RecordBatch], ranks_file: str | None, cap
 
 
 def _refill(batches: Iterator[pa.RecordBatch], first: int, last: bool, capacity: int) -> Iterator[pa.RecordBatch]:
-    bins = Bins(TaskContext.get().partitionId(), first, capacity)
+    """Pieces of open bins, with the group of workers that meet as last column; a group is a worker from now on."""
+    groups: dict[int, Bins] = {}
     for batch in batches:
         schema = _schema(batch.schema.field(0).type)
-        for piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            bins.add(piece)
-        yield bins.batch(schema)
-    if bins.open:
+        *pieces, met = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, batch.num_columns - 1))
+        for group, *piece in zip(met, *pieces):
+            if group not in groups:
+                groups[group] = Bins(group, first, capacity)
+            groups[group].add(tuple(piece))
+        for bins in groups.values():
+            yield bins.batch(schema)
+    for bins in groups.values():
         bins.finish() if last else bins.leave()
         yield bins.batch(schema)
 
@@ -160,7 +165,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         last = groups == 1
         refill = functools.partial(_refill, first=first, last=last, capacity=capacity)
-        level = stored(opened.repartition(groups, "_met").drop("_met").mapInArrow(refill, schema), "pieces")
+        level = stored(opened.repartition(groups, "_met").mapInArrow(refill, schema), "pieces")
         done.append(level.where("closed"))
     out = done[0]
     for more in done[1:]:
