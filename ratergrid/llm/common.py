@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,6 +12,27 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 
 
+class WordCache(dict):
+    """What ``make`` says of a word, kept for two generations of ``size`` words, so memory is bounded.
+
+    When a generation is full it becomes the older one, from which words still in use come back.
+    """
+
+    def __init__(self, make: Callable, size: int = 300_000):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

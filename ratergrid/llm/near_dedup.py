@@ -12,17 +12,17 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratergrid.llm.common import quoted, text_hash, whole_text
+from ratergrid.llm.common import id_text, quoted, text_hash, whole_text
 from ratergrid.llm.components import compose, connect
-from ratergrid.llm.shingles import Circulant, WordHashes, mix64, shingle_set, words_of
+from ratergrid.llm.shingles import Circulant, mix64, shingle_set, word_hashes, words_of
 from ratergrid.session import stored
 
 #: 32 bands of 4 coordinates miss a pair of similarity 0.75 with probability 5e-6.
@@ -30,8 +30,8 @@ BANDS, ROWS = 32, 4
 #: One bit of each of 256 coordinates. At similarity 0.75 224 agree on average; fewer than 195 have odds of 3e-8.
 LEAST_AGREEING = 195
 BLOCK = 256
-#: Up to so many node ids (8 bytes each) are broadcast to pick the nodes whose words are read; more are joined.
-BROADCAST_IDS = 2_000_000
+#: Up to so many text hashes (8 bytes each) are broadcast to pick the texts that are compared; more are joined.
+BROADCAST_HASHES = 2_000_000
 SIMILARITY = (75, 100)
 _SKETCH = ["_s0", "_s1", "_s2", "_s3"]
 _CIRCULANT = Circulant()
@@ -51,14 +51,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = word_hashes().__getitem__
     for batch in batches:
-        sizes, digests, sketches, keys, words = [], [], [], [], []
+        sizes, digests, sketches, keys = [], [], [], []
         for text in batch.column(3):
-            found = np.array([hashes[w] for w in words_of(text.as_py())], np.uint32)
+            found = np.fromiter(map(hashes, words_of(text.as_py())), np.uint32)
             grams = shingle_set(found)
             sizes.append(len(grams))
-            words.append(found.tobytes())
             if not len(grams):
                 digests.append(None)
                 sketches.append(np.zeros(4, np.int64))
@@ -73,18 +72,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.array(sketches, np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-             *(pa.array(sketch[:, i]) for i in range(4)), bands, pa.array(words, pa.binary())],
-            names=["doc_id", "_row", "text_hash", "n_shingles", "_set", *_SKETCH, "_bands", "_words"])
+             *(pa.array(sketch[:, i]) for i in range(4)), bands],
+            names=["doc_id", "_row", "text_hash", "n_shingles", "_set", *_SKETCH, "_bands"])
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sets, sketches, band keys and word hashes of all rows, written once."""
+    """Set sizes and digests, sketches and band keys of all rows, written once."""
     source = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.monotonically_increasing_id().alias("_row"),
                          text_hash(text_col).alias("text_hash"), whole_text(text_col).alias("_text"))
     kind = source.schema[0].dataType.simpleString()
     return stored(source.mapInArrow(
         _signed, f"doc_id {kind}, _row long, text_hash long, n_shingles long, _set binary, _s0 long, _s1 long, _s2 long, "
-                 "_s3 long, _bands array<long>, _words binary"), "signed")
+                 "_s3 long, _bands array<long>"), "signed")
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -100,11 +99,37 @@ def _with(pairs: DataFrame, nodes: DataFrame, side: str, columns: list[str]) ->
     return pairs.join(nodes.select(F.col("_node").alias(side), *[F.col(c).alias(side + c) for c in columns]), side)
 
 
-def _words_of(words: DataFrame, ids: DataFrame) -> DataFrame:
-    """Words of the nodes in ``ids`` (_node) only, written once, so that nothing else of the corpus is shuffled."""
-    ids = stored(ids.distinct(), "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return stored(words.join(F.broadcast(ids) if few else ids, "_node", "left_semi"), "words")
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = word_hashes().__getitem__
+    for batch in batches:
+        words = [np.fromiter(map(hashes, words_of(t.as_py())), np.uint32).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["_node", "_words"])
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """The documents, and what was written about their rows."""
+
+    docs: DataFrame
+    id_col: str
+    text_col: str
+    rows: DataFrame
+
+    def words_of(self, ids: DataFrame) -> DataFrame:
+        """Word hashes (_node, _words) of the nodes in ``ids`` only, from their texts, written once.
+
+        Texts are found again by id and hash. Few hashes are broadcast, so that only texts that are compared move.
+        """
+        wanted = self.rows.select(F.col("_row").alias("_node"), id_text(F.col("doc_id")).alias("_id"),
+                                  F.col("text_hash").alias("_hash")).join(ids.distinct(), "_node", "left_semi")
+        wanted = stored(wanted, "wanted")
+        texts = self.docs.select(id_text(F.col(quoted(self.id_col))).alias("_id"),
+                                 text_hash(self.text_col).alias("_hash"), whole_text(self.text_col).alias("_text"))
+        if wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+            texts = texts.join(F.broadcast(wanted.select("_hash").distinct()), "_hash", "left_semi")
+        found = texts.join(wanted, ["_id", "_hash"]).select("_node", "_text").mapInArrow(
+            _hashed, "_node long, _words binary")
+        return stored(found.groupBy("_node").agg(F.first("_words").alias("_words")), "words")  # rows may repeat
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +182,12 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"_a": pa.array([a for a, _ in found], pa.int64()), "_b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _star_links(members: DataFrame, nodes: DataFrame, words: DataFrame) -> DataFrame:
+def _star_links(members: DataFrame, nodes: DataFrame, corpus: Corpus) -> DataFrame:
     """Verified links of each node with the smallest node of each of its buckets."""
     pairs = members.where("_node != _first").select(F.col("_first").alias("_a"), F.col("_node").alias("_b")).distinct()
     near = _with(_with(stored(pairs, "pairs"), nodes, "_b", ["_n", *_SKETCH]), nodes, "_a", ["_n", *_SKETCH])
     near = stored(near.where(_may_link("_a", "_b")).select("_a", "_b"), "near")
-    own = _words_of(words, near.select(F.col("_a").alias("_node")).unionByName(near.select(F.col("_b").alias("_node"))))
+    own = corpus.words_of(near.select(F.explode(F.array("_a", "_b")).alias("_node")))
     full = _with(_with(near, own, "_b", ["_words"]), own, "_a", ["_words"])
     return full.select("_a", "_b", "_a_words", "_b_words").mapInArrow(_verify, "_a long, _b long")
 
@@ -213,23 +238,23 @@ def near_dedup_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _rows_and_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = signed(docs, id_col, text_col)
+    corpus = Corpus(docs, id_col, text_col, rows)
     filled = rows.where("n_shingles > 0")
     classes = stored(filled.groupBy("_set").agg(F.min("_row").alias("_node"), F.min("doc_id").alias("_least")),
                      "classes")
     picked = classes.select(F.col("_node").alias("_row"))
     nodes = stored(rows.join(picked, "_row", "left_semi").select(
         F.col("_row").alias("_node"), F.col("n_shingles").alias("_n"), *_SKETCH, "_bands"), "nodes")
-    words = rows.select(F.col("_row").alias("_node"), "_words")
 
     banded = nodes.select("_node", F.explode("_bands").alias("_key"))
     shared = stored(banded.groupBy("_key").agg(F.min("_node").alias("_first"), F.count("*").alias("_m")).where(
         "_m > 1").drop("_m"), "shared")
     members = stored(banded.join(shared, "_key"), "members")
 
-    maps = connect(stored(_star_links(members, nodes, words), "links"))
+    maps = connect(stored(_star_links(members, nodes, corpus), "links"))
     labels = compose(members.select("_node").distinct(), maps)
     blocks = stored(_left_over(members.select("_key", "_node"), stored(labels, "labels")), "blocks")
-    full = blocks.join(_words_of(words, blocks.select("_node")), "_node").select("_key", "_q", "_t", "_query", "_comp", "_words")
+    full = blocks.join(corpus.words_of(blocks.select("_node")), "_node").select("_key", "_q", "_t", "_query", "_comp", "_words")
     more = full.groupBy("_key", "_q", "_t").applyInArrow(_block_links, "_a long, _b long")
     maps += connect(stored(more, "links"))
 
@@ -241,3 +266,18 @@ def _rows_and_components(docs: DataFrame, id_col: str, text_col: str) -> DataFra
         *columns, F.lit(None).cast("long").alias("_comp"), F.col("doc_id").alias("component_id"))
     return filled.select(*columns).join(named, "_set").unionByName(alone).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NEAR_DEDUP_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''),
+  '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(
+  list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS MATERIALIZED (SELECT doc_id, len(s) AS n, UNNEST(s) AS g FROM s),
+links AS MATERIALIZED (SELECT a.doc_id AS p, b.doc_id AS q FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 75 * (a.n + b.n - COUNT(*))),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.q, r.other FROM reach r JOIN links l
+  ON l.p = r.doc_id),
+c AS (SELECT doc_id, MIN(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN c ON c.doc_id = s.doc_id"""

@@ -8,19 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import xxhash
 
+from ratergrid.llm.common import WordCache
+
 WIDTH = 5
-CACHE = 300_000
 _MIX = np.random.default_rng(3).integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHashes(dict):
-    """32-bit hash by word; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh32_intdigest(word)
-        return value
+def word_hashes() -> WordCache:
+    """32-bit hash by word."""
+    return WordCache(xxhash.xxh32_intdigest)
 
 
 def words_of(text: str) -> list[bytes]:
