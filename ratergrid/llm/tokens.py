@@ -5,27 +5,35 @@ from __future__ import annotations
 import array
 import base64
 import functools
-import re
 
-#: Two blanks in a row, in either of the two libraries' sense of a blank.
-_RUN = re.compile(r"[\s\x1c-\x1f\x85᠎​﻿]{2}")
-#: Cached segments; the cache is emptied when full, so its memory is bounded.
-CACHE = 200_000
+#: Segments that one generation of the cache holds; there are two, so its memory is bounded.
+CACHE = 300_000
 
 
 class Segments(dict):
-    """Ids of `` word`` as little-endian 32-bit bytes, by word."""
+    """Ids of `` word`` as little-endian 32-bit bytes, by word.
+
+    When a generation is full it becomes the older one, from which segments still in use come back. ``unsafe`` is
+    set when a word begins or ends with a blank, or is empty: two blanks then meet at the cut.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older, self.unsafe = encode, {}, False
 
     def __missing__(self, word: str) -> bytes:
-        ids = array.array("I", self.encode(" " + word)).tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            if not word or word[0].isspace() or word[-1].isspace():
+                self.unsafe = True
+                return b""
+            ids = array.array("I", self.encode(" " + word)).tobytes()
+            if len(word) > 64:
+                return ids
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -33,7 +41,7 @@ class Encoder:
     """``ids(text)``: the ids of a whole text as little-endian 32-bit bytes; special strings are plain text.
 
     The pattern that cuts a text into words always starts a new one at a single space with no blank next to
-    it, so the pieces between such spaces can be encoded one by one and looked up when they occur again.
+    it, so the segments between such spaces can be encoded one by one and looked up when they occur again.
     """
 
     def __init__(self, ranks_file: str, pattern: str):
@@ -45,14 +53,18 @@ class Encoder:
                                         special_tokens={}).encode_ordinary
         self.segments = Segments(self.encode)
 
+    def whole(self, text: str) -> bytes:
+        return array.array("I", self.encode(text)).tobytes()
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if _RUN.search(text):
-            return array.array("I", self.encode(text)).tobytes()
         first, *rest = text.split(" ")
-        head = array.array("I", self.encode(first)).tobytes()
-        return head + b"".join(map(self.segments.__getitem__, rest))
+        if not rest or first[-1:].isspace():
+            return self.whole(text)
+        self.segments.unsafe = False
+        found = b"".join(map(self.segments.__getitem__, rest))
+        return self.whole(text) if self.segments.unsafe else self.whole(first) + found
 
 
 @functools.cache
