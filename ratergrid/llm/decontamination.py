@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratergrid.llm.common import quoted, text_hash, whole_text
+from ratergrid.llm.common import WordCache, quoted, text_hash, whole_text
 from ratergrid.llm.shingles import mix64
 from ratergrid.session import stored
 
@@ -24,14 +24,13 @@ from ratergrid.session import stored
 WIDTH, PLAIN, COVERAGE = 5, 2, 0.75
 #: Bits of the filter that goes to the tasks: its size is fixed, whatever the size of the benchmark.
 FILTER_BITS = 27
-CACHE = 300_000
-_NUMBERS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
+_NUMBERS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
             "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
-            "million billion half third quarter dozen").split()
-_UNITS = ("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons "
+            "million billion half third quarter dozen".split())
+_UNITS = set("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons "
           "oz ounce ounces lb lbs pound pounds ml l liter liters litre litres gallon gallons s sec second seconds min "
           "minute minutes h hour hours day days week weeks month months year years cent cents dollar dollars euro "
-          "euros usd eur percent degree degrees mph kmh kph").split()
+          "euros usd eur percent degree degrees mph kmh kph".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?[%$€£]?")
 _FACE = re.compile(r"^[^\w$€£+-]+|[^\w%$€£]+$")
 _IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS = 1 << 32, 1 << 33, 1 << 34, 1 << 35
@@ -39,38 +38,32 @@ _HOLDERS = {name: xxhash.xxh64_intdigest(name) for name in ("<number>", "<unit>"
 _MIX = np.random.default_rng(9).integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Words(dict):
-    """Hash (32 bits) and kinds of a word; -1 for a word of punctuation only. Emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        face = _FACE.sub("", word)
-        low = face.lower()
-        if not face:
-            value = -1
-        else:
-            value = xxhash.xxh32_intdigest(low.encode("utf-8", "surrogatepass"))
-            if low in _NUMBERS or _NUMBER.fullmatch(face):
-                value |= _IS_NUMBER
-            elif face[0].isupper():
-                value |= _IS_CAPITAL
-            if low in _UNITS:
-                value |= _IS_UNIT
-            if word[-1] in ".!?:;|":
-                value |= _ENDS
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def windows(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_code(word: str) -> int:
+    """Hash (32 bits) and kinds of a word; -1 for a word of punctuation only."""
+    face = word if word.isalnum() else _FACE.sub("", word)
+    low = face.lower()
+    if not face:
+        return -1
+    value = xxhash.xxh32_intdigest(low.encode("utf-8", "surrogatepass"))
+    if low in _NUMBERS or not face[0].isalpha() and _NUMBER.fullmatch(face):
+        value |= _IS_NUMBER
+    elif face[0].isupper():
+        value |= _IS_CAPITAL
+    if low in _UNITS:
+        value |= _IS_UNIT
+    if word[-1] in ".!?:;|":
+        value |= _ENDS
+    return value
+
+
+def windows(text: str, words: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window hashes, the words' value hashes, and which of them stand in a placeholder.
 
     A capital counts as a name unless a sentence begins there, a unit only after a number. A window with fewer than
     ``PLAIN`` plain words keeps its values, so it only matches word for word. A text of fewer than ``WIDTH`` words
     is one window of its own length.
     """
-    code = np.array([words[w] for w in text.split()], np.int64)
+    code = np.fromiter(map(words.__getitem__, text.split()), np.int64)
     code = code[code >= 0]
     n = len(code)
     if not n:
@@ -97,7 +90,7 @@ def windows(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _rows(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
     """Windows of texts (id, row, text hash, text), those that the filter lets through if there is one."""
-    words, bits = Words(), None
+    words, bits = WordCache(word_code), None
     if marks is not None:
         places, sets = marks.value
         bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
