@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ratergrid.llm.common import fold, quoted, whole_text
+from ratergrid.llm.common import WordCache, fold, quoted, whole_text
 from ratergrid.llm.sample import labelled_texts
 
 BUCKETS, FACTORS = 1 << 20, 4
@@ -27,7 +27,6 @@ SAMPLE_ROWS, KEPT_TERMS = 8000, 2048
 #: Least chi-square of a kept term: below it, chance explains the difference.
 LEAST_CHI2 = 12.0
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-CACHE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,25 +36,18 @@ def word_terms(word: str) -> list[int]:
             ["=" + word, *("^" + word[:n] for n in range(3, min(8, len(word)) + 1))]]
 
 
-class Terms(dict):
-    """Buckets by word, those that ``kept`` has an index for; emptied when full."""
+class Terms:
+    """Distinct terms of texts: buckets, or the indexes that ``kept`` has for some of them."""
 
     def __init__(self, kept: dict[int, int] | None = None):
-        super().__init__()
-        self.kept = kept
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = word_terms(word)
-        if self.kept is not None:
-            found = [self.kept[t] for t in found if t in self.kept]
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found = tuple(found)
-        return found
+        def make(word: str) -> tuple[int, ...]:
+            return tuple(word_terms(word) if kept is None else (kept[t] for t in word_terms(word) if t in kept))
+
+        self.by_word = WordCache(make).__getitem__
 
     def of(self, text: str) -> list[int]:
         """The distinct terms of a whole text."""
-        return sorted({t for terms in map(self.__getitem__, set(_WORD.findall(text.lower()))) for t in terms})
+        return sorted({t for terms in map(self.by_word, set(_WORD.findall(text.lower()))) for t in terms})
 
 
 @dataclass(frozen=True)
@@ -85,20 +77,23 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, kept_terms: int = KEPT_TERMS
     bias = float(np.log((ones + 0.5) / (n - ones + 0.5))) if n else -30.0
     if not 0 < ones < n:
         return Machine({}, bias, np.zeros(0), np.zeros((0, factors)))
-    terms, where = np.unique(np.concatenate(bags), return_inverse=True)
-    rows = np.repeat(np.arange(n), [len(b) for b in bags])
-    seen = np.bincount(where, minlength=len(terms)).astype(float)
-    hits = np.bincount(where, weights=labels[rows], minlength=len(terms))
+    seen, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for bag, label in zip(bags, labels):  # a bag has each term once
+        seen[bag] += 1
+        hits[bag] += label
     share = ones / n
-    score = (hits - seen * share) ** 2 / (seen * share * (1 - share)) * (1 - seen / (n + 1))
-    score[seen < 3] = -1
-    best = np.sort(np.argsort(-score, kind="stable")[:kept_terms])
+    score = np.full(BUCKETS, -1.0)
+    used = np.flatnonzero(seen >= 3)
+    k = seen[used]
+    score[used] = (hits[used] - k * share) ** 2 / (k * share * (1 - share)) * (1 - k / (n + 1))
+    best = np.sort(used[np.argsort(-score[used], kind="stable")[:kept_terms]])
     best = best[score[best] > least]
-    place = np.full(len(terms), -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[best] = np.arange(len(best))
-    x = np.zeros((n, len(best)), np.float32)
-    used = place[where] >= 0
-    x[rows[used], place[where][used]] = 1
+    x = np.zeros((n, len(best)), np.uint8)
+    for row, bag in zip(x, bags):
+        at = place[bag]
+        row[at[at >= 0]] = 1
 
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(best), np.float32), rng.normal(0, 0.01, (len(best), factors)).astype(np.float32)
@@ -108,7 +103,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, kept_terms: int = KEPT_TERMS
     step = 0
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(n), max(1, n // 512)):
-            xp, yp = x[part], labels[part]
+            xp, yp = x[part].astype(np.float32), labels[part]
             xv = xp @ v
             out = b + xp @ w + 0.5 * ((xv ** 2).sum(1) - (xp @ (v ** 2)).sum(1))
             g = ((sigmoid(out) - yp) / len(part)).astype(np.float32)
@@ -120,7 +115,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, kept_terms: int = KEPT_TERMS
                 m[i] += 0.1 * (grad - m[i])
                 s[i] += 0.001 * (grad ** 2 - s[i])
                 p -= rate * (m[i] / (1 - 0.9 ** step)) / (np.sqrt(s[i] / (1 - 0.999 ** step)) + 1e-6)
-    return Machine({int(t): i for i, t in enumerate(terms[best])}, float(b), w, v)
+    return Machine({int(t): i for i, t in enumerate(best)}, float(b), w, v)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
