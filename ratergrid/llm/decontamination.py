@@ -56,68 +56,93 @@ def word_code(word: str) -> int:
     return value
 
 
-def windows(text: str, words: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes, the words' value hashes, and which of them stand in a placeholder.
+def _hashes(tokens: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of ``width`` words that begin at ``at``."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(width):
+        out += tokens[at + i] * _MIX[i]
+    return mix64(out + np.uint64(width))
+
+
+def windows(text: str, words: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """Word-for-word hashes of all windows, the words' hashes, which words may stand in a placeholder, and templates.
 
-    A capital counts as a name unless a sentence begins there, a unit only after a number. A window with fewer than
-    ``PLAIN`` plain words keeps its values, so it only matches word for word. A text of fewer than ``WIDTH`` words
-    is one window of its own length.
+    A template is (places, hashes, words in placeholders). There are two: in one a capital counts as a name unless a
+    sentence begins there, in the other each capital does, which does not depend on the words before. The second
+    has only windows that differ from the first. A unit counts only after a number. A window with fewer than ``PLAIN``
+    plain words has no template. A text of fewer than ``WIDTH`` words is one window of its own length.
     """
     code = np.fromiter(map(words.__getitem__, text.split()), np.int64)
     code = code[code >= 0]
     n = len(code)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), []
     value = (code & 0xFFFFFFFF).astype(np.uint64)
     number = code & _IS_NUMBER != 0
     begins = np.concatenate([[True], code[:-1] & _ENDS != 0])
     unit = (code & _IS_UNIT != 0) & np.concatenate([[False], number[:-1]])
-    name = (code & _IS_CAPITAL != 0) & ~begins & ~unit
-    held = number | unit | name
+    capital = (code & _IS_CAPITAL != 0) & ~unit
     plain = mix64(value)
-    token = np.where(number, np.uint64(_HOLDERS["<number>"]), np.where(
-        unit, np.uint64(_HOLDERS["<unit>"]), np.where(name, np.uint64(_HOLDERS["<name>"]), plain)))
     width = min(n, WIDTH)
-    count = n - width + 1
-    as_template, as_text, held_words = np.zeros(count, np.uint64), np.zeros(count, np.uint64), np.zeros(count, int)
-    for i in range(width):
-        as_template += token[i:i + count] * _MIX[i]
-        as_text += plain[i:i + count] * _MIX[i]
-        held_words += held[i:i + count]
-    template = width - held_words >= PLAIN
-    return mix64(np.where(template, as_template, as_text) + np.uint64(width)), value.astype(np.int64), held
+    before, templates = np.zeros(n - width + 1, np.int64), []
+    for name in (capital & ~begins, capital):
+        held = number | unit | name
+        total = np.concatenate([[0], np.cumsum(held)])
+        held_words = total[width:] - total[:-width]
+        at = np.flatnonzero((held_words > before) & (width - held_words >= PLAIN))
+        token = np.where(number, np.uint64(_HOLDERS["<number>"]), np.where(
+            unit, np.uint64(_HOLDERS["<unit>"]), np.where(name, np.uint64(_HOLDERS["<name>"]), plain)))
+        templates.append((at, _hashes(token, width, at), held))
+        before = held_words
+    return _hashes(plain, width, np.arange(n - width + 1)), value, held, templates
 
 
 def _rows(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
-    """Windows of texts (id, row, text hash, text), those that the filter lets through if there is one."""
-    words, bits = WordCache(word_code), None
+    """Windows of texts (id, row, text hash, text), those that the filter lets through if there is one.
+
+    With a filter, texts also have word-for-word windows of the lengths that short items have.
+    """
+    words, bits, widths = WordCache(word_code), None, []
     if marks is not None:
-        places, sets = marks.value
+        places, sets, widths = marks.value
         bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         bits[places] = sets
     for batch in batches:
         ids, rows, hashes, texts = (batch.column(i) for i in range(4))
-        owner, at, total, found, slots = [], [], [], [], []
+        owner, at, total, found, slots, exact, width = [], [], [], [], [], [], []
         for i, text in enumerate(texts):
-            keys, value, held = windows(text.as_py(), words)
-            if bits is None:
-                hit = np.arange(len(keys))
-            else:
-                low = keys & np.uint64((1 << FILTER_BITS) - 1)
-                hit = np.flatnonzero(bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
-            if len(hit):
-                owner.append(np.full(len(hit), i))
-                at.append(hit)
-                total.append(np.full(len(hit), len(keys)))
-                found.append(keys[hit].view(np.int64))
-                for h in hit.tolist():
-                    part = slice(h, h + WIDTH)
-                    slots.append(value[part][held[part]].tolist())
-        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+            keys, value, held, templates = windows(text.as_py(), words)
+            n, plain = len(value), mix64(value)
+            own = min(n, WIDTH)
+            forms = [(np.arange(len(keys)), keys, held, own, True)]
+            forms += [(places, keys_, held_, own, False) for places, keys_, held_ in templates]
+            for w in widths:
+                if w < own:
+                    all_places = np.arange(n - w + 1)
+                    forms.append((all_places, _hashes(plain, w, all_places), held, w, True))
+            for places, form_keys, form_held, w, verbatim in forms:
+                if bits is not None and len(places):
+                    low = form_keys & np.uint64((1 << FILTER_BITS) - 1)
+                    hit = np.flatnonzero(
+                        bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+                    places, form_keys = places[hit], form_keys[hit]
+                if not len(places):
+                    continue
+                owner.append(np.full(len(places), i))
+                at.append(places)
+                total.append(np.full(len(places), len(keys)))
+                found.append(form_keys.view(np.int64))
+                exact.append(np.full(len(places), verbatim))
+                width.append(np.full(len(places), w))
+                for h in places.tolist():
+                    part = slice(h, h + w)
+                    slots.append(value[part][form_held[part]].astype(np.int64).tolist())
+        join = lambda parts, kind=np.int64: np.concatenate([np.zeros(0, kind), *parts])
         owner = pa.array(join(owner), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [ids.take(owner), rows.take(owner), hashes.take(owner), pa.array(join(at)), pa.array(join(total)), pa.array(join(found)),
-             pa.array(slots, pa.list_(pa.int64()))], names=["_id", "_row", "_hash", "_at", "_total", "_key", "_slots"])
+             pa.array(slots, pa.list_(pa.int64())), pa.array(join(exact, bool)), pa.array(join(width))],
+            names=["_id", "_row", "_hash", "_at", "_total", "_key", "_slots", "_exact", "_width"])
 
 
 def _windows_of(df: DataFrame, id_col: str, text_col: str, marks=None) -> DataFrame:
@@ -125,18 +150,22 @@ def _windows_of(df: DataFrame, id_col: str, text_col: str, marks=None) -> DataFr
                        text_hash(text_col).alias("_hash"), whole_text(text_col).alias("_text"))
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(functools.partial(_rows, marks=marks),
-                             f"_id {kind}, _row long, _hash long, _at long, _total long, _key long, _slots array<long>")
+                             f"_id {kind}, _row long, _hash long, _at long, _total long, _key long, _slots array<long>, "
+                             "_exact boolean, _width long")
 
 
 def _filter_bits(spark: SparkSession, items: DataFrame):
-    """A bit for each window of the benchmark: at most 2^FILTER_BITS bits, however many windows there are.
+    """A bit for each window of the benchmark: at most 2^FILTER_BITS bits, however many windows there are; and the
+    lengths of its items that are shorter than a window.
 
     More windows than bits let more documents' windows through to the join; the result is the same.
     """
     low = F.col("_key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = items.select(F.shiftright(low, 6).alias("_w"), F.expr("shiftleft(1L, CAST(_key & 63 AS INT))").alias(
         "_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b")).toPandas()
-    return spark.sparkContext.broadcast((words["_w"].to_numpy(np.int64), words["_b"].to_numpy(np.int64).view(np.uint64)))
+    widths = sorted(r["_width"] for r in items.where(F.col("_width") < WIDTH).select("_width").distinct().collect())
+    return spark.sparkContext.broadcast(
+        (words["_w"].to_numpy(np.int64), words["_b"].to_numpy(np.int64).view(np.uint64), widths))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -144,19 +173,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per contaminated row of ``docs`` and benchmark item: doc_id, item_id, matched_windows, item_windows,
     coverage, verbatim (no value was changed), text_hash.
 
-    An item is found when at least ``coverage`` of its windows occur in the document with values that are renamed
-    consistently within each alignment. NULL, empty and blank texts on either side match nothing; an item of fewer
-    than five words matches only documents of just these words. Rows that repeat are reported again for each
+    An item is found when at least ``coverage`` of its windows occur in the document, word for word or with values that
+    are renamed consistently within each alignment. NULL, empty and blank texts on either side match nothing; an item
+    of fewer than five words is found wherever just these words stand, and with other values only where a document
+    has no more words. Rows that repeat are reported again for each
     row; NULL ids are reported as NULL. If either table is empty the result is. Other columns are not read.
     """
     spark = docs.sparkSession
     items = stored(_windows_of(benchmark, item_col, item_text_col), "items")
     found = stored(_windows_of(docs, id_col, text_col, _filter_bits(spark, items)), "found")
     known = items.select(F.col("_id").alias("item_id"), F.col("_row").alias("_item"), F.col("_at").alias("_item_at"),
-                        F.col("_total").alias("item_windows"), "_key", F.col("_slots").alias("_item_slots"))
-    met = found.join(known, "_key").where(F.size("_slots") == F.size("_item_slots"))
-    pairs = F.transform(F.arrays_zip("_item_slots", "_slots"), lambda z: F.struct(
-        z["_item_slots"].alias("a"), z["_slots"].alias("b")))
+                        F.col("_total").alias("item_windows"), "_key", F.col("_slots").alias("_item_slots"), "_exact")
+    met = found.drop("_exact").join(known, "_key").where(F.col("_exact") | (F.size("_slots") == F.size("_item_slots")))
+    # Word for word the values are the item's; which of them count as names may differ with the words before.
+    pairs = F.transform(F.arrays_zip("_item_slots", F.when(F.col("_exact"), F.col("_item_slots")).otherwise(
+        F.col("_slots")).alias("_slots")), lambda z: F.struct(z["_item_slots"].alias("a"), z["_slots"].alias("b")))
     doc = [F.first(c, True).alias(n) for c, n in (("_id", "doc_id"), ("_hash", "text_hash"))]
     item = [F.first(c, True).alias(c) for c in ("item_id", "item_windows")]
     lines = met.groupBy("_row", "_item", (F.col("_at") - F.col("_item_at")).alias("_line")).agg(

@@ -70,3 +70,12 @@ def test_windows_of_short_texts():
     w = WordCache(word_code)
     assert [len(windows(t, w)[0]) for t in ("", "...", "one", "one two three four", "a b c d e f")] == [0, 0, 1, 1, 2]
     assert windows("one two", w)[0][0] != windows("one two three", w)[0][0]
+
+
+def test_names_that_open_sentences_and_short_items(spark):
+    apples = "Tom has 3 apples. Tom buys 4 more apples. Tom gives 2 apples to Jane. How many apples does Tom have?"
+    france, two = "What is the capital of France?", "Who wrote Hamlet?"
+    docs = [(1, "Quiz.\n" + apples.replace("Tom", "Mia")), (2, f"Quiz night\n{france}"), (3, f"Quiz night\n{france} Paris, of course."),
+            (4, f"Here we ask. {two} Nobody knows."), (5, two), (6, "Who wrote Macbeth, and who wrote that it was Hamlet?")]
+    got = found(spark, docs, [(1, apples), (2, france), (3, two)])
+    assert got == {(1, 1): (1.0, False), (2, 2): (1.0, True), (3, 2): (1.0, True), (4, 3): (1.0, True), (5, 3): (1.0, True)}
