@@ -191,13 +191,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     doc = [F.first(c, True).alias(n) for c, n in (("_id", "doc_id"), ("_hash", "text_hash"))]
     item = [F.first(c, True).alias(c) for c in ("item_id", "item_windows")]
     lines = met.groupBy("_row", "_item", (F.col("_at") - F.col("_item_at")).alias("_line")).agg(
-        *doc, *item, F.collect_set("_item_at").alias("_places"),
+        *doc, *item, F.collect_set(F.struct(F.col("_item_at").alias("place"), pairs.alias("names"))).alias("_places"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_names"))
     distinct = lambda field: F.size(F.array_distinct(F.transform("_names", lambda z: z[field])))
     same = (distinct("a") == F.size("_names")) & (distinct("b") == F.size("_names"))
-    places = lines.where(same).select(
+    torn = F.filter("_names", lambda p: (p["a"] != p["b"]) & (F.size(F.filter(
+        "_names", lambda q: (q["a"] == p["a"]) | (q["b"] == p["b"]))) > 1))
+    lines = lines.withColumn("_torn", F.when(~same, torn)).withColumn("_places", F.when(same, F.col("_places")).otherwise(
+        F.filter("_places", lambda z: ~F.arrays_overlap(z["names"], F.col("_torn")))))
+    places = lines.select(
         "_row", "_item", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "item_id", "item_windows",
-        F.explode("_places").alias("_place"), F.forall("_names", lambda z: z["a"] == z["b"]).alias("_verbatim"))
+        F.explode("_places").alias("_one")).withColumns({
+            "_place": F.col("_one.place"), "_verbatim": F.forall("_one.names", lambda z: z["a"] == z["b"])})
     each = places.groupBy("_row", "_item", "_place").agg(*doc, *item, F.max("_verbatim").alias("_verbatim"))
     found = each.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}).groupBy("_row", "_item").agg(
         *doc, *item, F.count("*").alias("matched_windows"), F.min("_verbatim").alias("verbatim"))

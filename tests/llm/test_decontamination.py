@@ -79,3 +79,12 @@ def test_names_that_open_sentences_and_short_items(spark):
             (4, f"Here we ask. {two} Nobody knows."), (5, two), (6, "Who wrote Macbeth, and who wrote that it was Hamlet?")]
     got = found(spark, docs, [(1, apples), (2, france), (3, two)])
     assert got == {(1, 1): (1.0, False), (2, 2): (1.0, True), (3, 2): (1.0, True), (4, 3): (1.0, True), (5, 3): (1.0, True)}
+
+
+def test_a_conflict_costs_only_its_windows(spark):
+    plain = " ".join(f"{a} {b}" for a, b in zip(WORDS, reversed(WORDS)))
+    twice, pair = f"{WORDS[0]} 12 {plain} and 12 remain", f"{WORDS[0]} with 3 {plain} until 5 remain"
+    docs = [(1, twice.replace("and 12", "and 13")), (2, pair.replace(" 3 ", " 4 ").replace(" 5 ", " 4 "))]
+    got = found(spark, docs, [(1, twice), (2, pair)])
+    n, m = len(twice.split()) - 4, len(pair.split()) - 4
+    assert (got[1, 1], got[2, 2]) == (((n - 2) / n, True), ((m - 5) / m, True))
