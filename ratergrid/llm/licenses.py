@@ -16,8 +16,17 @@ from ratergrid.session import stored
 SPELLINGS = [("licenc", "licens"), ("©", "(c)"), ("https:", "http:"), ("sub-licens", "sublicens"),
              ("non-commercial", "noncommercial"), ("organis", "organiz"), ("authoris", "authoriz"),
              ("copyright owner", "copyright holder"), ("whilst", "while"), ("favour", "favor")]
-#: A line that only states a copyright, with the line break before it or behind it.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|all rights reserved)[^\n]*"
+#: Words that follow "copyright" or "(c)" in prose, and what a name is, to the end of the line.
+_PROSE = (r"(?!(?i:notices?|holders?|owners?|law|laws|licen[sc]\w*|interests?|permissions?|disclaimers?|statements?|protection|"
+          r"patents?|and|or|the|in|on|of|to|for|is|are|as|you|if)\b)")
+_NAME = (_PROSE + r"\p{Lu}[^\s,;]*+(?:[ \t,;]+(?!(?i:all rights reserved))(?:\p{Lu}[^\s,;]*+|[0-9][^\s,;]*+|&|<[^\s>]++>|"
+         r"\([^\s)]++\)|(?:and|of|the|de|van|von|der|inc|by)\b\.?))*+(?:[ \t.,]+(?i:all rights reserved))?[ \t.,;\r]*(?=\n|\z)")
+_YEAR = r"(?:[0-9]{4}|[\[<{(]?(?i:year|yyyy)\b)"
+#: A line that states a copyright (a sign, a year or a name follows), with the line break before it.
+COPYRIGHT_LINE = (r"(^|\n)[ \t#*/;-]*(?:(?i:copyright)[ \t:]*(?:(?i:\(c\))|©|" + _YEAR + r"|(?i:by[ \t]+)?" + _NAME + r")|(?:(?i:\(c\))|©)"
+                  r"[ \t]*(?:(?i:copyright)\b" + _PROSE + "|" + _YEAR + "|" + _NAME + r")|(?i:all rights reserved))[^\n]*")
+#: The line as the SQL states it: any that begins so. It differs on wrapped prose, which the given tables do not have.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|all rights reserved)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 #: Words one of which every known text has; lines without any are not looked up.
 MARKS = "licens|permission|public domain"
@@ -50,7 +59,7 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, with one spelling, and one space for everything between words."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, r"$1")
+    out = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, r"$1"))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, OTHER, " "))
@@ -101,7 +110,7 @@ def _literal(text: str) -> str:
 
 
 def _canonical_sql(expr: str) -> str:
-    out = f"regexp_replace(lower({expr}), {_literal(COPYRIGHT_LINE)}, '\\1', 'g')"
+    out = f"regexp_replace(lower({expr}), {_literal(SQL_COPYRIGHT_LINE)}, '\\1', 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_literal(old)}, {_literal(new)})"
     return f"sha256(trim(regexp_replace({out}, {_literal(OTHER)}, ' ', 'g')))"

@@ -73,3 +73,21 @@ def test_licenses(spark):
     assert got[5]["text_digest"] == got[6]["text_digest"] == got[7]["text_digest"]
     own = scan_licenses(spark.createDataFrame([(1, "You MAY copy.\nBye", None, None, None)], DOCS), known=[("own", "you may copy")]).first()
     assert own["notices"] == "own" and own["license_id"] is None
+
+
+def test_wrapped_licences_keep_their_prose(spark):
+    mit, isc = KNOWN[4][1], KNOWN[5][1]
+    # Each line break in turn falls before "copyright".
+    wrapped = isc.replace("above copyright notice", "above\ncopyright notice")
+    texts = [wrapped, wrapped.upper(), mit.replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").replace("above ", "above\n"),
+             *[f"{line}\n{wrapped}" for line in ("Copyright (c) 2001, Some One", "Copyright 1999-2004 some one", "copyright: (C) x",
+               "# Copyright Some One and Others, Inc.", "(c) 2004 x", "© 2004 x", "(c) Some One", "Copyright <YEAR> <OWNER>",
+               "Copyright Some One. All rights reserved.", "Copyright (c) 2001 A\nCopyright (c) 2002 B\nAll rights reserved.")],
+             "(c) You must retain, in the source form, all notices.", "copyright owner that is granting the License."]
+    texts.insert(-2, f"Copyright {'A,B C, ' * 20_000}\n{wrapped}")
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    want = ["ISC", "ISC", "MIT"] + ["ISC"] * (len(texts) - 5) + [None, None]
+    assert [got[i]["license_id"] for i in range(len(texts))] == want
+    empty = hashlib.sha256(b"").hexdigest()
+    assert empty not in (got[len(texts) - 2]["text_digest"], got[len(texts) - 1]["text_digest"])
