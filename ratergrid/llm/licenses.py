@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratergrid.dims import small_table
 from ratergrid.llm.common import quoted, whole_text
+from ratergrid.llm.license_digests import DIGESTS
 from ratergrid.session import stored
 
 #: Spellings that count as equal, applied in order to lower-case text. Fixed values.
@@ -79,7 +80,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   known: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_digest, license_id, notices, n_notices.
 
-    license_id is the known licence that the whole text is (NULL if none), notices the distinct licences that
+    license_id is the known licence that the whole text is (NULL if none); besides ``KNOWN`` those whose digests are in
+    ``license_digests`` count. notices the distinct licences that
     single lines are, by name, comma-joined; n_notices counts such lines. A NULL text counts as empty; an
     empty text, or one of copyright lines only, has the digest of the empty text and no licence. Repeated rows give one
     row each; a NULL id is kept; an empty table gives no rows. Columns besides the two named are not read. ``known``
@@ -87,7 +89,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     texts = known or KNOWN
-    digests = stored(known_digests(spark, texts), "known")
+    digests = known_digests(spark, texts)
+    if known is None:
+        more = small_table(spark, [(i, d) for i, all_ in DIGESTS.items() for d in all_.split()], "license_id string, _digest string")
+        digests = digests.unionByName(more).groupBy("_digest").agg(F.min("license_id").alias("license_id"))
+    digests = stored(digests, "known")
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(quoted(id_col)).alias("doc_id"),
                          whole_text(text_col).alias("_text"))
     marked = lambda line: F.replace(F.lower(line), F.lit("licenc"), F.lit("licens")).rlike(MARKS)
@@ -116,6 +122,7 @@ def _canonical_sql(expr: str) -> str:
     return f"sha256(trim(regexp_replace({out}, {_literal(OTHER)}, ' ', 'g')))"
 
 
+# Only ``KNOWN``: it holds where no document is a whole licence of ``license_digests``.
 LICENSES_SQL = f"""WITH k AS (SELECT {_canonical_sql('t')} AS digest, MIN(id) AS license_id FROM (VALUES
   {', '.join(f'({_literal(i)}, {_literal(t)})' for i, t in KNOWN)}) v(id, t) GROUP BY 1),
 d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),

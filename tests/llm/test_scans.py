@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -91,3 +92,37 @@ def test_wrapped_licences_keep_their_prose(spark):
     assert [got[i]["license_id"] for i in range(len(texts))] == want
     empty = hashlib.sha256(b"").hexdigest()
     assert empty not in (got[len(texts) - 2]["text_digest"], got[len(texts) - 1]["text_digest"])
+
+
+def test_common_whole_licences(spark):
+    mit = KNOWN[4][1].split("\n\n", 1)[1]
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    third = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+    head = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n"
+    texts = [(mit, "MIT"), ("The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n" + mit, "MIT"), (head + bsd % "", "BSD-2-Clause"),
+             ("BSD 3-Clause License\n\n" + head + bsd % third, "BSD-3-Clause")]
+    shared = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    texts += [(p.read_text(), i) for n, i in shared.items() if (p := Path("/usr/share/common-licenses", n)).exists()]
+    rows = [(i, t, None, None, None) for i, (t, _) in enumerate(texts)]
+    got = {r["doc_id"]: r["license_id"] for r in scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] for i in range(len(texts))] == [w for _, w in texts]
