@@ -106,7 +106,7 @@ def _schema(id_type: pa.DataType) -> pa.Schema:
 
 def _cut_and_fill(batches: Iterator[pa.RecordBatch], ranks_file: str | None, capacity: int, slack: int,
                   end_id: int) -> Iterator[pa.RecordBatch]:
-    encode, bins = encoder(ranks_file).ids, Bins(TaskContext.get().partitionId(), 0, capacity)
+    encode, bins = encoder(ranks_file).marked_ids, Bins(TaskContext.get().partitionId(), 0, capacity)
     end = struct.pack("<I", end_id)
     for batch in batches:
         schema = _schema(batch.schema.field(0).type)

@@ -8,6 +8,8 @@ import functools
 
 #: Segments that one generation of the cache holds; there are two, so its memory is bounded.
 CACHE = 300_000
+#: The vocabulary's special string and its id as little-endian 32-bit bytes.
+END, END_ID = "<|endoftext|>", (50256).to_bytes(4, "little")
 
 
 class Segments(dict):
@@ -40,6 +42,8 @@ class Segments(dict):
 class Encoder:
     """``ids(text)``: the ids of a whole text as little-endian 32-bit bytes; special strings are plain text.
 
+    ``marked_ids(text)``: the same, but ``END`` gets its own id, as the tokenizer gives it.
+
     The pattern that cuts a text into words always starts a new one at a single space with no blank next to
     it, so the segments between such spaces can be encoded one by one and looked up when they occur again.
     """
@@ -66,6 +70,9 @@ class Encoder:
         found = b"".join(map(self.segments.__getitem__, rest))
         return self.whole(text) if self.segments.unsafe else self.whole(first) + found
 
+    def marked_ids(self, text: str) -> bytes:
+        return END_ID.join(map(self.ids, text.split(END))) if END in text else self.ids(text)
+
 
 @functools.cache
 def encoder(ranks_file: str | None = None) -> Encoder:

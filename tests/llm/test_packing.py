@@ -87,3 +87,26 @@ def test_odd_rows(spark, reference, odd, none):
     assert got.length.sum() == sum(len(w) for ws in want.values() for w in ws)
     assert got[got.doc_id == 1].doc_tokens.tolist() == [1]
     assert pack_documents(none).count() == 0
+
+
+@pytest.fixture(scope="module")
+def loaded():
+    """The tokenizer as its file has it."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab é漢1'.!\n\t\x85\xa0 <|>s ", "  ", " the", "<|endoftext|>", " <|endoftext|>", "<|endoftext|"]),
+                max_size=40).map("".join))
+def test_marked_encoding_is_that_of_the_loaded_tokenizer(loaded, text):
+    assert ids(encoder().marked_ids(text)) == loaded(text)
+
+
+def test_packed_special_string_has_its_id(spark, loaded):
+    text = "a <|endoftext|> b<|endoftext|>"
+    assert loaded(text) == [64, 220, 50256, 275, 50256]
+    got = pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert ids(got["ids"]) == [*loaded(text), 0] and got["doc_tokens"] == 6
