@@ -25,25 +25,37 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|"
     r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_NAMES = re.compile(r"[a-z]+")
 #: Elements as the HTML standard names them.
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_RAW = set("script style noscript template iframe object svg math textarea title select audio video canvas".split())
+_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+_RAW = set("script style noscript template iframe svg textarea title select annotation annotation-xml".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp "
-              "small span strike strong sub sup time tt u var wbr img".split())
+              "small span strike strong sub sup time tt u var wbr img "
+              "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded mphantom "
+              "mfenced menclose mtable mtr mtd mspace mmultiscripts semantics".split())
 _BOILER_TAGS = set("nav footer aside form menu dialog button fieldset".split())
 _MAIN_TAGS = {"article", "main"}
-#: Words of class, id and role that name boilerplate or content.
+#: Whole names in class, id, role and itemprop that stand for boilerplate or content.
 _BOILER_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent "
     "contentinfo cookie cookies copyright disclaimer disqus footer form gdpr legal login masthead menu menubar modal nav "
     "navbar navigation newsletter notice notices notification overlay pagination pager paywall popup privacy promo "
     "promoted promotion recommended related replies reply respond search share sharing sidebar sidenav signup skip social "
-    "sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget".split())
-_MAIN_NAMES = set("article articlebody content entry main post story".split())
+    "sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget "
+    "ad-banner ad-container ad-slot ad-wrapper banner-ad google-ad breadcrumb-nav comment-form comment-list comments-area "
+    "comments-section post-comments consent-banner cookie-banner cookie-bar cookie-consent cookie-notice cookie-popup "
+    "footer-menu footer-nav page-footer site-footer site-header page-header-nav header-menu main-menu main-nav main-navigation "
+    "nav-bar nav-links nav-menu post-navigation site-navigation top-bar top-nav newsletter-form newsletter-signup "
+    "privacy-notice copyright-notice legal-notice related-articles related-content related-links related-posts search-form "
+    "side-bar share-bar share-buttons share-links social-icons social-links social-media social-share skip-link sponsored-content "
+    "widget-area".split())
+_MAIN_NAMES = set("article articlebody content entry main post story article-body article-content article-text content-body "
+                  "content-main entry-content main-article main-content page-content post-body post-content story-body "
+                  "story-content".split())
 #: Weights of the classifier. The first four are the prior of a block outside any named place.
 BASE, PER_WORD, SENTENCE, LINKED = -0.8, 0.08, 0.8, -4.0
 IN_MAIN, BESIDE_MAIN, IN_BOILER = 8.0, -4.0, -40.0
+#: In place of the main ones for a block in an element whose names stand for boilerplate; neighbours can outweigh it.
+IN_NAMED = -4.5
 MOST_WORDS = 40
 ADJACENT, SAME_PARENT, SHARED = 0.5, 0.3, 0.5
 
@@ -59,31 +71,38 @@ class Block:
     shared: int
     main: bool
     boiler: bool
+    named: bool
 
 
-def _place(tag: str, attributes: str, main: bool, boiler: bool) -> tuple[bool, bool]:
-    """Whether an element stands for main content or boilerplate, given what it stands in."""
+def _place(tag: str, attributes: str, main: bool, boiler: bool, named: bool) -> tuple[bool, bool, bool]:
+    """Whether an element stands for main content, for boilerplate, or only has its name, given what it stands in.
+
+    Names never tell against article, main, or an element that also has a main name.
+    """
     if tag in _BOILER_TAGS or tag == "header" and not main:
-        return main, True
-    if attributes:
-        named = set()
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name = name.lower()
-            if name in ("class", "id", "role", "itemprop"):
-                named.update(_NAMES.findall("".join(values).lower()))
-            elif name in ("hidden", "aria-hidden") and "".join(values).lower() in ("", "true", "hidden"):
-                boiler = True
-        if named & _BOILER_NAMES and tag not in ("html", "body"):
-            return main, True
-        main = main or bool(named & _MAIN_NAMES) and tag not in ("html", "body")
-    return main or tag in _MAIN_TAGS, boiler
+        return main, True, named
+    names = set()
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name = name.lower()
+        if name in ("class", "id", "role", "itemprop"):
+            names.update(n.replace("_", "-").rstrip("0123456789-") for n in "".join(values).lower().split())
+        elif name in ("hidden", "aria-hidden") and "".join(values).lower() in ("", "true", "hidden"):
+            boiler = True
+    if tag in ("html", "body"):
+        return main, boiler, named
+    bad = bool(names & _BOILER_NAMES)
+    if tag in _MAIN_TAGS:
+        return True, boiler, named and bad
+    if names & _MAIN_NAMES:
+        return True, boiler, named
+    return main, boiler, named or bad
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Tags may be unclosed or crossed; raw elements and the head are skipped."""
     out: list[Block] = []
-    # (tag, number, main, boiler, in a link)
-    stack = [("", 0, False, False, False)]
+    # (tag, number, main, boiler, named, in a link)
+    stack = [("", 0, False, False, False, False)]
     opened: Counter[str] = Counter()
     made, lowest, at = 1, 0, 0
     texts: list[str] = []
@@ -95,7 +114,7 @@ def blocks(html: str) -> list[Block]:
             text = " ".join("".join(texts).split())
             if text:
                 top = next(e for e in reversed(stack) if e[0] not in _INLINE)
-                out.append(Block(text, links, top[1], len(stack), lowest, top[2], stack[-1][3]))
+                out.append(Block(text, links, top[1], len(stack), lowest, top[2], stack[-1][3], stack[-1][4]))
                 lowest = len(stack)
             texts.clear()
         links = 0
@@ -106,7 +125,7 @@ def blocks(html: str) -> list[Block]:
             return
         text = unescape(raw)
         texts.append(text)
-        if stack[-1][4]:
+        if stack[-1][5]:
             links += len(text.strip())
 
     def close(tag: str) -> None:
@@ -156,8 +175,8 @@ def blocks(html: str) -> list[Block]:
                             break
                         if name in outer or name not in _INLINE:
                             break
-        main, boiler = _place(tag, found.group(3), stack[-1][2], stack[-1][3])
-        stack.append((tag, made, main, boiler, stack[-1][4] or tag == "a"))
+        main, boiler, named = _place(tag, found.group(3), *stack[-1][2:5])
+        stack.append((tag, made, main, boiler, named, stack[-1][5] or tag == "a"))
         opened[tag] += 1
         made += 1
     flush()
@@ -166,12 +185,13 @@ def blocks(html: str) -> list[Block]:
 
 def gains(found: list[Block]) -> list[float]:
     """The classifier's log-odds of content."""
-    has_main = any(b.main and not b.boiler for b in found)
+    has_main = any(b.main and not b.boiler and not b.named for b in found)
     out = []
     for b in found:
         gain = BASE + PER_WORD * min(b.text.count(" ") + 1, MOST_WORDS) + LINKED * min(1.0, b.links / len(b.text))
         gain += SENTENCE * (b.text[-1] in ".!?\"'”»:;")
-        gain += IN_MAIN * b.main + BESIDE_MAIN * (has_main and not b.main) + IN_BOILER * b.boiler
+        gain += IN_NAMED if b.named else IN_MAIN * b.main + BESIDE_MAIN * (has_main and not b.main)
+        gain += IN_BOILER * b.boiler
         out.append(gain)
     return out
 

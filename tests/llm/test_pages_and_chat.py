@@ -125,3 +125,29 @@ def test_round_trip_and_layout(spark):
 def test_empty_table(spark):
     nodes, turns = tree(spark, [])
     assert nodes.count() == turns.count() == read_back(nodes, turns).count() == 0
+
+
+# ------------------------------------------------------------------------------------------------ names of elements
+
+LONG = "A sentence of many words stands here so that it reads like prose and nothing else does, and then it goes on."
+
+
+def test_names_do_not_condemn_articles():
+    for element in ('article class="post category-legal tag-privacy"', 'article class="social"', 'main id="search"',
+                    'div class="entry share"', 'div class="tag-privacy form-wide"'):
+        tag = element.split()[0]
+        assert main_text(f'<nav><a href="/">Home</a></nav><{element}><p>{LONG}</p><p>Short.</p></{tag}>')[0] == f"{LONG} Short."
+    assert main_text(f'<article><p>{LONG}</p></article><div class="site-footer"><p>{LONG}</p></div>')[0] == LONG
+    assert main_text(f'<article><p>{LONG}</p><div class="ad-2">Buy this now.</div></article>')[0] == LONG
+
+
+def test_neighbours_outweigh_a_name():
+    more = " ".join([LONG] * 2)
+    page = f'<div><p>{more}</p><p class="notice">{more}</p><p>{more}</p></div>'
+    assert main_text(page)[0] == " ".join([more] * 3)
+
+
+def test_formulas_and_fallback_text_stay():
+    page = f"<article><p>{LONG} Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><%s><p>{LONG}</p></%s></article>"
+    for tag in ("object", "audio", "video", "canvas"):
+        assert main_text(page % (tag, tag))[0] == f"{LONG} Where x=2 holds. {LONG}"
