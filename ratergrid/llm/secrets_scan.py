@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found by pattern, with their places. The digest of each candidate's value is counted over the whole
-corpus by distinct repositories and owners: a value that many owners have was copied from an example, one that a
-single owner has is that owner's. Long mixed tokens that no pattern names are candidates too; those that look alive and
+corpus by distinct repositories, owners and documents: a value that many of these have was copied from an example, one
+that a single owner has in few places is that owner's. Long mixed tokens that no pattern names are candidates too; those that look alive and
 belong to one owner are added to the spans, those that owners share are not.
 """
 
@@ -23,8 +23,12 @@ KINDS = {
 BASE = ["assign", "access", "hex"]
 #: Owners from which on a value counts as widely copied.
 COPIED_OWNERS = 3
-#: Words of values that are made up, and the kinds of characters that an unnamed token needs.
-DUMMY = "example|sample|dummy|changeme|placeholder|xxxx|0000|1234"
+#: Repositories, and documents, from which on it does so within one or two owners too.
+COPIED_REPOS, COPIED_DOCS = 4, 20
+#: Words of values that are made up (digits at an end only, or long runs), as the SQL has them (digits anywhere), and
+#: the kinds of characters that an unnamed token needs.
+DUMMY = "example|sample|dummy|changeme|placeholder|xxxx|^0000|0000$|00000000|^1234|1234$|12345678"
+SQL_DUMMY = "example|sample|dummy|changeme|placeholder|xxxx|0000|1234"
 MIXED = ["[A-Z]", "[a-z]", "[0-9]"]
 _STEP = 64
 
@@ -64,20 +68,24 @@ def _listed(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _live(value: Column) -> Column:
-    return ~F.lower(value).rlike(DUMMY)
+def _live(value: Column, dummy: str) -> Column:
+    return ~F.lower(value).rlike(dummy)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str = "lang") -> DataFrame:
+                 repo_col: str = "lang", by_owners_only: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base (array of spans), spans (array), n_copied,
-    n_live. A span is (start, kind, end, value), ends exclusive, in code points.
+    n_live, spread. A span is (start, kind, end, value), ends exclusive, in code points; spread has start, kind, owners,
+    repos and docs (how many have its value) of base spans and of all unnamed candidates.
 
-    ``repo_col`` names a repository of the owner. n_copied counts base spans whose value at least ``COPIED_OWNERS``
-    owners have, n_live those of a single owner that look alive. NULL and empty texts have no spans; a NULL owner
+    ``repo_col`` names a repository of the owner. A value is widely copied when at least ``COPIED_OWNERS`` owners,
+    ``COPIED_REPOS`` repositories or ``COPIED_DOCS`` documents have it. n_copied counts base spans of such values,
+    n_live those of a single owner that are not copied and look alive; unnamed ones of that kind are added to spans.
+    With ``by_owners_only`` repositories and documents do not count and ``SQL_DUMMY`` holds, as in the SQL. NULL and empty texts have no spans; a NULL owner
     or repository counts as one of its own. Repeated rows are rows of the same owner; ids are only carried along.
     An empty table gives no rows. Columns besides the four named are not read.
     """
+    dummy = SQL_DUMMY if by_owners_only else DUMMY
     found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(quoted(id_col)).alias("doc_id"),
                         F.coalesce(F.col(quoted(owner_col)).cast("string"), F.lit("")).alias("_owner"),
                         F.coalesce(F.col(quoted(repo_col)).cast("string"), F.lit("")).alias("_repo"),
@@ -86,31 +94,43 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = _spans(found, kind)
     found = found.withColumn("base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in BASE])))
     mixed = F.filter("_owned", lambda s: F.forall(F.array(*[s["value"].rlike(p) for p in MIXED]), lambda x: x)
-                     & _live(s["value"]) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+                     & _live(s["value"], dummy) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     found = found.withColumn("_more", mixed)
     found = stored(found.select("_row", "doc_id", "_owner", "_repo", *[F.size(f"_{k}").cast("long").alias(f"n_{k}")
                                                                       for k in BASE], "base", "_more"), "candidates")
 
     one = found.select("_row", "_owner", "_repo", F.explode(F.concat("base", "_more")).alias("_span"))
     one = one.withColumn("_digest", F.unhex(F.sha2(F.col("_span.value").cast("binary"), 256)))
-    owners = one.groupBy("_digest", "_owner", "_repo").agg(F.count("*").alias("_n")).groupBy("_digest", "_owner").agg(
-        F.count("*").alias("_repos"), F.sum("_n").alias("_n")).groupBy("_digest").agg(
-        F.count("*").alias("_owners"), F.sum("_repos").alias("_repos"), F.sum("_n").alias("_n"))
+    each = found.select("_owner", "_repo", F.explode(F.array_distinct(F.transform(
+        F.concat("base", "_more"), lambda s: s["value"]))).alias("_value"))
+    each = each.withColumn("_digest", F.unhex(F.sha2(F.col("_value").cast("binary"), 256)))
+    owners = each.groupBy("_digest", "_owner", "_repo").agg(F.count("*").alias("_docs")).groupBy("_digest", "_owner").agg(
+        F.count("*").alias("_repos"), F.sum("_docs").alias("_docs")).groupBy("_digest").agg(
+        F.count("*").alias("_owners"), F.sum("_repos").alias("_repos"), F.sum("_docs").alias("_docs"))
     judged = one.join(stored(owners, "owners"), "_digest")
     base = F.col("_span.kind") < len(BASE)
+    copied = F.col("_owners") >= COPIED_OWNERS
+    if not by_owners_only:
+        copied |= (F.col("_repos") >= COPIED_REPOS) | (F.col("_docs") >= COPIED_DOCS)
+    own = (F.col("_owners") == 1) & ~copied
     per_row = judged.groupBy("_row").agg(
-        F.count_if(base & (F.col("_owners") >= COPIED_OWNERS)).alias("n_copied"),
-        F.count_if(base & (F.col("_owners") == 1) & _live(F.col("_span.value"))).alias("n_live"),
-        F.collect_list(F.when(~base & (F.col("_owners") == 1), F.col("_span"))).alias("_added"))
+        F.count_if(base & copied).alias("n_copied"),
+        F.count_if(base & own & _live(F.col("_span.value"), dummy)).alias("n_live"),
+        F.collect_list(F.when(~base & own, F.col("_span"))).alias("_added"),
+        F.array_sort(F.collect_list(F.struct(
+            F.col("_span.start").alias("start"), F.col("_span.kind").alias("kind"), F.col("_owners").alias("owners"),
+            F.col("_repos").alias("repos"), F.col("_docs").alias("docs")))).alias("spread"))
     return found.join(per_row, "_row", "left").select(
         "doc_id", *[f"n_{k}" for k in BASE], "base",
         F.array_sort(F.concat("base", F.coalesce("_added", F.filter("base", lambda _: F.lit(False))))).alias("spans"),
-        F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+        F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("n_live", F.lit(0)).alias("n_live"),
+        F.coalesce("spread", F.array().cast("array<struct<start:bigint,kind:int,owners:bigint,repos:bigint,docs:bigint>>")).alias(
+            "spread"))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """The scan with spans as text and the base spans' digest."""
-    return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex",
+    """The scan with spans as text and the base spans' digest, judged by owners only as the SQL does."""
+    return scan_secrets(docs, by_owners_only=True).select("doc_id", "n_assign", "n_access", "n_hex",
                                      F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                                      _listed(F.col("spans")).alias("spans"), "n_copied", "n_live")
 
@@ -131,7 +151,7 @@ SECRETS_SQL = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, COALESCE(so
   COALESCE(lang, '') AS rep FROM documents),
 base AS ({' UNION ALL '.join(_kind_sql(k) for k in BASE)}),
 more AS (SELECT * FROM ({_kind_sql('owned')}) o WHERE {' AND '.join(f"regexp_matches(value, '{p}')" for p in MIXED)}
-  AND NOT regexp_matches(lower(value), '{DUMMY}')
+  AND NOT regexp_matches(lower(value), '{SQL_DUMMY}')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.e AND o.s < b.e)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
 owners AS (SELECT value, COUNT(DISTINCT src) AS n FROM every GROUP BY value),
@@ -141,7 +161,7 @@ per AS (SELECT doc_id, COUNT(*) FILTER (kind = 'assign') AS n_assign, COUNT(*) F
   STRING_AGG(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < {len(BASE)}) AS base,
   STRING_AGG(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
   COUNT(*) FILTER (k < {len(BASE)} AND n >= {COPIED_OWNERS}) AS n_copied,
-  COUNT(*) FILTER (k < {len(BASE)} AND n = 1 AND NOT regexp_matches(lower(value), '{DUMMY}')) AS n_live
+  COUNT(*) FILTER (k < {len(BASE)} AND n = 1 AND NOT regexp_matches(lower(value), '{SQL_DUMMY}')) AS n_live
   FROM judged GROUP BY doc_id)
 SELECT d.doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex,
   sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(n_copied, 0) AS n_copied,

@@ -126,3 +126,13 @@ OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
     rows = [(i, t, None, None, None) for i, (t, _) in enumerate(texts)]
     got = {r["doc_id"]: r["license_id"] for r in scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
     assert [got[i] for i in range(len(texts))] == [w for _, w in texts]
+
+
+def test_spread_within_one_owner(spark):
+    wide, repos, live = "aB3dE5gH7jK9mN1pQ3sT5", "cB3dE5gH7jK9mN1pQ3sT5", "aB3dE5gH1234mN1pQ3sT5"
+    rows = [(i, f"{wide} {wide} password=hunter2hunter2", "en", "hot", 0) for i in range(20)]
+    rows += [(20 + i, repos, f"l{i}", "many", 0) for i in range(4)] + [(30, live, "en", "one", 0)]
+    got = {r["doc_id"]: r for r in scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [[s["value"] for s in got[i]["spans"]] for i in (0, 20, 30)] == [["hunter2hunter2"], [], [live]]
+    assert (got[0]["n_copied"], got[0]["n_live"]) == (1, 0)
+    assert [tuple(s)[2:] for i in (0, 20, 30) for s in got[i]["spread"]] == [(1, 1, 20)] * 3 + [(1, 4, 4), (1, 1, 1)]
