@@ -14,6 +14,7 @@ from ratergrid.llm.near_dedup import NEAR_DEDUP_SQL, near_dedup
 from ratergrid.llm.packing import pack_documents
 from ratergrid.llm.quality import fit_quality, quality_scores
 from ratergrid.llm.secrets_scan import SECRETS_SQL, secret_report
+from ratergrid.llm.spelling import SPELLING_SQL, spelling_report
 from ratergrid.llm.toxicity import fit_toxicity, toxicity_scores
 
 
@@ -68,6 +69,10 @@ def op10_license_digests(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_chunks(spark, sf_dir):
+    return spelling_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_toxicity_fm": op2_toxicity_fm,
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_chat_prefix_tree": op9_chat_prefix_tree,
     "op10_license_digests": op10_license_digests,
+    "op13_spelling_chunks": op13_spelling_chunks,
 }
 ORACLE_SQL = {
     "op1_secret_ownership": SECRETS_SQL,
@@ -86,4 +92,5 @@ ORACLE_SQL = {
     "op4_exact_dedup": EXACT_DEDUP_SQL,
     "op9_chat_prefix_tree": CHAT_SQL.format(hostile=HOSTILE),
     "op10_license_digests": LICENSES_SQL,
+    "op13_spelling_chunks": SPELLING_SQL,
 }
