@@ -12,6 +12,8 @@ from ratergrid.llm.html_text import extract_text
 from ratergrid.llm.licenses import LICENSES_SQL, scan_licenses
 from ratergrid.llm.near_dedup import NEAR_DEDUP_SQL, near_dedup
 from ratergrid.llm.packing import pack_documents
+from ratergrid.llm.periodic import runs_report
+from ratergrid.llm.personal_data import PERSONAL_DATA_SQL, personal_data_report
 from ratergrid.llm.quality import fit_quality, quality_scores
 from ratergrid.llm.secrets_scan import SECRETS_SQL, secret_report
 from ratergrid.llm.spelling import SPELLING_SQL, spelling_report
@@ -69,6 +71,14 @@ def op10_license_digests(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return runs_report(table(spark, sf_dir, "documents"))
+
+
+def op12_pii_bootstrap(spark, sf_dir):
+    return personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_chunks(spark, sf_dir):
     return spelling_report(table(spark, sf_dir, "documents"))
 
@@ -84,6 +94,8 @@ QUERIES = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_chat_prefix_tree": op9_chat_prefix_tree,
     "op10_license_digests": op10_license_digests,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_pii_bootstrap": op12_pii_bootstrap,
     "op13_spelling_chunks": op13_spelling_chunks,
 }
 ORACLE_SQL = {
@@ -92,5 +104,6 @@ ORACLE_SQL = {
     "op4_exact_dedup": EXACT_DEDUP_SQL,
     "op9_chat_prefix_tree": CHAT_SQL.format(hostile=HOSTILE),
     "op10_license_digests": LICENSES_SQL,
+    "op12_pii_bootstrap": PERSONAL_DATA_SQL,
     "op13_spelling_chunks": SPELLING_SQL,
 }
