@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratergrid.llm.personal_data import FAST, KINDS, PERSONAL_DATA_SQL, personal_data_report, scan_personal_data
-from ratergrid.llm.spans import running_totals, with_places
+from ratergrid.llm.spans import with_places, with_running_totals
 
 DOCS = "doc_id long, text string"
 PIECES = ["a.b@c.de", "x@y", "a@b.c_d@e.fg", "@", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "010.0001.1.255", "4111 1111 1111 1111",
@@ -119,9 +119,9 @@ def test_very_many_hits_and_very_long_words(spark):
 
 def test_running_totals(spark):
     rng = random.Random(1)
-    rows = [([rng.randrange(9) for _ in range(n)],) for n in (0, 1, 255, 256, 257, 1000)]
-    for r in spark.createDataFrame(rows, "a array<bigint>").select("a", running_totals(F.col("a")).alias("t")).collect():
-        assert r["t"] == [sum(r["a"][:i + 1]) for i in range(len(r["a"]))]
+    rows = [([rng.randrange(9) for _ in range(n)],) for n in (0, 1, 127, 128, 129, 256, 1000)] + [(None,)]
+    for r in with_running_totals(spark.createDataFrame(rows, "a array<bigint>"), "t", F.col("a")).collect():
+        assert r["t"] == (None if r["a"] is None else [sum(r["a"][:i + 1]) for i in range(len(r["a"]))])
     one = with_places(spark.createDataFrame([("xaé🙂aab",)], "t string"), "p", F.col("t"), "a+", gaps=True).first()["p"]
     assert [tuple(p) for p in one] == [(1, 2, "a", "x"), (4, 6, "aa", "é🙂")]
 
