@@ -5,6 +5,7 @@ Works on a log (unit_id, rater, attempt, raw_text, error) with one row per call.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
@@ -20,6 +21,9 @@ MAX_ATTEMPTS = 10
 RETRY_WAIT = 15
 
 KEY = ["unit_id", "rater"]
+#: What a call is made with, and how many finished calls, or seconds of them, are handed on together.
+CALL_COLS = [*KEY, "text", "post_type", "prompt", "system_prompt"]
+HAND_ON, HAND_ON_SECONDS = 500, 5.0
 
 
 def computed_once(df: DataFrame, **cols: Column) -> DataFrame:
@@ -161,14 +165,15 @@ def annotator_hook(work: DataFrame, fn: Callable[[str, str, str, str], str],
 
     ``work`` holds unit_id, rater, text, post_type, prompt and system_prompt. ``fn`` takes the last
     four and returns the response text; what it raises is logged, and the call is tried again up to
-    ``max_attempts`` times. Each call's row is handed on at once.
+    ``max_attempts`` times. Rows of finished calls are handed on every few seconds. What a task has called is lost
+    with the task; ``streaming.call_log`` makes calls in batches that are not.
     """
     names = RAW_RESPONSE_SCHEMA.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, since = [], time.monotonic()
         for batch in batches:
             for row in batch.itertuples(index=False):
-                log = []
                 for attempt in range(1, max_attempts + 1):
                     try:
                         raw, error = fn(row.text, row.post_type, row.prompt, row.system_prompt), None
@@ -177,10 +182,13 @@ def annotator_hook(work: DataFrame, fn: Callable[[str, str, str, str], str],
                     log.append((row.unit_id, row.rater, attempt, raw, error))
                     if error is None:
                         break
-                yield pd.DataFrame(log, columns=names)
+                if len(log) >= HAND_ON or time.monotonic() - since > HAND_ON_SECONDS:
+                    yield pd.DataFrame(log, columns=names)
+                    log, since = [], time.monotonic()
+        if log:
+            yield pd.DataFrame(log, columns=names)
 
-    inputs = work.select(F.col("unit_id").cast("string").alias("unit_id"), "rater", "text",
-                         "post_type", "prompt", "system_prompt")
+    inputs = work.select(F.col("unit_id").cast("string").alias("unit_id"), *CALL_COLS[1:])
     if tasks:  # a stated number is not merged by adaptive execution
-        inputs = inputs.repartition(tasks, "unit_id", "rater")
+        inputs = inputs.repartition(tasks, F.xxhash64("unit_id", "rater"))
     return inputs.mapInPandas(run, RAW_RESPONSE_SCHEMA)

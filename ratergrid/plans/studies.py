@@ -25,6 +25,7 @@ from ratergrid.schemas import REQUIRED_POST_COLS, SCORE_COLS, annotation_columns
 from ratergrid.session import stored
 from ratergrid.sources import (append_annotations, load_existing, min_rows_guard, refuse_repeats,
                                require_columns, sink_csv, sink_parquet_typed)
+from ratergrid.streaming.call_log import BATCH_CALLS, logged_calls, mark_stored, unread_log
 
 
 def _pool(source: DataFrame, language: str, start: str, end: str, tiers: dict[str, float | None],
@@ -71,12 +72,13 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
                    prompts: list[tuple], system_prompt: str | dict[str, str],
                    scorer: Callable[[str, str, str, str], str], session: str,
                    variables: list[str] = SCORE_COLS, max_attempts: int = Q.MAX_ATTEMPTS,
-                   tasks: int | None = None) -> DataFrame:
+                   tasks: int | None = None, batch_calls: int = BATCH_CALLS) -> DataFrame:
     """Annotate the (post, label) keys that ``out`` lacks and append them; returns the failed keys.
 
-    ``labels`` are models, prompt variants or conditions. Responses go to ``log`` before they are read. A run
-    first stores what earlier logs answer, so one that was stopped after its calls is finished without
-    calling again. ``system_prompt`` is one text, or one per condition; ``tasks`` calls run at a time.
+    ``labels`` are models, prompt variants or conditions. Responses go to ``log`` in batches of ``batch_calls``,
+    before they are read. A run first stores what earlier, unfinished runs have logged, so a run that was stopped is
+    gone on with and repeats one batch of calls at most; logs that were stored are marked and not read again.
+    ``system_prompt`` is one text, or one per condition; ``tasks`` calls run at a time.
     """
     spark = posts.sparkSession
     posts = require_columns(posts, REQUIRED_POST_COLS).select(*REQUIRED_POST_COLS)
@@ -96,9 +98,10 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
         append_annotations(spark, rows.select(*order, *extra).where(F.col(label_col).isNotNull()), out,
                            ["tweet_id", label_col])
 
-    earlier = load_existing(spark, log)
+    earlier = unread_log(spark, log)
     if earlier is not None:
         store(Q.read_responses(earlier, variables, error="error"))
+        mark_stored(spark, log, earlier)
     existing = load_existing(spark, out)
     work = (W.work_plan_cross(posts, labels) if existing is None
             else W.remaining_work(posts, labels, existing, "tweet_id", label_col))
@@ -111,10 +114,11 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
         work = work.withColumn("system_prompt", F.lit(system_prompt))
     calls = work.withColumnsRenamed({"tweet_id": "unit_id"}).withColumn(
         "rater", F.col(label_col).cast("string"))
-    run_log = f"{log}/run=r{uuid.uuid4().hex}"
-    Q.annotator_hook(calls, scorer, max_attempts, tasks).write.parquet(run_log)
-    responses = Q.read_responses(spark.read.parquet(run_log), variables, error="error")
+    run_id = f"r{uuid.uuid4().hex}"
+    made = logged_calls(calls, scorer, log, run_id, max_attempts, tasks, batch_calls)
+    responses = Q.read_responses(made, variables, error="error")
     store(responses)
+    mark_stored(spark, log, None, run_id)
     return Q.failed_keys(responses, max_attempts=max_attempts)
 
 
