@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame, functions as F
 from ratergrid.llm.common import quoted, whole_text
 from ratergrid.llm.mincut import label
 
+#: Where markup may begin, markup, and markup in a page with a quote that never ends, where any > ends a tag.
+_OPEN = re.compile(r"<(?=/?[a-zA-Z]|[!?])")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|"
     r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements as the HTML standard names them.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style noscript template iframe svg textarea title select annotation annotation-xml".split())
@@ -32,8 +35,10 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
               "small span strike strong sub sup time tt u var wbr img "
               "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded mphantom "
               "mfenced menclose mtable mtr mtd mspace mmultiscripts semantics".split())
-_BOILER_TAGS = set("nav footer aside form menu dialog button fieldset".split())
+_BOILER_TAGS = set("nav footer aside menu dialog button fieldset".split())
 _MAIN_TAGS = {"article", "main"}
+#: What a head may hold; anything else ends it.
+_HEAD = set("head base link meta title style script noscript template".split())
 #: Whole names in class, id, role and itemprop that stand for boilerplate or content.
 _BOILER_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent "
@@ -51,6 +56,16 @@ _BOILER_NAMES = set(
 _MAIN_NAMES = set("article articlebody content entry main post story article-body article-content article-text content-body "
                   "content-main entry-content main-article main-content page-content post-body post-content story-body "
                   "story-content".split())
+#: Names of reader comments, whatever else an element is called.
+_COMMENT_NAMES = set("comment comments commentlist comment-list comment-body comments-area comments-section comment-section "
+                     "comment-thread comment-form post-comments disqus disqus-thread respond".split())
+#: Words of a compound name that only say how an element is laid out: 'ad-box' is an 'ad'.
+_LAYOUT_WORDS = set(
+    "box container wrapper wrap slot unit area bar block banner section inner outer top bottom left right side center header "
+    "footer list item items link links button buttons icon icons panel holder frame group row col column widget module "
+    "menu nav site page global primary secondary mobile desktop small large sticky fixed".split())
+#: Least words of a block that reads as prose.
+PROSE_WORDS = 8
 #: Weights of the classifier. The first four are the prior of a block outside any named place.
 BASE, PER_WORD, SENTENCE, LINKED = -0.8, 0.08, 0.8, -4.0
 IN_MAIN, BESIDE_MAIN, IN_BOILER = 8.0, -4.0, -40.0
@@ -72,25 +87,51 @@ class Block:
     main: bool
     boiler: bool
     named: bool
+    form: int = 0
+
+
+@dataclass
+class _Element:
+    """An open element, what it stands in, and the place in the stack of the nearest one that is not inline."""
+
+    tag: str
+    number: int
+    main: bool
+    boiler: bool
+    named: bool
+    link: bool
+    form: int
+    block: int
+
+
+def _is_boiler(name: str) -> bool:
+    """Whether a name stands for boilerplate: as a whole, or as a word besides words of layout."""
+    if name in _BOILER_NAMES:
+        return True
+    words = name.split("-")
+    telling = [w for w in words if w not in _LAYOUT_WORDS]
+    return len(words) > 1 and bool(telling) and all(w in _BOILER_NAMES for w in telling)
 
 
 def _place(tag: str, attributes: str, main: bool, boiler: bool, named: bool) -> tuple[bool, bool, bool]:
     """Whether an element stands for main content, for boilerplate, or only has its name, given what it stands in.
 
-    Names never tell against article, main, or an element that also has a main name.
+    Names never tell against article, main, or an element that also has a main name, but for names of comments.
     """
     if tag in _BOILER_TAGS or tag == "header" and not main:
         return main, True, named
     names = set()
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-        name = name.lower()
+        name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id", "role", "itemprop"):
-            names.update(n.replace("_", "-").rstrip("0123456789-") for n in "".join(values).lower().split())
-        elif name in ("hidden", "aria-hidden") and "".join(values).lower() in ("", "true", "hidden"):
+            names.update(n.replace("_", "-").rstrip("0123456789-") for n in value.split())
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
             boiler = True
     if tag in ("html", "body"):
         return main, boiler, named
-    bad = bool(names & _BOILER_NAMES)
+    if tag != "main" and names & _COMMENT_NAMES:
+        return main, True, named
+    bad = any(map(_is_boiler, names))
     if tag in _MAIN_TAGS:
         return True, boiler, named and bad
     if names & _MAIN_NAMES:
@@ -98,23 +139,49 @@ def _place(tag: str, attributes: str, main: bool, boiler: bool, named: bool) ->
     return main, boiler, named or bad
 
 
+def _markup(html: str) -> Generator[tuple[str, re.Match | None], int | None, None]:
+    """Pieces of text, each with the markup that ends it (None at the end).
+
+    The caller may send the place to go on from, to skip a raw element. Every place is looked at a fixed
+    number of times: markup without an end is text, and a quote without an end turns quotes off for the rest.
+    """
+    at, token, last = 0, _TOKEN, html.rfind(">")
+    while True:
+        text_from = at
+        found = None
+        while (open_ := _OPEN.search(html, at)) and (open_.start() < last or html.startswith("<!--", open_.start())):
+            found = token.match(html, open_.start())
+            if not found and token is _TOKEN:
+                token = _PLAIN_TOKEN
+                found = token.match(html, open_.start())
+            if found:
+                break
+            at = open_.end()
+        if not found:
+            yield html[text_from:], None
+            return
+        go_on = yield html[text_from:found.start()], found
+        at = found.end() if go_on is None else go_on
+
+
 def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order. Tags may be unclosed or crossed; raw elements and the head are skipped."""
+    """The text blocks of a page in order. Tags may be unclosed or crossed; raw elements and the head are skipped, and
+    the head ends at the first text or element that does not belong in it."""
     out: list[Block] = []
-    # (tag, number, main, boiler, named, in a link)
-    stack = [("", 0, False, False, False, False)]
+    stack = [_Element("", 0, False, False, False, False, 0, 0)]
     opened: Counter[str] = Counter()
-    made, lowest, at = 1, 0, 0
+    made, lowest = 1, 0
     texts: list[str] = []
     links = 0
+    pages_in_forms: set[int] = set()
 
     def flush() -> None:
         nonlocal links, lowest
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                top = next(e for e in reversed(stack) if e[0] not in _INLINE)
-                out.append(Block(text, links, top[1], len(stack), lowest, top[2], stack[-1][3], stack[-1][4]))
+                own, top = stack[-1], stack[stack[-1].block]
+                out.append(Block(text, links, top.number, len(stack), lowest, top.main, own.boiler, own.named, own.form))
                 lowest = len(stack)
             texts.clear()
         links = 0
@@ -122,29 +189,31 @@ def blocks(html: str) -> list[Block]:
     def say(raw: str) -> None:
         nonlocal links
         if opened["head"]:
-            return
+            if not raw.strip():
+                return
+            close("head")
         text = unescape(raw)
         texts.append(text)
-        if stack[-1][5]:
+        if stack[-1].link:
             links += len(text.strip())
 
     def close(tag: str) -> None:
         nonlocal lowest
         while True:
-            name = stack.pop()[0]
+            name = stack.pop().tag
             opened[name] -= 1
             if name == tag:
                 break
         lowest = min(lowest, len(stack))
 
+    pieces, go_on = _markup(html), None
     while True:
-        found = _TOKEN.search(html, at)
+        text, found = pieces.send(go_on)
+        go_on = None
+        if text:
+            say(text)
         if not found:
-            say(html[at:])
             break
-        if found.start() > at:
-            say(html[at:found.start()])
-        at = found.end()
         tag = found.group(2)
         if not tag:
             continue
@@ -158,31 +227,51 @@ def blocks(html: str) -> list[Block]:
             if opened[tag]:
                 close(tag)
             continue
+        if opened["head"] and tag not in _HEAD:
+            close("head")
         if tag in _VOID or found.group(3).endswith("/"):
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, found.end())
+            go_on = html.find(">", end.end()) + 1 if end else 0
+            go_on = go_on or len(html)
             continue
         if tag not in _INLINE:
-            if tag == "body" and opened["head"]:
-                close("head")
-            for inner, outer in (("p", ()), ("li", ("ul", "ol", "menu"))):
-                if opened[inner] and (tag == inner or inner == "p"):
-                    for name, *_ in reversed(stack):
-                        if name == inner:
-                            close(inner)
-                            break
-                        if name in outer or name not in _INLINE:
-                            break
-        main, boiler, named = _place(tag, found.group(3), *stack[-1][2:5])
-        stack.append((tag, made, main, boiler, named, stack[-1][5] or tag == "a"))
+            for inner in ("p", "li"):
+                if opened[inner] and (tag == inner or inner == "p") and stack[stack[-1].block].tag == inner:
+                    close(inner)
+        outer = stack[-1]
+        main, boiler, named = _place(tag, found.group(3), outer.main, outer.boiler, outer.named)
+        form = made if tag == "form" else outer.form
+        if main and not outer.main and form:
+            pages_in_forms.add(form)
+        stack.append(_Element(tag, made, main, boiler, named, outer.link or tag == "a", form,
+                              outer.block if tag in _INLINE else len(stack)))
         opened[tag] += 1
         made += 1
     flush()
+    _judge_forms(out, pages_in_forms)
     return out
 
 
+def _judge_forms(found: list[Block], pages: set[int]) -> None:
+    """Forms are boilerplate, but for those that the page itself lies in: they open its main part, or hold most of its
+    prose (of its words, if it has no prose)."""
+    prose: Counter[int] = Counter()
+    words: Counter[int] = Counter()
+    for b in found:
+        if not b.boiler:
+            n = b.text.count(" ") + 1
+            words[b.form] += n
+            if n >= PROSE_WORDS and b.text[-1] in ".!?":
+                prose[b.form] += n
+    held = prose or words
+    total = held.total()
+    for b in found:
+        if b.form and b.form not in pages and 2 * held[b.form] <= total:
+            b.boiler = True
+
+
 def gains(found: list[Block]) -> list[float]:
     """The classifier's log-odds of content."""
     has_main = any(b.main and not b.boiler and not b.named for b in found)

@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import random
+import time
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from ratergrid.llm.chat import format_turn, prefix_tree, read_back, read_turn, text_span
@@ -31,6 +33,37 @@ def test_page_without_names_and_broken_pages():
     assert main_text(deep)[0] == long
 
 
+LINE = "A long sentence of the article stands here, with many words that read like prose and nothing else."
+#: Pages of which only LINE is the article.
+KEPT = {
+    "head without end": f"<head><title>T</title><p>{LINE}",
+    "text in a head": f"<head><meta charset=x>{LINE}",
+    "page in a form": f"<body><form action='x'><nav><a href=x>Home</a></nav><p>{LINE}</p><input value=1></form>",
+    "main in a form": f"<form id=all><nav>Go</nav><main><article><p>{LINE}</p></article></main><footer>End.</footer></form>",
+    "hidden": f"<article><p>{LINE}</p><div hidden>{LINE}</div><p hidden>Not this.</p></article>",
+    "comments": f"<article><p>{LINE}</p></article><div id='comments' class='content'><p>{LINE} I think so too.</p></div>",
+    "comment articles": f"<main><article><p>{LINE}</p></article><ol><li><article class='comment'>{LINE}</article></ol></main>",
+    "ad box": f"<article><p>{LINE}</p><div class='ad-box'>Buy it now, it is cheap and very good for you.</div></article>",
+    "compound names": f"<article><p>{LINE}</p><div class='sticky_promo-block'>Buy it now, it is cheap and good.</div></article>",
+    "tags that are not boilerplate": f"<article class='post category-legal tag-privacy comment-count'><p>{LINE}</p></article>",
+    "a real form": f"<p>{LINE}<form><label>Name</label><p>Please tell us what you think of this page.</p></form>",
+    "quote without end": f"<nav><a href='x>Home</a></nav><main><p>{LINE}</p></main>",
+}
+
+
+@pytest.mark.parametrize("case", list(KEPT))
+def test_the_article_and_only_the_article(case):
+    assert main_text(KEPT[case])[0] == LINE
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\">", "<a>", "<script></script ", "<b><p>x</p>y", "<!-- ", "</", "<!", "<p>",
+                                   "<div class='a b'>", "<form>x", "&amp", "<li><b>"])
+def test_a_megabyte_of_broken_markup_is_read_in_linear_time(piece):
+    start = time.perf_counter()
+    main_text(piece * (1_000_000 // len(piece)) + ">")
+    assert time.perf_counter() - start < 15
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.floats(-3, 3), min_size=1, max_size=8), st.randoms())
 def test_cut_is_minimal(costs, rng):
