@@ -18,7 +18,6 @@ from ratergrid.session import stored
 
 #: Counters of a Misra-Gries summary, and the most digests that are ever broadcast.
 COUNTERS = 1024
-_LAST = 2**63 - 1
 
 
 def normalised_digest(text_col: str):
@@ -57,7 +56,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when identical without blanks; NULL counts as empty, and empty texts are equal to each
-    other. The row with the most code points stays, then the smallest id (a NULL id comes last), then, among
+    other. The row with the most code points stays, then the smallest id, in the order of its type (a NULL id comes last), then, among
     rows that repeat an id, the first one read: one row of each group is kept. An empty table gives no rows.
     Other columns, whatever their names, are not read.
     """
@@ -89,10 +88,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _winners(hot: DataFrame, verified: DataFrame) -> DataFrame:
     """The row that stays for each verified digest, by hash aggregates over the longest texts only."""
     longest = hot.join(F.broadcast(verified), "_digest").where(F.col("_chars") == F.col("_most"))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    ids = stored(longest.groupBy("_digest", "group_size", "_most").agg(F.min(order).alias("_id")), "ids")
-    first = longest.select("_digest", "doc_id", "_row", order.alias("_id")).join(
-        F.broadcast(ids), ["_digest", "_id"])
+    ids = stored(longest.groupBy("_digest").agg(F.min("doc_id").alias("_id")), "ids")
+    first = longest.join(F.broadcast(ids), "_digest").where(F.col("doc_id").eqNullSafe(F.col("_id")))
     return first.groupBy("_digest", "group_size").agg(
         F.min("doc_id").alias("keep_id"), F.min("_row").alias("_keep_row"))
 

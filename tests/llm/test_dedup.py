@@ -128,3 +128,13 @@ def test_components(spark):
     got = {r["_node"]: r["_comp"] for r in compose(nodes, connect(df)).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[x] for x in range(100, 140)} == {100}
     assert got[200] == got[150] == 149 and got[999] == 999
+
+
+def test_text_ids_with_frequent_digests(spark):
+    rows = [(f"a{i:03d}", "same words" if i % 2 else f"text {i}") for i in range(60)] + [(None, "same  words"), ("b", None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["group_size"]): r for r in exact_dedup(df, counters=4).collect()}
+    assert got[None, 31]["kept"] and got["a001", 31]["keep_id"] is None  # the longest as written stays, whatever its id
+    same = spark.createDataFrame([r for r in rows if r[1] == "same words"] + [(None, "same words")], "doc_id string, text string")
+    kept = [r for r in exact_dedup(same, counters=4).collect() if r["kept"]]
+    assert [r["doc_id"] for r in kept] == ["a001"] and kept[0]["group_size"] == 31
