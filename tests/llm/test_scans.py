@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -56,6 +57,27 @@ def test_unnamed_token_of_one_owner(spark):
     assert got == {1: [token], 2: [], 3: [token]}
 
 
+def test_a_value_in_many_documents_of_one_owner_is_copied(spark):
+    token = "aB3dE5gH7jK9mN1pQ3sT5"
+    rows = [(i, f"x {token} password=abcdefg{i % 2}x", "en", "a", 0) for i in range(25)]
+    got = {r["doc_id"]: r.asDict() for r in secret_report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == sql(rows, SECRETS_SQL)
+    assert all(token not in r["spans"] and r["n_copied"] == 0 and r["n_live"] == 1 for r in got.values())
+    assert all("owned" not in r["spans"] for r in got.values())
+
+
+def test_very_many_hits_in_one_text(spark):
+    texts = [" ".join(f"password=abcdefgh{i}" for i in range(100_000)), " ".join(f"token=aB3dE5gH7jK9mN1pQ{i}" for i in range(30_000)),
+             " ".join(f"aB3dE5gH7jK9mN1pQ{i:06d}" for i in range(30_000))]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS).repartition(3).cache()
+    df.count()
+    start = time.perf_counter()
+    got = {r["doc_id"]: r for r in scan_secrets(df).selectExpr("doc_id", "n_assign", "size(spans) AS n").collect()}
+    assert got[0]["n_assign"] == 100_000 and got[1]["n"] == 30_000 and got[2]["n"] > 29_900  # some end in 1234
+    assert time.perf_counter() - start < 60
+    df.unpersist()
+
+
 @pytest.mark.parametrize("scan", [scan_secrets, scan_licenses])
 def test_odd_rows(odd, none, scan):
     assert scan(odd).count() == odd.count() and scan(none).count() == 0
