@@ -197,9 +197,8 @@ def _clear_of_base(learned: DataFrame, found: DataFrame) -> DataFrame:
     """Learned spans that overlap no base span of their text; they never overlap each other."""
     base = found.select("_row", F.inline("base")).join(learned.select("_row"), "_row", "left_semi")
     both = learned.withColumn("_learned", F.lit(True)).unionByName(base.withColumn("_learned", F.lit(False)))
-    order = Window.partitionBy("_row").orderBy("start", "_learned")
-    before = F.max(F.when(~F.col("_learned"), F.col("end"))).over(order)
-    after = F.min(F.when(~F.col("_learned"), F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    before = F.max(F.when(~F.col("_learned"), F.col("end"))).over(Window.partitionBy("_row").orderBy("start"))
+    after = F.min(F.when(~F.col("_learned"), F.col("start"))).over(Window.partitionBy("_row").orderBy(F.desc("start")))
     return both.withColumns({"_before": before, "_after": after}).where(
         F.col("_learned") & (F.coalesce("_before", F.lit(0)) <= F.col("start")) & (
             F.col("_after").isNull() | (F.col("_after") >= F.col("end")))).select("_row", "kind", "start", "end", "value")
