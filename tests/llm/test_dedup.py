@@ -138,3 +138,20 @@ def test_text_ids_with_frequent_digests(spark):
     same = spark.createDataFrame([r for r in rows if r[1] == "same words"] + [(None, "same words")], "doc_id string, text string")
     kept = [r for r in exact_dedup(same, counters=4).collect() if r["kept"]]
     assert [r["doc_id"] for r in kept] == ["a001"] and kept[0]["group_size"] == 31
+
+
+@pytest.mark.parametrize("order", ["rising", "shuffled"])
+def test_long_chains_take_few_rounds(spark, monkeypatch, order):
+    import ratergrid.llm.components as C
+
+    written = []
+    keep = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, label: (written.append(label), keep(df, label))[1])
+    names = list(range(2048))
+    if order == "shuffled":
+        random.Random(2).shuffle(names)
+    df = spark.createDataFrame(list(zip(names, names[1:])), "_a long, _b long")
+    maps = connect(df)
+    nodes = spark.createDataFrame([(n,) for n in names], "_node long")
+    assert {r["_comp"] for r in compose(nodes, maps).collect()} == {0}
+    assert len(maps) <= 8 and written.count("jump") <= (13 if order == "rising" else 30)
