@@ -22,6 +22,8 @@ from ratergrid.session import stored
 
 #: Words of a window, plain words it needs for placeholders to be used, and the share of an item's windows.
 WIDTH, PLAIN, COVERAGE = 5, 2, 0.75
+#: An item of fewer words says too little to be looked for inside a longer text.
+SHORT = 3
 #: Bits of the filter that goes to the tasks: its size is fixed, whatever the size of the benchmark.
 FILTER_BITS = 27
 _NUMBERS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
@@ -100,7 +102,7 @@ def windows(text: str, words: WordCache) -> tuple[np.ndarray, np.ndarray, np.nda
 def _rows(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
     """Windows of texts (id, row, text hash, text), those that the filter lets through if there is one.
 
-    With a filter, texts also have word-for-word windows of the lengths that short items have.
+    With a filter, texts also have word-for-word windows of the lengths that items of three and four words have.
     """
     words, bits, widths = WordCache(word_code), None, []
     if marks is not None:
@@ -156,14 +158,14 @@ def _windows_of(df: DataFrame, id_col: str, text_col: str, marks=None) -> DataFr
 
 def _filter_bits(spark: SparkSession, items: DataFrame):
     """A bit for each window of the benchmark: at most 2^FILTER_BITS bits, however many windows there are; and the
-    lengths of its items that are shorter than a window.
+    lengths of its items that are shorter than a window, from ``SHORT`` words on.
 
     More windows than bits let more documents' windows through to the join; the result is the same.
     """
     low = F.col("_key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = items.select(F.shiftright(low, 6).alias("_w"), F.expr("shiftleft(1L, CAST(_key & 63 AS INT))").alias(
         "_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b")).toPandas()
-    widths = sorted(r["_width"] for r in items.where(F.col("_width") < WIDTH).select("_width").distinct().collect())
+    widths = sorted(r["_width"] for r in items.where(F.col("_width").between(SHORT, WIDTH - 1)).select("_width").distinct().collect())
     return spark.sparkContext.broadcast(
         (words["_w"].to_numpy(np.int64), words["_b"].to_numpy(np.int64).view(np.uint64), widths))
 
@@ -175,8 +177,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     An item is found when at least ``coverage`` of its windows occur in the document, word for word or with values that
     are renamed consistently within each alignment. NULL, empty and blank texts on either side match nothing; an item
-    of fewer than five words is found wherever just these words stand, and with other values only where a document
-    has no more words. Rows that repeat are reported again for each
+    of three or four words is found wherever just these words stand, and with other values only where a document
+    has no more words; one of one or two words only where it is the whole document, since such words stand in many
+    texts that have nothing to do with it. Rows that repeat are reported again for each
     row; NULL ids are reported as NULL. If either table is empty the result is. Other columns are not read.
     """
     spark = docs.sparkSession

@@ -88,3 +88,10 @@ def test_a_conflict_costs_only_its_windows(spark):
     got = found(spark, docs, [(1, twice), (2, pair)])
     n, m = len(twice.split()) - 4, len(pair.split()) - 4
     assert (got[1, 1], got[2, 2]) == (((n - 2) / n, True), ((m - 5) / m, True))
+
+
+def test_items_of_one_or_two_words_find_only_themselves(spark):
+    docs = [(1, "The weather in Paris was fine, and New York was cold."), (2, "Paris"), (3, "New York."), (4, "York")]
+    assert found(spark, docs, [(1, "Paris"), (2, "New York")]) == {(2, 1): (1.0, True), (3, 2): (1.0, True)}
+    more = [(5, "So we fly to New York today.")]
+    assert found(spark, docs + more, [(3, "fly to New York")]) == {(5, 3): (1.0, True)}
