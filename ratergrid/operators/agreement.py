@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratergrid.dims import inline_rows, literal, quoted
@@ -10,6 +14,8 @@ from ratergrid.operators.alignment import paired_scores
 from ratergrid.schemas import VALID_SCORES
 
 PAIR = ["rater_a", "rater_b", "variable"]
+#: Most bytes of pair matrices that a task holds at once.
+GRAM_BYTES = 64 << 20
 
 
 def contingency(patterns: DataFrame, pairs: list[tuple[str, str]],
@@ -31,6 +37,63 @@ def contingency_of_grid(grid: DataFrame, pairs: list[tuple[str, str]],
     return contingency_of(paired_scores(grid, pairs, keep=list(by)), ["rater_a", "rater_b", *by])
 
 
+def contingency_dense(grid: DataFrame, raters: list[str], by: list[str] = ("variable",),
+                      values: list[int] = VALID_SCORES, most_bytes: int = GRAM_BYTES) -> DataFrame:
+    """Joint counts of all pairs of ``raters``, in their order, from a grid, for scores on the scale.
+
+    A task adds up, per group of ``by``, the matrix of how often each (rater, score) meets each other one: a product of
+    0-1 matrices for each batch. No pair of scores is ever a row; what moves is (raters x scores)^2 / 2 rows a task and
+    group at most. Groups beyond ``most_bytes`` of matrices are handed on and summed with the rest.
+    """
+    kinds = [f"{quoted(c)} {grid.schema[c].dataType.simpleString()}" for c in by]
+    parts = grid.select(*by, *[F.col(quoted(r)) for r in raters]).mapInArrow(
+        lambda batches: _gram(batches, len(by), len(raters), list(values), most_bytes),
+        ", ".join([*kinds, "_a int, _b int, a int, b int, n long"]))
+    names = F.array(*[F.lit(r) for r in raters])
+    counts = parts.groupBy("_a", "_b", *by, "a", "b").agg(F.sum("n").alias("n"))
+    return counts.select(names[F.col("_a")].alias("rater_a"), names[F.col("_b")].alias("rater_b"), *by, "a", "b", "n")
+
+
+def _gram(batches: Iterator[pa.RecordBatch], n_by: int, raters: int, values: list[int],
+          most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (group, rater numbers, scores, n) of the counts of all batches of a task."""
+    k = len(values)
+    first, second = np.triu_indices(raters, 1)
+    cell_a = (first[:, None] * k + np.repeat(np.arange(k), k)).ravel()
+    cell_b = (second[:, None] * k + np.tile(np.arange(k), k)).ravel()
+    sums: dict[tuple, np.ndarray] = {}
+    kinds: list[pa.DataType] = []
+
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        for group, matrix in sums.items():
+            n = matrix[cell_a, cell_b]
+            seen = np.flatnonzero(n)
+            a, b = cell_a[seen], cell_b[seen]
+            scores = np.array(values, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([x] * len(seen), kind) for x, kind in zip(group, kinds)],
+                 *[pa.array(c.astype(np.int32)) for c in (a // k, b // k, scores[a % k], scores[b % k])], pa.array(n[seen])],
+                names=[*names, "_a", "_b", "a", "b", "n"])
+        sums.clear()
+
+    for batch in batches:
+        names, kinds = batch.schema.names[:n_by], [batch.schema.field(i).type for i in range(n_by)]
+        scores = np.stack([batch.column(n_by + r).to_numpy(zero_copy_only=False).astype(float) for r in range(raters)], axis=1)
+        marks = np.zeros((batch.num_rows, raters * k), np.float32)
+        for i, v in enumerate(values):
+            marks[:, i::k] = scores == v
+        keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_by)])) if n_by else [()] * batch.num_rows
+        number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+        of = np.array([number[key] for key in keys])
+        for group, g in number.items():
+            part = marks[of == g]
+            if group not in sums and (len(sums) + 1) * (raters * k) ** 2 * 8 > most_bytes:
+                yield from handed_on()
+            sums[group] = sums.get(group, 0) + (part.T @ part).astype(np.int64)
+    if sums:
+        yield from handed_on()
+
+
 def contingency_of(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Joint counts from a table that already holds score pairs (a, b)."""
     return pairs.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))

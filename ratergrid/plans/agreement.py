@@ -120,7 +120,7 @@ def _(spark, sf):
     ratings = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("unit_id"), F.lit("V1").alias("variable"), rater.alias("rater"),
         score.alias("score"))
-    counts = A.contingency_of_grid(L.score_grid(ratings, MANY), L.rater_pairs(MANY))
+    counts = A.contingency_dense(L.score_grid(ratings, MANY), MANY)
     return A.pair_metrics(counts).select(*BY, "n", "rho", "mad", "pct_exact")
 
 

@@ -350,3 +350,20 @@ def test_contingency_of_a_grid_equals_that_of_patterns(spark):
     pairs = L.rater_pairs(raters)
     rows = lambda df: sorted(map(tuple, df.select("rater_a", "rater_b", "variable", "a", "b", "n").collect()))
     assert rows(A.contingency_of_grid(grid, pairs)) == rows(A.contingency(L.pattern_counts(grid, raters), pairs))
+
+
+@pytest.mark.parametrize("most_bytes", [1, 64 << 20])
+def test_dense_pair_counts_equal_those_of_a_grid(spark, most_bytes):
+    """Missing and off-scale scores, several groups, NULL group values, and matrices handed on early."""
+    rng = random.Random(6)
+    raters = [f"r {i}" for i in range(6)]
+    rows_in = [(i, rng.choice(["V1", "V2", None]), rng.randrange(3), *[rng.choice([1, 2, 3, None]) for _ in raters]) for i in range(400)]
+    schema = "unit_id int, variable string, g int, " + ", ".join(f"`{r}` int" for r in raters)
+    grid = spark.createDataFrame(rows_in, schema).repartition(3)
+    rows = lambda df: {tuple(map(str, r)) for r in df.select("rater_a", "rater_b", "variable", "g", "a", "b", "n").collect()}
+    want = rows(A.contingency_of_grid(grid, L.rater_pairs(raters), ["variable", "g"]))
+    assert rows(A.contingency_dense(grid, raters, ["variable", "g"], most_bytes=most_bytes)) == want
+    off = grid.withColumn("r 0", F.lit(9))
+    assert A.contingency_dense(off, raters).where("rater_a = 'r 0'").count() == 0
+    assert A.contingency_dense(grid, raters, []).groupBy("rater_a", "rater_b").count().count() == 15
+    assert A.contingency_dense(grid.limit(0), raters).count() == 0
