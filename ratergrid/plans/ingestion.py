@@ -109,9 +109,9 @@ def _(spark, sf):
     """A second run over everything adds only what the first run did not store."""
     path = scratch_path(spark, "resume")
     labels = table(spark, sf, "labels")
-    S.append_annotations(spark, labels.where("quality = 1"), path, ["doc_id"])
-    S.append_annotations(spark, labels, path, ["doc_id"])
-    return S.load_existing(spark, path)
+    S.append_keyed(spark, labels.where("quality = 1"), path, ["doc_id"])
+    S.append_keyed(spark, labels, path, ["doc_id"])
+    return S.read_keyed(spark, path)
 
 
 @query("append_missing_keys", """SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 5 <> 0 UNION ALL
@@ -122,8 +122,8 @@ def _(spark, sf):
     path = scratch_path(spark, "resume")
     labels = table(spark, sf, "labels").withColumn("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")))
     for _ in range(3):
-        S.append_annotations(spark, labels, path, ["doc_id"])
-    return S.load_existing(spark, path)
+        S.append_keyed(spark, labels, path, ["doc_id"])
+    return S.read_keyed(spark, path)
 
 
 @query("require_columns", _DOC_POSTS)

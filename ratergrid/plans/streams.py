@@ -48,12 +48,13 @@ def _(spark, sf):
 @query("stream_annotation_log", with_ctes(FIRST_VALID, """SELECT unit_id, rater, attempt, CAST(s1 AS INT) AS V1, t1 AS V1_reason,
   CAST(s2 AS INT) AS V2, t2 AS V2_reason, CAST(s1 + s2 AS INT) AS total_score FROM first_ok"""))
 def _(spark, sf):
-    """The log arrives as one file per attempt, later attempts first; the last file under a new checkpoint."""
+    """The log arrives as one file per attempt, later attempts first; the last file under a new checkpoint. It is
+    compacted after the second one, so the read takes the compacted rows and one batch."""
     src, out, state = (scratch_path(spark, n) for n in ("log", "annotations", "state"))
     log = raw_responses(spark, sf)
     for folder, attempts in (("a", (3, 1)), ("b", (2,))):
         for attempt in attempts:
             log.where(F.col("attempt") == attempt).write.mode("append").parquet(f"{src}/{folder}")
             run_annotation_log(stream_files(spark, f"{src}/{folder}", log.schema), out, f"{state}/{folder}",
-                               RESPONSE_VARS)
+                               RESPONSE_VARS, compact=attempt == 1)
     return read_annotation_log(spark, out, RESPONSE_VARS)

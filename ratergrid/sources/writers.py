@@ -43,17 +43,26 @@ def load_existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def one_per_key(new: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that repeat a key, the one whose other columns come first in their order."""
+    rest = [c for c in new.columns if c not in keys]
+    return new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*new.columns)
+
+
+def without_keys(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key ``known`` lacks; NULL is a key value like any other."""
+    held = known.select(*[F.col(k).alias(f"_stored{i}") for i, k in enumerate(keys)])
+    return rows.join(held, [F.col(k).eqNullSafe(F.col(f"_stored{i}")) for i, k in enumerate(keys)], "left_anti")
+
+
 def append_annotations(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """Append one row for each key that is not stored yet; NULL is a key value like any other.
+    """Append one row for each key that is not stored yet to a plain folder; see ``append_keyed`` for a table that is
+    read in part and outlives broken and concurrent appends.
 
     Of rows that repeat a key, the one whose other columns come first in their order is taken.
     """
-    rest = [c for c in new.columns if c not in keys]
-    fresh = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(
-        *keys, "_row.*").select(*new.columns)
+    fresh = one_per_key(new, keys)
     existing = load_existing(spark, path)
     if existing is not None:
-        stored = existing.select(*[F.col(k).alias(f"_stored{i}") for i, k in enumerate(keys)])
-        same = [F.col(k).eqNullSafe(F.col(f"_stored{i}")) for i, k in enumerate(keys)]
-        fresh = fresh.join(stored, same, "left_anti")
+        fresh = without_keys(fresh, existing, keys)
     fresh.write.mode("append").parquet(path)

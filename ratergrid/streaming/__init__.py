@@ -1,4 +1,5 @@
-from ratergrid.streaming.annotation_log import read_annotation_log, run_annotation_log
+from ratergrid.streaming.annotation_log import (compact_annotation_log, read_annotation_log,
+                                                run_annotation_log)
 from ratergrid.streaming.ingest import run_ingest, stream_files, stream_progress
 
-__all__ = ["read_annotation_log", "run_annotation_log", "run_ingest", "stream_files", "stream_progress"]
+__all__ = ["compact_annotation_log", "read_annotation_log", "run_annotation_log", "run_ingest", "stream_files", "stream_progress"]
