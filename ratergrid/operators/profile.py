@@ -131,8 +131,8 @@ def all_match(df: DataFrame, **conditions: Column) -> DataFrame:
 def model_coverage(df: DataFrame, model_col: str = "rater") -> DataFrame:
     """Rows per model and the number of models present."""
     per_model = df.groupBy(model_col).agg(F.count(F.lit(1)).alias("n_rows"))
-    present = per_model.agg(F.count(F.col(model_col)).alias("n")).scalar()
-    return per_model.withColumn("n_models", present)
+    # the window runs over one row per model
+    return per_model.withColumn("n_models", F.count(F.col(model_col)).over(Window.partitionBy()))
 
 
 def score_counts(ratings: DataFrame, by: list[str] = ("rater", "variable")) -> DataFrame:

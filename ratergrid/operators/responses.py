@@ -21,6 +21,8 @@ MAX_ATTEMPTS = 10
 RETRY_WAIT = 15
 
 KEY = ["unit_id", "rater"]
+# What can be wrong with a response.
+ERROR_CODES = ["provider", "parse", "missing_variable", "invalid_score", "missing_reason"]
 #: What a call is made with, and how many finished calls, or seconds of them, are handed on together.
 CALL_COLS = [*KEY, "text", "post_type", "prompt", "system_prompt"]
 HAND_ON, HAND_ON_SECONDS = 500, 5.0
@@ -128,14 +130,24 @@ def first_attempt(flat: DataFrame, variables: list[str] = SCORE_COLS, keys: list
 
 
 def failed_keys(responses: DataFrame, keys: list[str] = KEY,
-                max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Keys without a valid attempt, with the number of attempts and the last error."""
-    last = F.max(F.struct("attempt", "error_code", "error_variable")).alias("last")
+                max_attempts: int = MAX_ATTEMPTS, variables: list[str] = SCORE_COLS) -> DataFrame:
+    """Keys without a valid attempt, with the number of attempts and the last error.
+
+    Attempt, error and variable travel as one number, which a hash aggregate can hold. Rows that repeat an attempt
+    differ at most in their error: the one that is last by code, then by variable, counts.
+    """
+    codes, names = sorted(ERROR_CODES), sorted(variables)
+    code = F.coalesce(*[F.when(F.col("error_code") == c, F.lit(i)) for i, c in enumerate(codes, 1)], F.lit(0))
+    name = F.coalesce(*[F.when(F.col("error_variable") == v, F.lit(i)) for i, v in enumerate(names, 1)], F.lit(0))
+    width = len(names) + 1
+    last = F.max((F.col("attempt").cast("bigint") * (len(codes) + 1) + code) * width + name).alias("_last")
+    listed = lambda items, i: F.try_element_at(F.array(*[F.lit(x) for x in items]), F.nullif(i.cast("int"), F.lit(0)))
     return (responses.where(F.col("attempt") <= max_attempts).groupBy(*keys)
             .agg(F.max("valid").alias("any_valid"), F.count(F.lit(1)).alias("attempts"), last)
             .where(~F.col("any_valid"))
-            .select(*keys, "attempts", F.col("last.error_code").alias("last_error"),
-                    F.col("last.error_variable").alias("last_variable")))
+            .select(*keys, "attempts",
+                    listed(codes, F.floor(F.col("_last") / width) % (len(codes) + 1)).alias("last_error"),
+                    listed(names, F.col("_last") % width).alias("last_variable")))
 
 
 def retry_wait_seconds(responses: DataFrame, keys: list[str] = KEY,

@@ -117,8 +117,8 @@ _CORE = {"full_units": f"SELECT unit_id, variable FROM fx_ratings WHERE {_IN_STU
                        "HAVING COUNT(DISTINCT rater) = 5"}
 
 
-@query("common_core", with_ctes(_CORE, f"""SELECT r.unit_id, r.variable, r.rater, r.score FROM fx_ratings r
-  JOIN full_units c ON c.unit_id = r.unit_id AND c.variable = r.variable WHERE {_IN_STUDY}"""))
+@query("common_core", with_ctes({"counted": f"""SELECT *, COUNT(*) OVER (PARTITION BY unit_id, variable) AS raters
+  FROM fx_ratings WHERE {_IN_STUDY}"""}, "SELECT unit_id, variable, rater, score FROM counted WHERE raters = 5"))
 def _(spark, sf):
     core = L.common_core(line_grid(spark, sf, STUDY), STUDY)
     return L.grid_to_ratings(core, STUDY).select("unit_id", "variable", "rater", "score")
@@ -154,13 +154,23 @@ def _(spark, sf):
         order.alias("pair_ord"), "rater_a", "rater_b", "variable", "n_units")
 
 
-@query("paired_scores", with_ctes({}, "SELECT unit_id, variable, rater_a, rater_b, a, b FROM fx_pairs"))
+def _pairs_sql(source: str, rater: str, pairs: list[tuple[str, str]]) -> str:
+    """Score pairs from one pivot per unit, without joining the ratings with themselves."""
+    names = sorted({r for pair in pairs for r in pair})
+    cells = ", ".join(f"MAX(CASE WHEN {rater} = '{r}' THEN score END) AS {r}" for r in names)
+    rows = ", ".join(f"{{'rater_a': '{x}', 'rater_b': '{y}', 'a': {x}, 'b': {y}}}" for x, y in pairs)
+    return with_ctes({"pivoted": f"SELECT unit_id, variable, {cells} FROM {source} GROUP BY unit_id, variable",
+                      "fanned": f"SELECT unit_id, variable, UNNEST([{rows}]) AS p FROM pivoted"},
+                     """SELECT unit_id, variable, p.rater_a AS rater_a, p.rater_b AS rater_b, p.a AS a, p.b AS b FROM fanned
+  WHERE p.a IS NOT NULL AND p.b IS NOT NULL""")
+
+
+@query("paired_scores", _pairs_sql("fx_ratings", "rater", L.rater_pairs(RATERS)))
 def _(spark, sf):
     return L.paired_scores(line_grid(spark, sf), L.rater_pairs(RATERS))
 
 
-@query("baseline_compare", with_ctes({}, """SELECT unit_id, variable, rater_a, rater_b, a, b FROM fx_condition_pairs
-  WHERE rater_a = 'neutral'"""))
+@query("baseline_compare", _pairs_sql("fx_conditions", "condition", L.baseline_pairs(BASELINE, CONDITIONS)))
 def _(spark, sf):
     return L.paired_scores(condition_grid(spark, sf), L.baseline_pairs(BASELINE, CONDITIONS))
 

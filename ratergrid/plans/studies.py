@@ -119,7 +119,7 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
     responses = Q.read_responses(made, variables, error="error")
     store(responses)
     mark_stored(spark, log, None, run_id)
-    return Q.failed_keys(responses, max_attempts=max_attempts)
+    return Q.failed_keys(responses, max_attempts=max_attempts, variables=variables)
 
 
 def _as_raters(df: DataFrame, rater: Column, id_col: str, keep: list[str] = ()) -> DataFrame:

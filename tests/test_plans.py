@@ -60,5 +60,14 @@ def test_ratings_shrink_before_they_move(spark):
         assert "partial_" in below
 
 
+def test_failed_keys_are_found_by_hash_aggregates(spark):
+    text = plan(spark, "failed_keys")
+    assert "SortAggregate" not in text and text.count("HashAggregate") == 2
+
+
+def test_model_coverage_reads_its_input_once(spark):
+    assert plan(spark, "model_coverage").count("FileScan") == 1
+
+
 def test_every_query_has_sql():
     assert set(REGISTRY) <= set(entry.queries()) and set(REGISTRY) <= set(entry.oracle_sql())
