@@ -36,7 +36,12 @@ def intra_rater_table(patterns: DataFrame, first: str, second: str) -> DataFrame
 
 def inter_rater_table(patterns: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """rho, p and MAD for every pair and variable, numbered in pair order."""
-    m = with_p_value(pair_metrics(contingency(patterns, pairs)))
+    return inter_rater_table_of(contingency(patterns, pairs), pairs)
+
+
+def inter_rater_table_of(joint: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The same from joint counts of the pairs."""
+    m = with_p_value(pair_metrics(joint))
     order = {f"{a} vs {b}": i for i, (a, b) in enumerate(pairs, 1)}
     return m.select(
         map_values(_pairing(), order).alias("pair_ord"), "rater_a", "rater_b",

@@ -16,18 +16,23 @@ from ratergrid.dims import map_values, quoted, small_table
 from ratergrid.functions.posts import ENGAGEMENT_PROPORTIONS, ENGAGEMENT_TIERS
 from ratergrid.operators import alignment as L, disagreement as D, posts as P, reports as R
 from ratergrid.operators import responses as Q, sampling as Z, workplan as W
-from ratergrid.operators.agreement import agreement_breakdown, contingency
+from ratergrid.operators.agreement import (agreement_breakdown, contingency, contingency_dense,
+                                            pair_metrics)
 from ratergrid.operators.hygiene import (annotation_id, as_scores, dedupe_latest, drop_legacy_rater,
                                          invalid_report, invalid_rows, missing_ids, validity_filter)
 from ratergrid.operators.profile import (pattern_score_counts, score_distribution,
                                          score_proportions, tier_composition)
 from ratergrid.schemas import REQUIRED_POST_COLS, SCORE_COLS, annotation_columns
 from ratergrid.session import stored
-from ratergrid.sources import (append_annotations, load_existing, min_rows_guard, refuse_repeats,
-                               require_columns, sink_csv, sink_parquet_typed)
+from ratergrid.sources import (append_annotations, append_keyed, load_existing, min_rows_guard, read_keyed,
+                               refuse_repeats, require_columns, sink_csv, sink_parquet_typed)
 from ratergrid.streaming.call_log import BATCH_CALLS, logged_calls, mark_stored, unread_log
 
 
+#: Raters from which on pairs are counted densely.
+DENSE_FROM = 10
+
+
 def _pool(source: DataFrame, language: str, start: str, end: str, tiers: dict[str, float | None],
           limit: tuple[int, str, str] | None) -> DataFrame:
     if limit:
@@ -72,15 +77,18 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
                    prompts: list[tuple], system_prompt: str | dict[str, str],
                    scorer: Callable[[str, str, str, str], str], session: str,
                    variables: list[str] = SCORE_COLS, max_attempts: int = Q.MAX_ATTEMPTS,
-                   tasks: int | None = None, batch_calls: int = BATCH_CALLS) -> DataFrame:
+                   tasks: int | None = None, batch_calls: int = BATCH_CALLS,
+                   keyed: bool = False) -> DataFrame:
     """Annotate the (post, label) keys that ``out`` lacks and append them; returns the failed keys.
 
     ``labels`` are models, prompt variants or conditions. Responses go to ``log`` in batches of ``batch_calls``,
     before they are read. A run first stores what earlier, unfinished runs have logged, so a run that was stopped is
     gone on with and repeats one batch of calls at most; logs that were stored are marked and not read again.
-    ``system_prompt`` is one text, or one per condition; ``tasks`` calls run at a time.
+    ``system_prompt`` is one text, or one per condition; ``tasks`` calls run at a time. With ``keyed``, ``out`` is a
+    keyed table (``read_keyed``), for outputs that grow over many runs; otherwise a plain Parquet folder.
     """
     spark = posts.sparkSession
+    append, load = (append_keyed, read_keyed) if keyed else (append_annotations, load_existing)
     posts = require_columns(posts, REQUIRED_POST_COLS).select(*REQUIRED_POST_COLS)
     posts = posts.withColumn("tweet_id", F.col("tweet_id").cast("string"))
 
@@ -95,14 +103,13 @@ def annotation_run(posts: DataFrame, out: str, log: str, labels: list[dict], lab
             "annotation_session": F.lit(session)})
         order = [c for c in annotation_columns(variables) if c in rows.columns]
         extra = [c for c in labels[0] if c not in order]
-        append_annotations(spark, rows.select(*order, *extra).where(F.col(label_col).isNotNull()), out,
-                           ["tweet_id", label_col])
+        append(spark, rows.select(*order, *extra).where(F.col(label_col).isNotNull()), out, ["tweet_id", label_col])
 
     earlier = unread_log(spark, log)
     if earlier is not None:
         store(Q.read_responses(earlier, variables, error="error"))
         mark_stored(spark, log, earlier)
-    existing = load_existing(spark, out)
+    existing = load(spark, out)
     work = (W.work_plan_cross(posts, labels) if existing is None
             else W.remaining_work(posts, labels, existing, "tweet_id", label_col))
     if "prompt_variant" not in work.columns:
@@ -152,14 +159,15 @@ def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
                       model_col: str = "llm_name_version", order_cols: list[str] = (),
                       validate_models: bool = True, legacy: list[str] = (),
                       human_order_cols: list[str] = (),
-                      cases: list[str] = ()) -> dict[str, DataFrame]:
+                      cases: list[str] = (), dense_from: int = DENSE_FROM) -> dict[str, DataFrame]:
     """Retest and model agreement on the posts every rater scored.
 
     The models are those that occur in ``models``, but for ``legacy`` versions; ``display`` names some of
     them and puts these first. With order columns the latest of repeated rows counts; without, a
     repeated (post, rater) is an error. What was left out is among the tables: ``invalid_rows``,
     ``invalid_report``, ``missing_ids`` (posts of the first rating that the second lacks) and
-    ``model_coverage``. ``cases`` lists posts whose scores are returned side by side.
+    ``model_coverage``. ``cases`` lists posts whose scores are returned side by side. From ``dense_from`` raters on,
+    patterns would be as many as posts: pairs are then counted densely, and the rest is taken from the posts.
     """
     models = drop_legacy_rater(models, list(legacy), model_col) if legacy else models
     names = present_models(models, model_col, display)
@@ -174,12 +182,15 @@ def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
     if not validate_models:
         annotations = annotations.unionByName(machines)
     core = stored(L.common_core(L.score_grid_wide(annotations, raters), raters), "core")
-    patterns = stored(L.pattern_counts(core, raters), "patterns")
+    dense = len(raters) >= dense_from
+    patterns = (core.withColumn("n", F.lit(1).cast("bigint")) if dense
+                else stored(L.pattern_counts(core, raters), "patterns"))
     subsets = L.study_subsets(list(humans), list(names.values()), short)
     groups = {"all": raters, "models": list(names.values()), "humans": list(humans)}
     totals = stored(D.unit_totals(L.grid_to_ratings(core, raters)), "totals")
     spread = D.spread_map(totals)
     pairs = L.study_pairs(list(humans), list(names.values()))
+    joint = stored(contingency_dense(core, raters) if dense else contingency(patterns, pairs), "pairs")
     drifts = D.drift_values(contingency(patterns, [humans]), ["variable"])
     diff = D.total_differences(totals, *humans)
     counts = pattern_score_counts(patterns, raters)
@@ -195,9 +206,10 @@ def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
         machines.groupBy("rater").agg(F.count(F.lit(1)).alias("n_rows")), "rater", "left")
     out = {
         "intra_annotator": R.intra_rater_table(patterns, *humans),
-        "inter_annotator": R.inter_rater_table(patterns, pairs),
+        "inter_annotator": R.inter_rater_table_of(joint, pairs),
+        "agreement_matrix": R.agreement_matrix(pair_metrics(joint), raters),
         "krippendorff_alpha": R.alpha_subset_table(patterns, subsets),
-        "agreement_breakdown": agreement_breakdown(contingency(patterns, pairs)),
+        "agreement_breakdown": agreement_breakdown(joint),
         "score_drift": D.drift_table(wide, *humans),
         "drift_counts": D.drift_counts(drifts),
         "drift_quantiles": D.drift_quantiles(drifts),

@@ -367,3 +367,21 @@ def test_dense_pair_counts_equal_those_of_a_grid(spark, most_bytes):
     assert A.contingency_dense(off, raters).where("rater_a = 'r 0'").count() == 0
     assert A.contingency_dense(grid, raters, []).groupBy("rater_a", "rater_b").count().count() == 15
     assert A.contingency_dense(grid.limit(0), raters).count() == 0
+
+
+def test_a_study_counts_pairs_densely_with_the_same_tables(spark):
+    rng = random.Random(9)
+    rows_of = lambda: [(i, *[rng.choice([1, 2, 3]) for _ in SCORE_COLS]) for i in range(40)]
+    make = lambda: spark.createDataFrame(rows_of(), "tweet_id long, " + ", ".join(f"{v} int" for v in SCORE_COLS))
+    h1, h2 = make(), make()
+    models = make().withColumn("llm_name_version", F.lit("a")).unionByName(make().withColumn("llm_name_version", F.lit("b")))
+    sparse = consistency_study(h1, h2, models, {})
+    dense = consistency_study(h1, h2, models, {}, dense_from=3)
+    assert set(sparse) == set(dense)
+    for name in sparse:
+        rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+        assert dense[name].columns == sparse[name].columns, name
+        for x, y in zip(rows(dense[name]), rows(sparse[name]), strict=True):
+            assert all(a == (pytest.approx(b) if isinstance(b, float) else b) for a, b in zip(x, y)), name
+    matrix = {(r["variable"], r["row"]): r for r in dense["agreement_matrix"].collect()}
+    assert len(matrix) == 8 * 4 and matrix["V1", "a"]["a"] == 1.0 and matrix["V1", "a"]["b"] == matrix["V1", "b"]["a"]

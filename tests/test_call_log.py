@@ -73,3 +73,13 @@ def test_batches_are_folders_and_nothing_to_do_is_nothing(spark, tmp_path):
     assert unread_log(spark, log).count() == 0
     assert logged_calls(work.limit(0), counting_scorer(tmp_path), log, "r2").count() == 0
     assert len(calls_made(tmp_path)) == 50
+
+
+def test_a_run_may_keep_a_keyed_table(spark, tmp_path):
+    from ratergrid.sources import read_keyed
+
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    for n in (5, 9, 9):
+        annotation_run(posts_df(spark, n), out, log, [{"prompt_variant": "A"}], "prompt_variant", PROMPTS, "system",
+                       counting_scorer(tmp_path), "s", keyed=True)
+    assert read_keyed(spark, out).count() == 9 and len(calls_made(tmp_path)) == 9
