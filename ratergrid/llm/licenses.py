@@ -26,8 +26,6 @@ _YEAR = r"(?:[0-9]{4}|[\[<{(]?(?i:year|yyyy)\b)"
 #: A line that states a copyright (a sign, a year or a name follows), with the line break before it.
 COPYRIGHT_LINE = (r"(^|\n)[ \t#*/;-]*(?:(?i:copyright)[ \t:]*(?:(?i:\(c\))|©|" + _YEAR + r"|(?i:by[ \t]+)?" + _NAME + r")|(?:(?i:\(c\))|©)"
                   r"[ \t]*(?:(?i:copyright)\b" + _PROSE + "|" + _YEAR + "|" + _NAME + r")|(?i:all rights reserved))[^\n]*")
-#: The line as the SQL states it: any that begins so. It differs on wrapped prose, which the given tables do not have.
-SQL_COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|all rights reserved)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 #: Words one of which every known text has; lines without any are not looked up.
 MARKS = "licens|permission|public domain"
@@ -115,16 +113,35 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: What COPYRIGHT_LINE says of a line, for an engine without look-ahead: patterns one of which must match, each with one
+#: that must not.
+_START = r"^[ \t#*/;-]*"
+_SIGN = r"(?:(?i:\(c\))|©)"
+_PROSE_WORD = _PROSE.removeprefix("(?!").removesuffix(")")
+_NAME_LINE = _NAME.removeprefix(_PROSE).replace("*+", "*").replace("++", "+").replace("(?!(?i:all rights reserved))", "").replace(
+    r"(?=\n|\z)", "$")
+SQL_COPYRIGHT_LINES = [
+    (rf"{_START}(?i:copyright)[ \t:]*(?:{_SIGN}|{_YEAR})", None),
+    *[(_START + lead + _NAME_LINE, _START + lead + _PROSE_WORD) for lead in (
+        r"(?i:copyright)[ \t:]*", r"(?i:copyright)[ \t:]*(?i:by[ \t]+)", rf"{_SIGN}[ \t]*")],
+    (rf"{_START}{_SIGN}[ \t]*(?:(?i:copyright)\b|{_YEAR})", None),
+    (rf"{_START}(?i:all rights reserved)", None),
+]
+
+
 def _canonical_sql(expr: str) -> str:
-    out = f"regexp_replace(lower({expr}), {_literal(SQL_COPYRIGHT_LINE)}, '\\1', 'g')"
+    stated = " OR ".join(f"(regexp_matches(x, {_literal(yes)})" + (f" AND NOT regexp_matches(x, {_literal(no)}))" if no else ")")
+                         for yes, no in SQL_COPYRIGHT_LINES)
+    out = f"lower(array_to_string(list_filter(string_split({expr}, chr(10)), lambda x: NOT ({stated})), chr(10)))"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_literal(old)}, {_literal(new)})"
     return f"sha256(trim(regexp_replace({out}, {_literal(OTHER)}, ' ', 'g')))"
 
 
-# Only ``KNOWN``: it holds where no document is a whole licence of ``license_digests``.
-LICENSES_SQL = f"""WITH k AS (SELECT {_canonical_sql('t')} AS digest, MIN(id) AS license_id FROM (VALUES
-  {', '.join(f'({_literal(i)}, {_literal(t)})' for i, t in KNOWN)}) v(id, t) GROUP BY 1),
+LICENSES_SQL = f"""WITH k AS MATERIALIZED (SELECT digest, MIN(id) AS license_id FROM (
+  SELECT id, {_canonical_sql('t')} AS digest FROM (VALUES {', '.join(f'({_literal(i)}, {_literal(t)})' for i, t in KNOWN)}) v(id, t)
+  UNION ALL SELECT id, digest FROM (VALUES {', '.join(f"('{i}', '{d}')" for i, all_ in DIGESTS.items() for d in all_.split())})
+    w(id, digest)) GROUP BY digest),
 d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
 w AS (SELECT doc_id, {_canonical_sql('t')} AS text_digest FROM d),
 l AS (SELECT doc_id, {_canonical_sql('line')} AS digest FROM (SELECT doc_id, UNNEST(string_split(t, chr(10))) AS line FROM d)

@@ -122,3 +122,28 @@ def test_passages_of_long_and_odd_texts():
     x, doc = (np.concatenate(z) for z in zip(*bags(pa.array([t or "" for t in texts]))))
     assert np.bincount(doc).tolist() == [1, 1, 1, 3, 1, 1] and np.isfinite(x).all()
     assert P.SLICE >= 1 << 16
+
+
+def test_pair_sum_against_all_pairs():
+    """The machine's fast sum over interactions is the sum over all pairs of terms, written out."""
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine({i: i for i in range(9)}, 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    for size in range(10):
+        terms = sorted(rng.choice(9, size, replace=False).tolist())
+        want = 0.3 + sum(machine.weights[i] for i in terms) + sum(
+            float(machine.vectors[i] @ machine.vectors[j]) for i in terms for j in terms if i < j)
+        assert machine.logit(terms) == pytest.approx(want)
+
+
+def test_scores_against_all_pairs(spark, corpus):
+    """Scores of a fitted machine over a table are those of the explicit sums over each text's known terms."""
+    docs, labels = corpus
+    machine = toxicity.fit_toxicity(docs, labels)
+    terms = toxicity.Terms(machine.index)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id BETWEEN 1 AND 120").collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, machine).where("doc_id BETWEEN 1 AND 120").collect()}
+    for doc, text in texts.items():
+        of = terms.of(text)
+        logit = machine.bias + sum(float(machine.weights[i]) for i in of) + sum(
+            float(machine.vectors[i] @ machine.vectors[j]) for k, i in enumerate(of) for j in of[:k])
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -30, 30))), abs=1e-5)

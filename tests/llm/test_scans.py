@@ -112,6 +112,7 @@ def test_wrapped_licences_keep_their_prose(spark):
     got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
     want = ["ISC", "ISC", "MIT"] + ["ISC"] * (len(texts) - 5) + [None, None]
     assert [got[i]["license_id"] for i in range(len(texts))] == want
+    assert {i: r.asDict() for i, r in got.items()} == sql(rows, LICENSES_SQL)
     empty = hashlib.sha256(b"").hexdigest()
     assert empty not in (got[len(texts) - 2]["text_digest"], got[len(texts) - 1]["text_digest"])
 
@@ -146,8 +147,9 @@ OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
     shared = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
     texts += [(p.read_text(), i) for n, i in shared.items() if (p := Path("/usr/share/common-licenses", n)).exists()]
     rows = [(i, t, None, None, None) for i, (t, _) in enumerate(texts)]
-    got = {r["doc_id"]: r["license_id"] for r in scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
-    assert [got[i] for i in range(len(texts))] == [w for _, w in texts]
+    got = {r["doc_id"]: r.asDict() for r in scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i]["license_id"] for i in range(len(texts))] == [w for _, w in texts]
+    assert got == sql(rows, LICENSES_SQL)
 
 
 def test_spread_within_one_owner(spark):
