@@ -19,7 +19,7 @@ from ratergrid.llm.passages import FEATURES, bags
 from ratergrid.llm.sample import labelled_texts
 
 HIDDEN, GATE = 16, 8
-#: Bounds of the fit: labelled documents read, and passages of one of them (longer ones are not fitted on).
+#: Bounds of the fit: labelled documents read, and passages of one of them (of a longer one as many are taken, evenly spread).
 SAMPLE_ROWS, SAMPLE_PASSAGES = 6000, 400
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
@@ -98,24 +98,24 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 60,
     return model
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch], passages: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = batch.column(0).to_pylist()
         for x, doc in bags(batch.column(1)):
             found, first, size = np.unique(doc, return_index=True, return_counts=True)
-            fits = size <= SAMPLE_PASSAGES
+            picks = [a + (np.arange(n) if n <= passages else np.linspace(0, n - 1, passages).astype(int))
+                     for a, n in zip(first, size)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([labels[i] for i in found[fits]], pa.int32()),
-                 pa.array([x[a:a + n].tobytes() for a, n in zip(first[fits], size[fits])], pa.binary())],
+                [pa.array([labels[i] for i in found], pa.int32()), pa.array([x[p].tobytes() for p in picks], pa.binary())],
                 names=["_label", "_passages"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS,
-                id_col: str = "doc_id", text_col: str = "text") -> Attention:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
+                id_col: str = "doc_id", text_col: str = "text", passages: int = SAMPLE_PASSAGES) -> Attention:
+    """Fit on at most ``rows`` labelled documents outside the held-out fold, and ``passages`` of each."""
     sample = labelled_texts(docs, labels, label_col, rows, FOLDS, HELD_OUT, id_col, text_col)
     got = sample.select(F.col("_label").cast("int").alias("_label"), "_text").mapInArrow(
-        _bags, "_label int, _passages binary").collect()
+        lambda batches: _bags(batches, passages), "_label int, _passages binary").collect()
     got.sort(key=lambda r: (bytes(r["_passages"]), r["_label"]))
     x = [np.frombuffer(r["_passages"], np.float32).reshape(-1, len(FEATURES)) for r in got]
     return fit(np.concatenate(x) if x else np.zeros((0, len(FEATURES))), np.array([len(b) for b in x], int),

@@ -126,13 +126,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = SAMPLE_ROWS,
-                 id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
+                 id_col: str = "doc_id", text_col: str = "text", kept_terms: int = KEPT_TERMS) -> Machine:
+    """Fit on at most ``rows`` labelled documents outside the held-out fold, with at most ``kept_terms`` terms."""
     sample = labelled_texts(docs, labels, label_col, rows, FOLDS, HELD_OUT, id_col, text_col)
     got = sample.select(F.col("_label").cast("int").alias("_label"), "_text").mapInArrow(
         _bags, "_label int, _terms binary").collect()
     got.sort(key=lambda r: (bytes(r["_terms"]), r["_label"]))
-    return fit([np.frombuffer(r["_terms"], np.int32) for r in got], np.array([r["_label"] for r in got], float))
+    return fit([np.frombuffer(r["_terms"], np.int32) for r in got], np.array([r["_label"] for r in got], float), kept_terms)
 
 
 def _score(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:

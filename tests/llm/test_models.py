@@ -147,3 +147,19 @@ def test_scores_against_all_pairs(spark, corpus):
         logit = machine.bias + sum(float(machine.weights[i]) for i in of) + sum(
             float(machine.vectors[i] @ machine.vectors[j]) for k, i in enumerate(of) for j in of[:k])
         assert got[doc] == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -30, 30))), abs=1e-5)
+
+
+def test_long_texts_are_fitted_on_evenly_spread_passages():
+    text = " ".join(f"w{i}" for i in range(50 * 30))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([text, "short one"])], names=["_label", "_text"])
+    (out,) = quality._bags([batch], 10)
+    x = np.concatenate([b for b, _ in bags(batch.column(1))])
+    got = [np.frombuffer(p, np.float32).reshape(-1, len(FEATURES)) for p in out.column(1).to_pylist()]
+    assert out.column(0).to_pylist() == [1, 0] and [len(g) for g in got] == [10, 1]
+    assert np.array_equal(got[0], x[np.linspace(0, 29, 10).astype(int)])
+
+
+def test_bounds_of_the_fits_are_parameters(corpus):
+    docs, labels = corpus
+    assert len(toxicity.fit_toxicity(docs, labels, kept_terms=5).index) <= 5
+    assert quality.fit_quality(docs, labels, rows=50, passages=2).layers
