@@ -70,7 +70,11 @@ def score_grid_wide(annotations: DataFrame, raters: list[str], cols: list[str] =
 def latest_score_grid(annotations: DataFrame, raters: list[str], order_cols: list[str],
                       cols: list[str] = SCORE_COLS, values: list[int] = VALID_SCORES,
                       unit: str = "unit_id") -> DataFrame:
-    """``dedupe_latest`` on (unit, rater) and ``score_grid_wide`` in a single shuffle on the unit."""
+    """``dedupe_latest`` on (unit, rater) and ``score_grid_wide`` in a single shuffle on the unit.
+
+    An order of days, small integers and flags that fits into one number with the scores is packed in front of them, so
+    hash aggregates can hold it; other orders travel as a struct, for which Spark sorts within tasks.
+    """
     return _packed_grid(annotations, raters, order_cols, cols, values, unit)
 
 
@@ -79,6 +83,25 @@ def _case(subject: str, mapping: dict, otherwise: str = "NULL") -> str:
     return f"CASE {branches} ELSE {otherwise} END"
 
 
+#: Bits and smallest value of types that order by their number; NULL comes first, as in a struct.
+_ORDER_BITS = {"boolean": (1, 0), "tinyint": (8, -(1 << 7)), "smallint": (16, -(1 << 15)), "int": (32, -(1 << 31)),
+               "date": (23, -(1 << 22))}
+_NUMBER_BITS = 63
+
+
+def _order_number(df: DataFrame, order_cols: list[str], low_bits: int) -> str | None:
+    """An expression of the order as one number above ``low_bits`` free bits, or None when it does not fit."""
+    kinds = [df.schema[c].dataType.simpleString() for c in order_cols]
+    if any(k not in _ORDER_BITS for k in kinds) or low_bits + sum(_ORDER_BITS[k][0] + 1 for k in kinds) > _NUMBER_BITS:
+        return None
+    out = "0L"
+    for c, kind in zip(order_cols, kinds):
+        bits, least = _ORDER_BITS[kind]
+        number = f"unix_date({quoted(c)})" if kind == "date" else f"CAST({quoted(c)} AS BIGINT)"
+        out = f"(shiftleft({out}, {bits + 1}) + coalesce({number} - ({least}L) + 1L, 0L))"
+    return f"shiftleft({out}, {low_bits})"
+
+
 def _packed_grid(annotations, raters, order_cols, cols, values, unit) -> DataFrame:
     bits = len(values).bit_length()
     per_pack = 62 // bits
@@ -88,10 +111,12 @@ def _packed_grid(annotations, raters, order_cols, cols, values, unit) -> DataFra
     def code(c: str) -> str:  # position on the scale, 0 when missing
         return f"CAST({_case(quoted(c), {v: i for i, v in enumerate(values, 1)}, '0')} AS BIGINT)"
 
+    codes = [" | ".join(f"shiftleft({code(c)}, {at * bits})" for at, c in enumerate(pack)) for pack in packs]
+    order = _order_number(annotations, order_cols, len(cols) * bits) if order_cols and len(packs) == 1 else None
+    if order:  # the cells below read the lowest bits only
+        codes, order_cols = [f"{order} | {codes[0]}"], []
     packed = annotations.where(F.col("rater").isin(raters)).selectExpr(
-        quoted(unit), "rater", *map(quoted, order_cols), *[
-            " | ".join(f"shiftleft({code(c)}, {at * bits})" for at, c in enumerate(pack))
-            + f" AS {name}" for name, pack in zip(names, packs)])
+        quoted(unit), "rater", *map(quoted, order_cols), *[f"{c} AS {name}" for name, c in zip(names, codes)])
     bare = not order_cols and len(names) == 1
     row = names[0] if bare else struct_of({c: quoted(c) for c in [*order_cols, *names]})
     wide = packed.groupBy(unit).agg(*[

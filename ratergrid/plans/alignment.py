@@ -117,6 +117,18 @@ _CORE = {"full_units": f"SELECT unit_id, variable FROM fx_ratings WHERE {_IN_STU
                        "HAVING COUNT(DISTINCT rater) = 5"}
 
 
+@query("latest_grid_by_day", with_ctes({"by_day": f"""SELECT * FROM (SELECT unit_id, rater, V1, V2, V3, V4, ROW_NUMBER() OVER (
+  PARTITION BY unit_id, rater ORDER BY CAST(l_shipdate AS DATE) DESC, V4 DESC, V3 DESC, V2 DESC, V1 DESC) AS rn FROM fx_ratings_raw
+  WHERE V1 IN (1, 2, 3) AND V2 IN (1, 2, 3) AND V3 IN (1, 2, 3) AND V4 IN (1, 2, 3)) q WHERE rn = 1""",
+    "by_day_long": " UNION ALL ".join(f"SELECT unit_id, rater, '{v}' AS variable, {v} AS score FROM by_day" for v in LINE_VARS)},
+    "SELECT unit_id, variable, " + ", ".join(f"MAX(CASE WHEN rater = '{r}' THEN score END) AS {r}" for r in RATERS) +
+    " FROM by_day_long GROUP BY unit_id, variable"))
+def _(spark, sf):
+    """The latest day counts; of ratings of one day the highest scores, the last variable first."""
+    valid = H.validity_filter(line_ratings(spark, sf), LINE_VARS).withColumn("day", F.col("l_shipdate").cast("date"))
+    return L.latest_score_grid(valid, RATERS, ["day"], LINE_VARS)
+
+
 @query("common_core", with_ctes({"counted": f"""SELECT *, COUNT(*) OVER (PARTITION BY unit_id, variable) AS raters
   FROM fx_ratings WHERE {_IN_STUDY}"""}, "SELECT unit_id, variable, rater, score FROM counted WHERE raters = 5"))
 def _(spark, sf):

@@ -65,6 +65,11 @@ def test_failed_keys_are_found_by_hash_aggregates(spark):
     assert "SortAggregate" not in text and text.count("HashAggregate") == 2
 
 
+def test_an_order_by_day_needs_no_sort(spark):
+    text = plan(spark, "latest_grid_by_day")
+    assert "SortAggregate" not in text and "HashAggregate" in text and moves(text) == 1
+
+
 def test_model_coverage_reads_its_input_once(spark):
     assert plan(spark, "model_coverage").count("FileScan") == 1
 
