@@ -61,6 +61,14 @@ def _(spark, sf):
     return S.scan_csv(spark, path, schema=SAMPLED_POST_SCHEMA, required=["tweet_id", "post_type", "text"])
 
 
+@query("scan_csv_split", _DOC_POSTS)
+def _(spark, sf):
+    """One file with line breaks in its texts, which many tasks read."""
+    path = scratch_path(spark, "csv")
+    S.sink_csv(_docs_as_posts(spark, sf), path, single_file=True)
+    return S.scan_csv_split(spark, path, schema=SAMPLED_POST_SCHEMA, required=["tweet_id", "post_type", "text"])
+
+
 @query("sink_csv", with_ctes({}, """SELECT rater, variable, CAST(s.score AS INT) AS score, COUNT(r.score) AS n FROM
   (SELECT DISTINCT condition AS rater, variable FROM fx_conditions) g CROSS JOIN (VALUES (1), (2), (3)) AS s(score)
   LEFT JOIN fx_conditions r ON r.condition = g.rater AND r.variable = g.variable AND r.score = s.score

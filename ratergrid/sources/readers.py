@@ -36,7 +36,7 @@ def scan_csv(spark: SparkSession, *paths: str, schema: StructType | str,
 
     Columns are found by header name, so files may hold others and in any order; values that do not
     parse are NULL, and so is a column that is neither present nor ``required`` (by default all are).
-    A multi-line file cannot be split, so one file is one task: keep big inputs as many files.
+    One file is one task; ``scan_csv_split`` reads big ones in ranges.
     """
     fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
     raw = (spark.read.option("header", True).option("multiLine", True)
