@@ -55,7 +55,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, sketches, keys = [], [], [], []
         for text in batch.column(3):
-            found = np.fromiter(map(hashes, words_of(text.as_py())), np.uint32)
+            found = np.fromiter(map(hashes, words_of(text.as_py())), np.uint64)
             grams = shingle_set(found)
             sizes.append(len(grams))
             if not len(grams):
@@ -102,7 +102,7 @@ def _with(pairs: DataFrame, nodes: DataFrame, side: str, columns: list[str]) ->
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = word_hashes().__getitem__
     for batch in batches:
-        words = [np.fromiter(map(hashes, words_of(t.as_py())), np.uint32).tobytes() for t in batch.column(1)]
+        words = [np.fromiter(map(hashes, words_of(t.as_py())), np.uint64).tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["_node", "_words"])
 
 
@@ -140,8 +140,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for i, (x, wa, wb) in enumerate(zip(a, batch.column(2), batch.column(3))):
             if x != last:
-                last, left = x, shingle_set(np.frombuffer(wa.as_py(), np.uint32))
-            right = shingle_set(np.frombuffer(wb.as_py(), np.uint32))
+                last, left = x, shingle_set(np.frombuffer(wa.as_py(), np.uint64))
+            right = shingle_set(np.frombuffer(wb.as_py(), np.uint64))
             inter = len(np.intersect1d(left, right, assume_unique=True))
             if is_link(inter, len(left), len(right)):
                 keep.append(i)
@@ -156,7 +156,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     """
     query = np.array(table.column("_query").to_pylist(), bool)
     comp = table.column("_comp").to_numpy()
-    sets = [shingle_set(np.frombuffer(w.as_py(), np.uint32)) for w in table.column("_words")]
+    sets = [shingle_set(np.frombuffer(w.as_py(), np.uint64)) for w in table.column("_words")]
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
@@ -222,7 +222,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     it is shorter. NULL, empty and blank texts have no shingles, are linked with nothing and stay. component_id
     is the smallest id that links reach; rows that repeat an id or a text are in one component; NULL ids count
     only where a component has no other, its component_id is then NULL. An empty table gives no rows. Other
-    columns, whatever their names, are not read. Shingles are compared as 64-bit hashes of 32-bit word hashes.
+    columns, whatever their names, are not read. Shingles are compared as 64-bit hashes of 64-bit word hashes.
     """
     return _rows_and_components(docs, id_col, text_col).select(
         "doc_id", "n_shingles", "component_id", "kept", F.lower(F.hex("_set")).alias("set_digest"))

@@ -15,8 +15,8 @@ _MIX = np.random.default_rng(3).integers(1, 2**63, WIDTH, dtype=np.uint64) * np.
 
 
 def word_hashes() -> WordCache:
-    """32-bit hash by word."""
-    return WordCache(xxhash.xxh32_intdigest)
+    """64-bit hash by word."""
+    return WordCache(xxhash.xxh3_64_intdigest)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -36,12 +36,11 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    wide = words.astype(np.uint64)
     if n < WIDTH:
-        return mix64((wide * _MIX[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
+        return mix64((words * _MIX[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
     total = np.zeros(n - WIDTH + 1, np.uint64)
     for i in range(WIDTH):
-        total += wide[i:n - WIDTH + 1 + i] * _MIX[i]
+        total += words[i:n - WIDTH + 1 + i] * _MIX[i]
     return np.unique(mix64(total))
 
 
