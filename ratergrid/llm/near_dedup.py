@@ -5,9 +5,10 @@
 2. In every bucket of a band each node is paired with the smallest node there only, so a bucket of m nodes makes
    m - 1 pairs. Pairs that the sketches can't rule out are verified on the full sets; links give components.
 3. Buckets whose nodes are now in one component are done. In the others, nodes outside the bucket's largest
-   component are compared on full sets with all nodes there, in blocks of at most 2 x ``BLOCK`` nodes; a block
-   gives back at most one link for each merge. Every pair that shares a bucket is then either verified or already
-   in one component, so no link that banding can see is lost, and no bucket is written out as pairs.
+   component meet all nodes there, in blocks of about 2 x ``SKETCH_BLOCK`` nodes that carry only sizes and sketches.
+   What these don't rule out is compared on full sets, in blocks of at most 2 x ``BLOCK`` nodes; a block gives back
+   at most one link for each merge. Every pair that shares a bucket is then ruled out, verified or already in one
+   component, so no link that banding and sketches can see is lost, and no bucket is written out as pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from ratergrid.session import stored
 BANDS, ROWS = 32, 4
 #: One bit of each of 256 coordinates. At similarity 0.75 224 agree on average; fewer than 195 have odds of 3e-8.
 LEAST_AGREEING = 195
-BLOCK = 256
+#: Nodes of a bucket that meet in one task: by sketches (48 bytes a node), then those left on full sets.
+SKETCH_BLOCK, BLOCK = 4096, 256
 #: Up to so many text hashes (8 bytes each) are broadcast to pick the texts that are compared; more are joined.
 BROADCAST_HASHES = 2_000_000
 SIMILARITY = (75, 100)
@@ -149,10 +151,46 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([b[i] for i in keep], pa.int64())], names=["_a", "_b"])
 
 
+def _candidates(table: pa.Table) -> pa.Table:
+    """Rows (_key, _q, _t, _part, _query, _node, _comp): what sizes and sketches leave of one block, in small blocks.
+
+    Queries come in the order of their first candidate, ``BLOCK`` at a time, with up to ``BLOCK`` of their candidates.
+    So queries with few candidates each make about two rows a node.
+    """
+    query = np.array(table.column("_query").to_pylist(), bool)
+    node, comp, size = (table.column(c).to_numpy() for c in ("_node", "_comp", "_n"))
+    sketch = np.stack([table.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64)
+    asks, others = np.flatnonzero(query), np.flatnonzero(~query)
+    near = np.zeros((len(asks), len(others)), bool)
+    for i in range(0, len(asks), 64):
+        part = asks[i:i + 64, None]
+        agree = 256 - np.bitwise_count(sketch[part] ^ sketch[others]).sum(axis=2, dtype=np.int64)
+        small, large = np.minimum(size[part], size[others]), np.maximum(size[part], size[others])
+        near[i:i + 64] = (agree >= LEAST_AGREEING) & is_link(small, small, large) & (comp[part] != comp[others])
+    some = np.flatnonzero(near.any(axis=1))
+    some = some[np.argsort(near[some].argmax(axis=1), kind="stable")] if len(some) else some
+    rows, parts, flags, n_parts = [], [], [], 0
+    for i in range(0, len(some), BLOCK):
+        chunk = some[i:i + BLOCK]
+        found = np.flatnonzero(near[chunk].any(axis=0))
+        for j in range(0, len(found), BLOCK):
+            met = found[j:j + BLOCK]
+            asking = chunk[near[np.ix_(chunk, met)].any(axis=1)]
+            rows += [asks[asking], others[met]]
+            flags += [np.ones(len(asking), bool), np.zeros(len(met), bool)]
+            parts.append(np.full(len(asking) + len(met), n_parts, np.int32))
+            n_parts += 1
+    rows = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    same = {c: pa.array(table.column(c).to_numpy()[rows]) for c in ("_key", "_q", "_t")}
+    return pa.table({**same, "_part": pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)),
+                     "_query": pa.array(np.concatenate([*flags, np.zeros(0, bool)]).astype(bool)),
+                     "_node": pa.array(node[rows]), "_comp": pa.array(comp[rows])})
+
+
 def _block_links(table: pa.Table) -> pa.Table:
     """Links between components among the nodes of one block, one for each merge.
 
-    Rows (_key, _q, _t, _query, _comp, _words): every query row is compared with every other one.
+    Rows (_query, _comp, _words): every query row is compared with every other one.
     """
     query = np.array(table.column("_query").to_pylist(), bool)
     comp = table.column("_comp").to_numpy()
@@ -192,8 +230,8 @@ def _star_links(members: DataFrame, nodes: DataFrame, corpus: Corpus) -> DataFra
     return full.select("_a", "_b", "_a_words", "_b_words").mapInArrow(_verify, "_a long, _b long")
 
 
-def _left_over(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (_key, _q, _t, _query, _node, _comp) of the blocks still to be compared."""
+def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (_key, _q, _t, _query, _node, _comp, _n and sketch) of the blocks still to be compared."""
     placed = members.join(labels, "_node", "left").select(
         "_key", "_node", F.coalesce("_comp", "_node").alias("_comp"))
     placed = stored(placed, "placed")
@@ -203,15 +241,16 @@ def _left_over(members: DataFrame, labels: DataFrame) -> DataFrame:
     largest = sizes.join(open_keys, "_key").where("_c = _most").groupBy("_key", "_m", "_most").agg(
         F.min("_comp").alias("_main"))
     keys = stored(largest.select(
-        "_key", "_main", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_nt"),
-        F.ceil((F.col("_m") - F.col("_most")) / BLOCK).cast("int").alias("_nq")), "open")
-    rows = placed.join(keys, "_key")
+        "_key", "_main", F.ceil(F.col("_m") / SKETCH_BLOCK).cast("int").alias("_nt"),
+        F.ceil((F.col("_m") - F.col("_most")) / SKETCH_BLOCK).cast("int").alias("_nq")), "open")
+    known = ["_node", "_comp", "_n", *_SKETCH]
+    rows = placed.join(keys, "_key").join(nodes.drop("_bands"), "_node")
     place = lambda n, salt: F.pmod(F.xxhash64("_node", F.lit(salt)), F.col(n)).cast("int")
     one, every = lambda c: c, lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = rows.where("_comp != _main").select("_key", "_node", "_comp", place("_nq", 1).alias("_q"), "_nt")
-    asks = asks.select("_key", "_q", every("_nt").alias("_t"), F.lit(True).alias("_query"), "_node", "_comp")
-    targets = rows.select("_key", "_node", "_comp", place("_nt", 2).alias("_t"), "_nq").select(
-        "_key", every("_nq").alias("_q"), "_t", F.lit(False).alias("_query"), "_node", "_comp")
+    asks = rows.where("_comp != _main").select("_key", *known, place("_nq", 1).alias("_q"), "_nt")
+    asks = asks.select("_key", "_q", every("_nt").alias("_t"), F.lit(True).alias("_query"), *known)
+    targets = rows.select("_key", *known, place("_nt", 2).alias("_t"), "_nq").select(
+        "_key", every("_nq").alias("_q"), "_t", F.lit(False).alias("_query"), *known)
     return asks.unionByName(targets)
 
 
@@ -253,9 +292,12 @@ def _rows_and_components(docs: DataFrame, id_col: str, text_col: str) -> DataFra
 
     maps = connect(stored(_star_links(members, nodes, corpus), "links"))
     labels = compose(members.select("_node").distinct(), maps)
-    blocks = stored(_left_over(members.select("_key", "_node"), stored(labels, "labels")), "blocks")
-    full = blocks.join(corpus.words_of(blocks.select("_node")), "_node").select("_key", "_q", "_t", "_query", "_comp", "_words")
-    more = full.groupBy("_key", "_q", "_t").applyInArrow(_block_links, "_a long, _b long")
+    open_blocks = _left_over(members.select("_key", "_node"), stored(labels, "labels"), nodes)
+    blocks = stored(open_blocks.groupBy("_key", "_q", "_t").applyInArrow(
+        _candidates, "_key long, _q int, _t int, _part int, _query boolean, _node long, _comp long"), "blocks")
+    full = blocks.join(corpus.words_of(blocks.select("_node")), "_node").select(
+        "_key", "_q", "_t", "_part", "_query", "_comp", "_words")
+    more = full.groupBy("_key", "_q", "_t", "_part").applyInArrow(_block_links, "_a long, _b long")
     maps += connect(stored(more, "links"))
 
     sets = stored(compose(classes, maps), "sets")

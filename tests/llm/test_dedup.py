@@ -100,6 +100,7 @@ def test_bucket_of_many_unlinked(spark, monkeypatch):
     import ratergrid.llm.near_dedup as N
 
     monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "SKETCH_BLOCK", 32)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(80)]
     texts = []
@@ -113,6 +114,49 @@ def test_bucket_of_many_unlinked(spark, monkeypatch):
     assert (got.component_id == got.want_component).all() and got.component_id.nunique() > 3
 
 
+def _sketched(rng, n, queries, sketches):
+    """One block in which rows have the given sketches and components of their own."""
+    import pyarrow as pa
+
+    columns = {"_key": [1] * n, "_q": [0] * n, "_t": [0] * n, "_query": queries, "_node": list(range(n)),
+               "_comp": list(range(n)), "_n": [100] * n}
+    return pa.table({**columns, **{f"_s{i}": sketches[:, i] for i in range(4)}})
+
+
+def test_block_of_unlike_sketches_is_dropped():
+    """4,096 unlinked nodes of one bucket leave nothing for full sets; the fan-out before is two rows a node."""
+    from ratergrid.llm.near_dedup import SKETCH_BLOCK, _candidates
+
+    rng = np.random.default_rng(4)
+    sketches = rng.integers(-2**63, 2**63, (4096, 4))
+    both = _sketched(rng, 8192, [True] * 4096 + [False] * 4096, np.concatenate([sketches, sketches]))
+    comp = np.tile(np.arange(4096), 2)
+    both = both.set_column(both.schema.get_field_index("_comp"), "_comp", [comp])
+    assert SKETCH_BLOCK >= 4096 and _candidates(both).num_rows == 0
+
+
+def test_candidates_of_a_block_are_every_pair_of_like_sketches():
+    from ratergrid.llm.near_dedup import BLOCK, LEAST_AGREEING, _candidates
+
+    rng = np.random.default_rng(5)
+    groups = rng.integers(-2**63, 2**63, (200, 4))
+    sketches = groups[rng.integers(0, 200, 1500)].copy()
+    for _ in range(20):  # up to 20 bits differ from the group's
+        at = rng.integers(0, 4, 1500)
+        sketches[np.arange(1500), at] ^= np.int64(1) << rng.integers(0, 63, 1500)
+    queries = rng.random(1500) < 0.5
+    got = _candidates(_sketched(rng, 1500, queries.tolist(), sketches)).to_pandas()
+    met = set()
+    for _, block in got.groupby("_part"):
+        asks, others = block[block._query]._node, block[~block._query]._node
+        assert len(asks) <= BLOCK and len(others) <= BLOCK
+        met |= {(a, b) for a in asks for b in others}
+    bits = np.unpackbits(sketches.view(np.uint8).reshape(1500, -1), axis=1)
+    like = {(a, b) for a in np.flatnonzero(queries) for b in np.flatnonzero(~queries)
+            if (bits[a] == bits[b]).sum() >= LEAST_AGREEING}
+    assert like and like <= met and len(got) <= 3 * 1500
+
+
 def test_circulant_signature_estimates_similarity():
     c = Circulant(size=1 << 16, length=256)
     a = mix64(np.arange(400, dtype=np.uint64))
