@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ratergrid.dims import fan_out, join_dim, literal, struct_of
+from ratergrid.dims import fan_out, join_dim, literal, quoted, struct_of
 from ratergrid.functions.text import render_prompt
 
 PROMPT_SCHEMA = ("prompt_variant string, codebook string, output_format string, lead_in string, "
                  "opening string, closing string")
 
+#: Bits of the filter of posts with open work. It is broadcast in words of 64, at most 262,144 rows.
+OPEN_FILTER_BITS = 1 << 24
+
 
 def work_plan_cross(posts: DataFrame, labels: list[dict]) -> DataFrame:
     """Every post with every model, prompt variant or condition. Fans out in place, no join."""
@@ -22,14 +25,31 @@ def _done_flags(done: DataFrame, post_col: str, label_col: str, names: list) ->
     return done.where(F.col(label_col).isin(names)).groupBy(post_col).agg(*flags)
 
 
+def may_be_open(posts: DataFrame, flags: DataFrame, post_col: str, n_labels: int) -> DataFrame:
+    """Posts that lack a label, and few others: ids alone meet the flags, and a filter of fixed size meets the posts.
+
+    No post with open work is lost. With more than some millions of these the filter lets ever more done posts pass.
+    """
+    place = f"pmod(xxhash64({quoted(post_col)}), {OPEN_FILTER_BITS}L)"
+    finished = " AND ".join(f"coalesce(_done{i}, false)" for i in range(n_labels))
+    words = (posts.select(post_col).join(flags, post_col, "left").where(f"NOT ({finished})")
+             .groupBy(F.expr(f"shiftright({place}, 6)").alias("_open_word"))
+             .agg(F.expr(f"bit_or(shiftleft(1L, CAST({place} % 64 AS INT)))").alias("_open_bits")))
+    hit = (f"shiftright({place}, 6) = _open_word AND "
+           f"(shiftright(_open_bits, CAST({place} % 64 AS INT)) & 1L) = 1L")
+    return posts.join(F.broadcast(words), F.expr(hit), "left_semi")
+
+
 def remaining_work(posts: DataFrame, labels: list[dict], done: DataFrame, post_col: str,
                    label_col: str) -> DataFrame:
     """The plan without completed (post, label) keys.
 
-    Posts meet their done flags once, before the fan-out, so text is not shuffled once per label.
+    Done posts are dropped where they are read. What ``may_be_open`` leaves meets its flags once, before the fan-out,
+    so text is neither shuffled for done posts nor once per label.
     """
     names = [row[label_col] for row in labels]
-    flagged = posts.join(_done_flags(done, post_col, label_col, names), post_col, "left")
+    flags = _done_flags(done, post_col, label_col, names)
+    flagged = may_be_open(posts, flags, post_col, len(names)).join(flags, post_col, "left")
     items = ", ".join(
         "named_struct('done', coalesce(_done%d, false), 'label', %s)"
         % (i, struct_of({k: literal(v) for k, v in row.items()})) for i, row in enumerate(labels))
