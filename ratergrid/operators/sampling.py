@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratergrid.dims import map_values, quoted, small_table
 from ratergrid.functions.posts import ENGAGEMENT_PROPORTIONS
+from ratergrid.session import stored
 
 PREFIX_DIGITS = 5
 
@@ -123,18 +124,19 @@ def bounded_collect(df: DataFrame, max_rows: int, group_col: str, position_col:
 
     NULL groups and positions come first. Rows that share the position at which the limit falls are
     alternatives: as many as are still missing are taken. Rows are counted per group and run of ``width``
-    positions; only the run in which the limit falls is looked at, and the result is a plain filter.
+    positions; the counts are written in ranges, summed within each and over the totals of the ranges. Only the run in
+    which the limit falls is looked at, and the result is a plain filter.
     """
     binned = df.select(F.col(group_col).alias("_g"), F.col(position_col).alias("_p"),
                        F.floor(F.col(position_col) / width).alias("_run"))
-    counts = binned.groupBy("_g", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    in_group = F.sum("_n").over(Window.partitionBy("_g").orderBy("_run"))
-    totals = counts.groupBy("_g").agg(F.sum("_n").alias("_group_n"))
-    earlier = F.sum("_group_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(F.col("_g").alias("_h"), F.coalesce(earlier, F.lit(0)).alias("_group_before"))
-    upto = F.col("_group_before") + F.col("_in_group")
-    crossing = (counts.withColumn("_in_group", in_group)
-                .join(totals, F.col("_g").eqNullSafe(F.col("_h")))
+    counts = binned.groupBy("_g", "_run").agg(F.count(F.lit(1)).alias("_n")).repartitionByRange("_g", "_run")
+    counts = stored(counts.withColumn("_part", F.spark_partition_id()), "runs")
+    earlier = F.sum("_part_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = counts.groupBy("_part").agg(F.sum("_n").alias("_part_n")).select(
+        "_part", F.coalesce(earlier, F.lit(0)).alias("_part_before"))  # a row for each partition
+    upto = F.col("_part_before") + F.col("_in_part")
+    crossing = (counts.withColumn("_in_part", F.sum("_n").over(Window.partitionBy("_part").orderBy("_g", "_run")))
+                .join(F.broadcast(totals), "_part")
                 .withColumn("_before", upto - F.col("_n"))
                 .where((F.col("_before") < max_rows) & (upto >= max_rows))
                 .select(F.col("_g").alias("_h"), F.col("_run").alias("_s"), "_before"))
