@@ -63,9 +63,9 @@ def _(spark, sf):
 
 @query("scan_csv_split", _DOC_POSTS)
 def _(spark, sf):
-    """One file with line breaks in its texts, which many tasks read."""
+    """Files with line breaks in their texts, written in parallel; many tasks read each one that is longer than a range."""
     path = scratch_path(spark, "csv")
-    S.sink_csv(_docs_as_posts(spark, sf), path, single_file=True)
+    S.sink_csv(_docs_as_posts(spark, sf), path)
     return S.scan_csv_split(spark, path, schema=SAMPLED_POST_SCHEMA, required=["tweet_id", "post_type", "text"])
 
 

@@ -226,7 +226,7 @@ def consistency_study(first: DataFrame, second: DataFrame, models: DataFrame,
             "n_rows": F.coalesce("n_rows", F.lit(0)), "n_models": F.lit(len(names))}),
     }
     if cases:
-        out["cases"] = core.where(F.col("unit_id").isin([str(c) for c in cases]))
+        out["cases"] = core.where(F.col("unit_id").isin([str(c) for c in cases])).repartition(1)
     return out
 
 
@@ -281,12 +281,12 @@ def framing_study(annotations: DataFrame, baseline: str, conditions: list[str],
         "spread_medians": D.spread_medians(spread),
     }
     if cases:
-        out["cases"] = core.where(F.col("unit_id").isin([str(c) for c in cases]))
+        out["cases"] = core.where(F.col("unit_id").isin([str(c) for c in cases])).repartition(1)
     return out
 
 
 def write_reports(tables: dict[str, DataFrame], out: str) -> None:
     """One CSV per table; report tables with a row per post are written in parallel."""
-    per_post = {"score_drift", "spread"}
+    per_post = {"score_drift", "spread", "invalid_rows", "missing_ids"}
     for name, df in tables.items():
         sink_csv(df, f"{out}/{name}", single_file=name not in per_post)

@@ -17,7 +17,7 @@ def sink_parquet_typed(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
     """CSV with a header for ``scan_csv``; empty text and NULL both read back as NULL.
 
-    ``single_file`` is for small reports.
+    ``single_file`` is for small reports: one task does all that follows the last shuffle of ``df``.
     """
     out = df.coalesce(1) if single_file else df
     (out.write.mode(mode)

@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from ratergrid.plans import REGISTRY, ingestion
+from ratergrid.plans.studies import write_reports
 from ratergrid.sources import scan_csv, scan_csv_split
 
 SCHEMA = "a string, b string, n int"
@@ -71,3 +73,21 @@ def test_many_tasks_read_one_file(spark, tmp_path, small_ranges):
     assert rows_of(got) == sorted([(f"a\n{i}", "b", i) for i in range(300)], key=str)
     with pytest.raises(ValueError, match="missing|csv"):
         scan_csv_split(spark, str(tmp_path), schema="zzz string")
+
+
+def test_the_query_writes_in_many_tasks_and_reads_ranges(spark, tmp_path, small_ranges, monkeypatch):
+    rows = [(i, f'line "{i}",\nand the next one', "en", "web", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(6).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    monkeypatch.setattr(ingestion, "scratch_path", lambda _, label: f"{tmp_path}/{label}")
+    got = REGISTRY["scan_csv_split"].run(spark, f"{tmp_path}/sf").select("tweet_id", "post_type", "text")
+    assert rows_of(got) == sorted([(str(i), source, text) for i, text, _, source, _ in rows], key=str)
+    files = list((tmp_path / "csv").glob("part-*.csv"))
+    assert len(files) >= 6 and spark.read.text(f"{tmp_path}/csv").rdd.getNumPartitions() > len(files)
+
+
+def test_reports_with_a_row_per_post_are_written_in_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 4).selectExpr("CAST(id AS STRING) AS unit_id")
+    write_reports({"missing_ids": rows, "invalid_rows": rows, "summary": rows}, str(tmp_path))
+    assert [len(list((tmp_path / n).glob("part-*"))) for n in ("missing_ids", "invalid_rows", "summary")] == [4, 4, 1]
+    assert scan_csv(spark, f"{tmp_path}/missing_ids", schema="unit_id int").selectExpr("sum(unit_id)").first()[0] == 780
