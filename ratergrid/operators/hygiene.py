@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratergrid.dims import map_values
 from ratergrid.schemas import SCORE_COLS, VALID_SCORES
 
+#: Annotations that one task counts by unit: a few hundred MB of counts at four variables.
+TASK_ROWS = 250_000
+
 
 def _is_valid(col: str, values: list[int]) -> Column:
     return F.coalesce(F.col(col).isin(values), F.lit(False))
@@ -58,6 +61,17 @@ def dedupe_latest(df: DataFrame, keys: list[str], order_cols: list[str]) -> Data
     return df.groupBy(*keys).agg(latest).select(*keys, "latest.*").select(*df.columns)
 
 
+def latest_scores(df: DataFrame, keys: list[str], order_cols: list[str], cols: list[str],
+                  task_rows: int = TASK_ROWS) -> DataFrame:
+    """Keys and ``cols`` of ``dedupe_latest``, dealt by key to tasks of at most about ``task_rows`` rows.
+
+    For counts of nearly as many groups as rows: ratings compress to a few bytes, so tasks that adaptive execution sizes
+    by shuffled bytes hold millions of them. Rows of ``df`` are counted first.
+    """
+    tasks = max(-(-df.count() // task_rows), df.sparkSession.sparkContext.defaultParallelism)
+    return dedupe_latest(df, keys, order_cols).select(*keys, *cols).repartition(tasks, *keys)
+
+
 def overlap_semi(df: DataFrame, other: DataFrame, on: str | list[str] = "unit_id") -> DataFrame:
     """Rows of ``df`` whose id occurs in ``other``."""
     keys = [on] if isinstance(on, str) else on

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ratergrid.functions.text import format_metric
 from ratergrid.functions.verdicts import agreement_zone, drift_direction, stability_verdict
 from ratergrid.operators import agreement as A, alignment as L
-from ratergrid.operators.hygiene import dedupe_latest, melt_scores, validity_filter
+from ratergrid.operators.hygiene import latest_scores, melt_scores, validity_filter
 from ratergrid.operators.reports import minmax_scale
 from ratergrid.plans.alignment import STUDY, SUBSETS
 from ratergrid.plans.fixtures import (ALL_CONDITIONS, DOC_RATERS, LATEST, LINE_VARS, RATERS,
@@ -132,7 +132,7 @@ _ALPHA_SELECT = f"SELECT variable, n_units, n_ratings, {r6('alpha')} AS alpha FR
 def _(spark, sf):
     """Any number of raters: no rater list is needed."""
     valid = validity_filter(line_ratings(spark, sf), LINE_VARS)
-    latest = dedupe_latest(valid, ["unit_id", "rater"], LATEST)
+    latest = latest_scores(valid, ["unit_id", "rater"], LATEST, LINE_VARS)
     return A.krippendorff_alpha(A.unit_profiles_wide(latest, LINE_VARS))
 
 
@@ -140,7 +140,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The same statistic from long ratings."""
     valid = validity_filter(line_ratings(spark, sf), LINE_VARS)
-    latest = dedupe_latest(valid, ["unit_id", "rater"], LATEST)
+    latest = latest_scores(valid, ["unit_id", "rater"], LATEST, LINE_VARS)
     return A.krippendorff_alpha(A.unit_profiles(melt_scores(latest, LINE_VARS)))
 
 

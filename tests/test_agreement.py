@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratergrid.operators import agreement as A, alignment as L, reports as R
-from ratergrid.operators.hygiene import melt_scores
+from ratergrid.operators.hygiene import dedupe_latest, latest_scores, melt_scores
+from ratergrid.plans import REGISTRY, agreement as plans
 from ratergrid.plans.studies import consistency_study, write_reports
 from ratergrid.schemas import SCORE_COLS
 from ratergrid.sources import scan_csv
@@ -402,3 +403,41 @@ def test_packed_orders_choose_the_same_rows_as_structs(spark, order):
     plans = [g._jdf.queryExecution().executedPlan().toString() for g in grids]
     assert "SortAggregate" not in plans[0] and "SortAggregate" in plans[1]
     assert rows(grids[0]) == rows(grids[1])
+
+
+@pytest.mark.parametrize("name, profiles, per_row", [
+    ("krippendorff_alpha_long", "unit_profiles", 4), ("krippendorff_alpha_ordinal", "unit_profiles_wide", 1)])
+def test_alpha_counts_in_tasks_of_bounded_rows(spark, monkeypatch, name, profiles, per_row):
+    """However few partitions shuffles have, no task counts more than about ``task_rows`` annotations."""
+    made, sf = getattr(A, profiles), "/root/testdata/sf0.001"
+    want = {r["variable"]: tuple(r) for r in REGISTRY[name].run(spark, sf).collect()}
+    sizes = []
+
+    def counted(rows, *args):
+        sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+        return made(rows, *args)
+
+    monkeypatch.setattr(A, profiles, counted)
+    monkeypatch.setattr(plans, "latest_scores", lambda *args: latest_scores(*args, task_rows=500), raising=False)
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r["variable"]: tuple(r) for r in REGISTRY[name].run(spark, sf).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+    assert got.keys() == want.keys() and all(got[v][:3] == want[v][:3] for v in want)
+    assert [got[v][3] for v in sorted(got)] == pytest.approx([want[v][3] for v in sorted(want)], abs=1e-9)
+    assert sum(sizes) > 4000 * per_row and max(sizes) < 750 * per_row
+
+
+def test_latest_scores_deals_a_large_unit_out(spark):
+    """One unit holds most ratings, each with copies; some keys hold NULLs."""
+    rows = [("hot", f"r{i}", at, 1 + (i + at) % 3) for i in range(400) for at in range(3)]
+    rows += [(None, "r1", at, 2) for at in range(5)] + [(f"u{i}", None, 1, 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "unit_id string, rater string, at int, V1 int")
+    got = latest_scores(df, ["unit_id", "rater"], ["at"], ["V1"], task_rows=100)
+    want = dedupe_latest(df, ["unit_id", "rater"], ["at"]).select("unit_id", "rater", "V1")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 431
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 100
+    empty = latest_scores(df.limit(0), ["unit_id", "rater"], ["at"], ["V1"])
+    assert empty.count() == 0 and empty.columns == ["unit_id", "rater", "V1"]
