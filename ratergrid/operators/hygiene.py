@@ -11,6 +11,8 @@ from ratergrid.schemas import SCORE_COLS, VALID_SCORES
 
 #: Annotations that one task counts by unit: a few hundred MB of counts at four variables.
 TASK_ROWS = 250_000
+#: Most tasks that rows are first dealt to: up to 200, Spark writes them out as they come and holds none in memory.
+FIRST_TASKS = 200
 
 
 def _is_valid(col: str, values: list[int]) -> Column:
@@ -65,11 +67,15 @@ def latest_scores(df: DataFrame, keys: list[str], order_cols: list[str], cols: l
                   task_rows: int = TASK_ROWS) -> DataFrame:
     """Keys and ``cols`` of ``dedupe_latest``, dealt by key to tasks of at most about ``task_rows`` rows.
 
-    For counts of nearly as many groups as rows: ratings compress to a few bytes, so tasks that adaptive execution sizes
-    by shuffled bytes hold millions of them. Rows of ``df`` are counted first.
+    For tables with nearly as many keys as rows: neither the sort of a whole file split nor that of a partition sized by
+    shuffled bytes, into which millions of ratings fit, is held by a task. Rows of ``df`` are counted first. Copies are
+    reduced within pieces of ``task_rows`` rows of the input, each piece of a key in another task.
     """
     tasks = max(-(-df.count() // task_rows), df.sparkSession.sparkContext.defaultParallelism)
-    return dedupe_latest(df, keys, order_cols).select(*keys, *cols).repartition(tasks, *keys)
+    piece = F.floor(F.monotonically_increasing_id() / task_rows).alias("_piece")
+    pieces = df.select("*", piece).repartition(min(tasks, FIRST_TASKS), *keys, "_piece")
+    reduced = dedupe_latest(pieces, [*keys, "_piece"], order_cols).drop("_piece")
+    return dedupe_latest(reduced.repartition(tasks, *keys), keys, order_cols).select(*keys, *cols)
 
 
 def overlap_semi(df: DataFrame, other: DataFrame, on: str | list[str] = "unit_id") -> DataFrame:

@@ -433,7 +433,7 @@ def test_alpha_counts_in_tasks_of_bounded_rows(spark, monkeypatch, name, profile
 def test_latest_scores_deals_a_large_unit_out(spark):
     """One unit holds most ratings, each with copies; some keys hold NULLs."""
     rows = [("hot", f"r{i}", at, 1 + (i + at) % 3) for i in range(400) for at in range(3)]
-    rows += [(None, "r1", at, 2) for at in range(5)] + [(f"u{i}", None, 1, 3) for i in range(30)]
+    rows += [(None, "r1", at, 2) for at in range(700)] + [(f"u{i}", None, 1, 3) for i in range(30)]
     df = spark.createDataFrame(rows, "unit_id string, rater string, at int, V1 int")
     got = latest_scores(df, ["unit_id", "rater"], ["at"], ["V1"], task_rows=100)
     want = dedupe_latest(df, ["unit_id", "rater"], ["at"]).select("unit_id", "rater", "V1")
